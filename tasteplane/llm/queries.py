@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasteplane.llm import bpe, chat, decontaminate, secret_scan, token_counts
+from tasteplane.llm import bpe, chat, decontaminate, lang_id, line_dedup, near_dedup, secret_scan, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenized(_table(spark, sf_dir, "documents"), bpe.read_vocabulary(vocabulary_path()))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -41,12 +49,30 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
 
+def held_out() -> Column:
+    """Documents that language models must not learn from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def language_model(docs: DataFrame) -> lang_id.Model:
+    return lang_id.train(docs.filter(~held_out()), lang_id.pieces_of(vocabulary_path("piece_bpe_32k.model")))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = lang_id.identified(docs.select("doc_id", "text"), language_model(docs), ["doc_id"])
+    return out.select("doc_id", held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
     "op3_bpe": op3_bpe,
+    "op5_near_dedup": op5_near_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op8_chat": op8_chat,
     "op9_secrets": op9_secrets,
+    "op10_language_id": op10_language_id,
 }
 
 _OP1 = r"""
@@ -83,4 +109,37 @@ SELECT doc_id, item_id, n_item, n_shared, round(n_shared / n_item::DOUBLE, 6) AS
 FROM m JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item - 1e-9
 """
 
-ORACLES = {"op1_token_counts": _OP1, "op2_decontamination": _OP2}
+# the template keys are written out as text here
+_OP6 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(0, len(ls)))::INT AS pos, unnest(ls) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)
+), t AS (
+  SELECT doc_id, pos, string_split(regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS w FROM l
+), u AS (
+  SELECT doc_id, pos, w, len(w) AS n, floor((len(w) - 2) / 3)::INT AS k FROM t WHERE len(w) >= 3
+), keys AS (
+  SELECT doc_id, pos, unnest(CASE WHEN n >= 9 THEN [
+    '0 ' || array_to_string(w, ' '),
+    '1 ' || n || ' ' || array_to_string(w[1:2], ' ') || ' | ' || array_to_string(w[3+k:2+2*k], ' ') || ' | ' || array_to_string(w[3+2*k:], ' '),
+    '2 ' || n || ' ' || array_to_string(w[1:2], ' ') || ' | ' || array_to_string(w[3:2+k], ' ') || ' | ' || array_to_string(w[3+2*k:], ' '),
+    '3 ' || n || ' ' || array_to_string(w[1:2], ' ') || ' | ' || array_to_string(w[3:2+k], ' ') || ' | ' || array_to_string(w[3+k:2+2*k], ' ')]
+    ELSE ['0 ' || array_to_string(w, ' ')] END) AS key
+  FROM u
+), hot AS (
+  SELECT key, min(doc_id) AS first_doc, arg_min(pos, (doc_id, pos)) AS first_pos FROM keys GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), gone AS (
+  SELECT DISTINCT doc_id, pos FROM keys JOIN hot USING (key) WHERE NOT (doc_id = first_doc AND pos = first_pos)
+), kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS body FROM l LEFT JOIN gone USING (doc_id, pos) WHERE gone.pos IS NULL GROUP BY l.doc_id
+), n AS (
+  SELECT doc_id, count(*)::BIGINT AS n_dropped FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id,
+  CASE WHEN n.n_dropped IS NULL THEN coalesce(d.text, '') WHEN regexp_matches(coalesce(k.body, ''), '[^\x20\x09-\x0D]') THEN k.body ELSE '' END AS text,
+  (CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END)::BIGINT AS n_lines,
+  coalesce(n.n_dropped, 0)::BIGINT AS n_dropped
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES = {"op6_line_dedup": _OP6, "op1_token_counts": _OP1, "op2_decontamination": _OP2}
