@@ -51,7 +51,8 @@ def shingle_strings(w: Column, width: int = WIDTH) -> Column:
 
 def item_sketches(items: DataFrame, width: int = WIDTH, containment: float = CONTAINMENT) -> DataFrame:
     """item_id, n (set size), size_class, need (hits to ask for), h (one sketch member a row)."""
-    sets = items.select("item_id", F.array_distinct(shingle_hashes(words(text_or_empty()), width)).alias("set")).filter(F.size("set") > 0)
+    item_words = items.select("item_id", words(text_or_empty()).alias("w"))
+    sets = item_words.select("item_id", F.array_distinct(shingle_hashes(F.col("w"), width)).alias("set")).filter(F.size("set") > 0)
     sized = sets.select("item_id", "set", F.size("set").alias("n"), F.ceil(F.log2(F.size("set").cast("double"))).cast("int").alias("size_class"))
     may_miss = F.floor((1 - containment) * F.pow(F.lit(2.0), "size_class") + 1e-9)
     own_miss = F.floor((1 - containment) * F.col("n") + 1e-9)
@@ -73,14 +74,19 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, containm
     hits = hashes.join(probe, "h").groupBy("doc_id", "item_id", "need").agg(F.count_distinct("h").alias("hits"))
     pairs = stored(hits.filter(F.col("hits") >= F.col("need")).select("doc_id", "item_id"), "benchmark-candidates")
 
-    item_sets = items.select("item_id", F.array_distinct(shingle_strings(words(text_or_empty()), width)).alias("item_set"))
+    item_words = items.select("item_id", words(text_or_empty()).alias("w"))
+    item_sets = item_words.select("item_id", F.array_distinct(shingle_strings(F.col("w"), width)).alias("item_set"))
     doc_texts = docs.select("doc_id", text_or_empty().alias("body"))
     # both joins broadcast the pairs if they are under Spark's size limit, and shuffle otherwise
     checked = doc_texts.join(pairs, "doc_id").join(item_sets, "item_id")
-    shared = F.size(F.array_intersect("item_set", shingle_strings(words(F.col("body")), width)))
+    # words are a column of their own: inside a window's expression they would be cut out anew for each window
+    checked = checked.select("doc_id", "item_id", "item_set", words(F.col("body")).alias("w"))
+    shared = F.size(F.array_intersect("item_set", shingle_strings(F.col("w"), width)))
     checked = checked.select("doc_id", "item_id", F.size("item_set").cast("long").alias("n_item"), shared.cast("long").alias("n_shared"))
-    checked = checked.withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6)).filter(F.col("n_shared") >= F.lit(containment) * F.col("n_item") - 1e-9)
-    return checked.groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"), F.max("containment").alias("containment"))
+    # the threshold is asked of the aggregate, for a filter on n_shared itself would be pushed below the words
+    best = checked.groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
+    best = best.filter(F.col("n_shared") >= F.lit(containment) * F.col("n_item") - 1e-9)
+    return best.withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6))
 
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
