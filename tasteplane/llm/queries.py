@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasteplane.llm import bpe, chat, decontaminate, lang_id, line_dedup, near_dedup, secret_scan, token_counts
+from tasteplane.llm import bpe, chat, decontaminate, lang_id, line_dedup, media_chunks, near_dedup, pii, secret_scan, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenized(_table(spark, sf_dir, "documents"), bpe.read_vocabulary(vocabulary_path()))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(_table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.media_columns(_table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -68,8 +76,10 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
     "op3_bpe": op3_bpe,
+    "op4_pii": op4_pii,
     "op5_near_dedup": op5_near_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_media_chunks": op7_media_chunks,
     "op8_chat": op8_chat,
     "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
