@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tasteplane.plans import queries_catalog, queries_library, queries_models
+
+QUERIES: dict = {**queries_library.QUERIES, **queries_catalog.QUERIES, **queries_models.QUERIES}
+ORACLES: dict = {**queries_library.ORACLES, **queries_catalog.ORACLES, **queries_models.ORACLES}
