@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: dash-like signs, numerals, words without weight, variant threshold
 DASHES = "‐‑‒–—―−－"
@@ -21,7 +22,7 @@ SPELLING_VARIANT = 0.4
 EXACT_TITLE = 0.999
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(s: pd.Series) -> pd.Series:
     import unicodedata
 

@@ -1,2 +1,198 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Titles, resolution, upserts and payloads."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tasteplane.functions import scalar, text
+from tasteplane.operators import merge, resolve
+from tasteplane.plans import bench_views as v
+from tasteplane.plans._register import Registry, rounded
+
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
+
+TITLE = """title AS (
+  SELECT p_partkey AS id, p_name AS plain, CASE p_partkey % 6 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'The ' || p_name WHEN 2 THEN p_name || ': Part II' WHEN 3 THEN '  ' || p_name || ' 2'
+    WHEN 4 THEN p_name || ' – Dark  Tale' ELSE split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) END AS title FROM part)"""
+NORM = "trim(regexp_replace(lower(translate({t}, '–', '-')), '\\s+', ' ', 'g'))"
+GRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i::INT, 3)))))"
+
+
+def _titles(d):
+    m, name = F.col("p_partkey") % 6, F.col("p_name")
+    swapped = F.concat_ws(" ", F.split_part(name, F.lit(" "), F.lit(2)), F.split_part(name, F.lit(" "), F.lit(1)))
+    title = F.when(m == 0, F.upper(name)).when(m == 1, F.concat(F.lit("The "), name)).when(m == 2, F.concat(name, F.lit(": Part II"))).when(m == 3, F.concat(F.lit("  "), name, F.lit(" 2"))).when(m == 4, F.concat(name, F.lit(" – Dark  Tale"))).otherwise(swapped)
+    return d.table("part").select(F.col("p_partkey").alias("id"), name.alias("plain"), title.alias("title"))
+
+
+@query("normalize_title", f"WITH {TITLE} SELECT id, {NORM.format(t='title')} AS normal FROM title")
+def _(d):
+    return _titles(d).select("id", text.normalize(F.col("title")).alias("normal"))
+
+
+@query("title_forms", f"""WITH {TITLE}, n AS (SELECT id, {NORM.format(t='title')} AS n FROM title), l AS (SELECT id, n, trim(regexp_replace(regexp_replace(n, '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS l FROM n),
+a AS (SELECT id, n, l, regexp_replace(n, '^(the|a|an) ', '') AS x, regexp_replace(l, '^(the|a|an) ', '') AS y FROM l)
+SELECT id, n || CASE WHEN l NOT IN (n, '') THEN '|' || l ELSE '' END || CASE WHEN x NOT IN (n, l, '') THEN '|' || x ELSE '' END || CASE WHEN y NOT IN (n, l, x, '') THEN '|' || y ELSE '' END AS forms FROM a""")
+def _(d):
+    return _titles(d).select("id", F.array_join(text.comparison_forms(text.normalize_ascii(F.col("title"))), "|").alias("forms"))
+
+
+@query("sequence_markers", f"""WITH {TITLE}, t AS (SELECT id, regexp_extract_all({NORM.format(t='title')}, '[\\p{{L}}\\p{{N}}]+') AS w FROM title)
+SELECT id, array_to_string(list_sort(list_distinct(list_transform(list_filter(w, lambda x: regexp_full_match(x, '[0-9]+') OR x IN ('i','ii','iii','iv','v','vi','vii','viii','ix','x','one','two','three','four','five','six','seven','eight','nine','ten')), lambda x: CASE x WHEN 'ii' THEN '2' ELSE x END))), ',') AS markers FROM t""")
+def _(d):
+    return _titles(d).select("id", F.array_join(text.markers(text.tokens(text.normalize_ascii(F.col("title")))), ",").alias("markers"))
+
+
+@query("trigram_similarity", f"WITH {TITLE}, g AS (SELECT id, {GRAMS.format(t='title')} AS a, {GRAMS.format(t='plain')} AS b FROM title) SELECT id, len(a)::INT AS n_grams, round(coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0), 6) AS similarity FROM g")
+def _(d):
+    return rounded(_titles(d).select("id", F.size(text.trigrams(F.col("title"))).alias("n_grams"), text.similarity(F.col("title"), F.col("plain")).alias("similarity")))
+
+
+@query("titles_distinct", f"""WITH {TITLE} SELECT id, CASE id % 6 WHEN 2 THEN true WHEN 3 THEN true WHEN 4 THEN true WHEN 5 THEN split_part(plain, ' ', 1) <> split_part(plain, ' ', 2) ELSE false END AS distinct_titles FROM title""")
+def _(d):
+    n = text.normalize_ascii
+    return _titles(d).select("id", text.titles_distinct(n(F.col("title")), n(F.col("plain"))).alias("distinct_titles"))
+
+
+@query("trigram_gram_join", f"""WITH {v.FILM}, q AS (SELECT film_id AS query_id, lower(title) AS n, year FROM film WHERE film_id % 10 = 0), t AS (SELECT DISTINCT title, {GRAMS.format(t='title')} AS g FROM film), u AS (SELECT a.title AS a, b.title AS b, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) AS s FROM t a, t b),
+r AS (SELECT query_id, film_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, film_id) AS p FROM q JOIN film f USING (year) JOIN u ON u.a = q.n AND u.b = f.title WHERE s >= 0.3)
+SELECT query_id, film_id, round(s, 6) AS similarity FROM r WHERE p <= 20""")
+def _(d):
+    films = d.films().select("film_id", text.normalize_ascii(F.col("title")).alias("normal"), "year")
+    asked = films.filter("film_id % 10 = 0").withColumnRenamed("film_id", "query_id")  # every tenth title is asked against all films
+    return rounded(resolve.gram_join(asked, films))
+
+
+@query("dominant_candidate", f"""WITH {v.FILM}, r AS (SELECT title, year, film_id, vote_count, row_number() OVER w AS p, lead(vote_count) OVER w AS runner_up FROM film WINDOW w AS (PARTITION BY title, year ORDER BY vote_count DESC, film_id))
+SELECT title, year, film_id AS leader_id, vote_count AS leader_votes, runner_up, coalesce(vote_count >= 50 AND runner_up IS NOT NULL AND vote_count >= 10 * greatest(runner_up, 1), false) AS is_dominant FROM r WHERE p = 1""")
+def _(d):
+    return resolve.dominant(d.films(), ["title", "year"])
+
+
+def _search(d):
+    """Every film's title asked with its year moved by -1, 0 or 1, against films of the same title two years around."""
+    films = d.films().select("film_id", "title", F.lit(None).cast("string").alias("original_title"), "year", "vote_count")
+    asked = d.films().select(F.col("film_id").alias("query_id"), F.upper("title").alias("query_title"), (F.col("year") + F.col("film_id") % 3 - 1).cast("int").alias("query_year"), F.col("title").alias("t"))
+    asked = asked.withColumn("query_year", F.when(F.col("query_id") % 50 != 7, F.col("query_year")))
+    near = films.join(asked, (F.col("title") == F.col("t")) & F.coalesce(F.abs(F.col("year") - F.col("query_year")) <= 2, F.col("year") == 1975))
+    return asked.drop("t"), near.drop("t")
+
+
+@query("resolve_choose", f"""WITH {v.FILM}, q AS (SELECT film_id AS query_id, title AS t, CASE WHEN film_id % 50 <> 7 THEN (year + film_id % 3 - 1)::INT END AS y FROM film),
+c AS (SELECT query_id, y, film_id, vote_count, abs(year - y) AS gap, year FROM q JOIN film ON title = t AND coalesce(abs(year - y) <= 2, year = 1975)),
+w AS (SELECT *, gap <= 1 AS win, gap = 0 AS same FROM c),
+p AS (SELECT query_id, count(*) AS n, count_if(win) AS ne, count_if(win AND same) AS ney,
+  list_sort(list((-vote_count, film_id)) FILTER (win)) AS le, list_sort(list((-vote_count, film_id)) FILTER (win AND same)) AS ley, min(film_id) AS only_id FROM w GROUP BY query_id),
+z AS (SELECT q.query_id, q.y, coalesce(n, 0) AS n, ne, ney, only_id, le[1][2] AS lead, -le[1][1] AS v1, -le[2][1] AS v2, ley[1][2] AS leady, -ley[1][1] AS y1, -ley[2][1] AS y2 FROM q LEFT JOIN p USING (query_id)),
+k AS (SELECT *, CASE WHEN n = 0 THEN 1 WHEN y IS NULL AND n = 1 THEN 2 WHEN y IS NULL THEN 3 WHEN ne = 0 THEN 4 WHEN ney = 1 THEN 5 WHEN ney > 1 AND y1 >= 50 AND y1 >= 10 * greatest(y2, 1) THEN 6 WHEN ney > 1 THEN 7
+  WHEN ne = 1 THEN 8 WHEN v1 >= 50 AND v1 >= 10 * greatest(v2, 1) THEN 9 ELSE 10 END AS rule FROM z)
+SELECT query_id, CASE rule WHEN 2 THEN only_id WHEN 5 THEN leady WHEN 6 THEN leady WHEN 8 THEN lead WHEN 9 THEN lead END AS film_id,
+  CASE WHEN rule IN (2, 5) THEN 'exact' WHEN rule IN (6, 9) THEN 'dominant' WHEN rule = 8 THEN 'trigram' ELSE 'unresolved' END AS match_method,
+  CASE WHEN rule IN (2, 5, 6) THEN 1.0 WHEN rule IN (8, 9) THEN 0.9 END::DOUBLE AS confidence, rule IN (1, 3, 4) AS no_film_candidate FROM k""")
+def _(d):
+    asked, near = _search(d)
+    return resolve.choose(asked, resolve.candidates(near, ascii_only=True)).drop("reason")
+
+
+@query("resolve_waterfall")
+def _(d):
+    asked, near = _search(d)
+    known = asked.filter("query_id % 9 = 0").select("query_id", F.col("query_id").alias("film_id"), F.lit("exact").alias("match_method"), F.lit(1.0).alias("confidence"), F.lit(False).alias("no_film_candidate"), F.lit("").alias("reason"))
+    films = d.films().select("film_id", "title", F.lit(None).cast("string").alias("original_title"), "year", "vote_count")
+    shows = asked.select("query_id", F.col("query_title").alias("show_name"), F.lit(None).cast("string").alias("show_original_name"), F.col("query_year").alias("show_year")).filter("query_id % 4 = 0")
+    return resolve.waterfall(asked, known, films, near, shows)
+
+
+@query("upsert_coalesce", f"""WITH {v.FILM}, old AS (SELECT film_id, title, year, vote_average FROM film WHERE film_id % 3 <> 0), new AS (SELECT film_id, upper(title) AS title, CASE WHEN film_id % 2 = 0 THEN year + 1 END AS year, CASE WHEN film_id % 5 = 0 THEN 1.0 END AS vote_average FROM film WHERE film_id % 4 <> 0)
+SELECT film_id, coalesce(n.title, o.title) AS title, coalesce(n.year, o.year) AS year, round(coalesce(n.vote_average, o.vote_average)::DOUBLE, 6) AS vote_average,
+  CASE WHEN n.film_id IS NULL THEN '{{"id":1,"credits":{{}}}}' WHEN film_id % 7 = 0 THEN '{{"id":2,"credits":{{}}}}' WHEN o.film_id IS NULL THEN '{{"id":2}}' ELSE '{{"id":1,"credits":{{}}}}' END AS raw FROM old o FULL JOIN new n USING (film_id)""")
+def _(d):
+    films = d.films()
+    blank = lambda t: F.lit(None).cast(t)
+    old = films.filter("film_id % 3 <> 0").select("film_id", "title", blank("string").alias("original_title"), "year", "vote_average", blank("int").alias("vote_count"), blank("string").alias("country"), F.lit('{"id":1,"credits":{}}').alias("raw"))
+    i = F.col("film_id")
+    raw = F.when(i % 7 == 0, '{"id":2,"credits":{}}').otherwise('{"id":2}')
+    new = films.filter("film_id % 4 <> 0").select("film_id", F.upper("title").alias("title"), blank("string").alias("original_title"), F.when(i % 2 == 0, F.col("year") + 1).alias("year"), F.when(i % 5 == 0, 1.0).alias("vote_average"), blank("int").alias("vote_count"), blank("string").alias("country"), raw.alias("raw"), F.lit(1).alias("seq"))
+    return rounded(merge.upsert_films(old, new).select("film_id", "title", "year", "vote_average", "raw"))
+
+
+@query("upsert_last", f"WITH {v.FILM} SELECT film_id, CASE WHEN film_id % 4 = 0 THEN upper(title) || ' b' ELSE title END AS title FROM film")
+def _(d):
+    table = d.films().select("film_id", "title")
+    new = table.filter("film_id % 4 = 0")
+    batch = new.withColumns({"title": F.concat(F.upper("title"), F.lit(" a")), "seq": F.lit(1)}).unionByName(new.withColumns({"title": F.concat(F.upper("title"), F.lit(" b")), "seq": F.lit(2)}))
+    return merge.upsert_last(table, batch, "film_id")
+
+
+@query("insert_new_people", "SELECT s_suppkey AS person_id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'new ' || s_name END AS name FROM supplier")
+def _(d):
+    all_people = d.table("supplier").select(F.col("s_suppkey").alias("person_id"), F.col("s_name").alias("name"))
+    return merge.insert_new(all_people.filter("person_id % 2 = 0"), all_people.withColumn("name", F.concat(F.lit("new "), F.col("name"))), ["person_id"])
+
+
+@query("placeholder_people", f"WITH {v.CREDIT} SELECT DISTINCT person_id, CASE WHEN person_id % 3 = 0 THEN 'held' ELSE 'person ' || person_id END AS name FROM credit")
+def _(d):
+    held = d.credits().select("person_id").distinct().filter("person_id % 3 = 0").withColumn("name", F.lit("held"))
+    return merge.placeholders(held, d.credits())
+
+
+def _payloads(d):
+    """Payloads made of line items: crew in line order with repeats, cast with billing orders and a repeated person."""
+    lines = d.table("lineitem").groupBy(F.col("l_partkey").alias("film_id")).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_suppkey"))).alias("x"))
+    crew = F.transform("x", lambda e: F.struct(e["l_suppkey"].cast("int").alias("id"), F.when(e["l_orderkey"] % 11 != 0, F.concat(F.lit("p"), e["l_suppkey"].cast("string"))).alias("name"), F.lit("Editing").alias("department"), F.when(e["l_linenumber"] < 4, "Editor").otherwise("Assistant").alias("job")))
+    cast = F.transform("x", lambda e, i: F.struct(e["l_suppkey"].cast("int").alias("id"), F.concat(F.lit("p"), e["l_suppkey"].cast("string")).alias("name"), i.alias("order")))
+    return lines.select("film_id", F.struct(F.struct(crew.alias("crew"), cast.alias("cast")).alias("credits")).alias("p"))
+
+
+@query("credits_dedupe", "SELECT DISTINCT l_partkey AS film_id, l_suppkey::INT AS person_id, 'p' || l_suppkey AS name, 'Editing' AS department, CASE WHEN l_linenumber < 4 THEN 'Editor' ELSE 'Assistant' END AS job FROM lineitem WHERE l_orderkey % 11 <> 0")
+def _(d):
+    return merge.crew_credits(_payloads(d))
+
+
+@query("cast_top_billed", "WITH r AS (SELECT l_partkey AS film_id, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS p FROM lineitem) SELECT DISTINCT film_id, l_suppkey::INT AS person_id, 'p' || l_suppkey AS name, 'Acting' AS department, 'Actor' AS job FROM r WHERE p <= 10")
+def _(d):
+    return merge.cast_credits(_payloads(d))
+
+
+@query("json_genres", f"WITH {v.FILM} SELECT film_id, array_to_string(genres, ',') AS genres FROM film")
+def _(d):
+    made = F.to_json(F.struct(F.transform("genres", lambda g: F.struct(F.lit(1).alias("id"), g.alias("name"))).alias("genres")))
+    return d.films().select("film_id", F.array_join(merge.genre_names(made), ",").alias("genres"))
+
+
+@query("genre_ids", f"WITH {v.FILM} SELECT film_id, array_to_string(list_transform(list_filter([film_id % 3, film_id % 5, 9], lambda x: x < 3), lambda x: 'g' || x), ',') AS genres FROM film")
+def _(d):
+    names = F.create_map(*[F.lit(x) for i in range(3) for x in (i, f"g{i}")])
+    ids = F.array((F.col("film_id") % 3).cast("int"), (F.col("film_id") % 5).cast("int"), F.lit(9))
+    return d.films().select("film_id", F.array_join(merge.genre_ids_to_names(ids, names), ",").alias("genres"))
+
+
+@query("person_filmography", f"WITH {v.FILM}, {v.CREDIT} SELECT DISTINCT film_id, person_id, department, job FROM credit JOIN film USING (film_id) WHERE role NOT IN ('director', 'actor') AND vote_count >= 20")
+def _(d):
+    films = d.films().select("film_id", "title", F.lit(None).cast("string").alias("original_title"), F.concat(F.col("year").cast("string"), F.lit("-01-01")).alias("release_date"), "vote_average", "vote_count")
+    return merge.person_filmography(d.credits().join(films, "film_id"), films.filter("film_id < 0"))[1]
+
+
+@query("delete_upload", f"WITH {v.RATING} SELECT upload_id, count(*)::BIGINT AS n FROM rating WHERE upload_id NOT LIKE 'B%' GROUP BY 1")
+def _(d):
+    r = d.ratings()
+    return merge.delete_upload(r, r.select("upload_id").distinct().filter("upload_id LIKE 'B%'")).groupBy("upload_id").agg(F.count("*").alias("n"))
+
+
+@query("parse_ratings_skips", """SELECT CASE WHEN l_linenumber = 1 THEN 'ratings:missing_uri_or_name' WHEN l_quantity::INT % 7 = 0 OR l_quantity > 40 OR l_quantity < 4 OR (l_quantity / 8) % 0.5 <> 0 THEN 'ratings:unusable_rating' END AS skip, count(*)::BIGINT AS n FROM lineitem GROUP BY 1""")
+def _(d):
+    from tasteplane.sources.export import parse_ratings
+
+    q = F.col("l_quantity")
+    rows = d.table("lineitem").select(
+        F.when(F.col("l_linenumber") != 1, F.concat(F.lit("u"), F.col("l_orderkey").cast("string"))).alias("uri"), F.lit(" name ").alias("name"), F.lit("1999").alias("year"),
+        F.when(q.cast("int") % 7 == 0, "n/a").otherwise((q / 8).cast("string")).alias("rating"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
+    )
+    return parse_ratings(rows).groupBy("skip").agg(F.count("*").alias("n"))
+
+
+@query("parse_dates", "SELECT l_shipmonth AS month, count(*)::BIGINT AS n FROM (SELECT CASE WHEN l_linenumber = 2 THEN NULL ELSE strftime(l_shipdate, '%Y-%m') END AS l_shipmonth FROM lineitem) GROUP BY 1")
+def _(d):
+    written = F.when(F.col("l_linenumber") == 2, F.date_format("l_shipdate", "dd/MM/yyyy")).otherwise(F.date_format("l_shipdate", " yyyy-MM-dd "))
+    return d.table("lineitem").groupBy(scalar.month(scalar.parse_date(written)).alias("month")).agg(F.count("*").alias("n"))
