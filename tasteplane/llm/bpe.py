@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 #: white space of the normaliser's \s: the Unicode property, without the separators U+001C to U+001F
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 700_000
 _END = 0x10000  # added to a character to mark it as the last of a word
 
 
@@ -92,6 +92,7 @@ class Encoder:
                     break
         self._compatible: dict[tuple[int, int], bool] = {}
         self._known: dict[str, tuple[str, int, str]] = {}
+        self._pieces_known: dict[str, list[int]] = {}
 
     @staticmethod
     def _offset_table(tokens: dict[int, str]) -> tuple[array, str]:
@@ -161,15 +162,21 @@ class Encoder:
 
     def word_ids(self, piece: str) -> list[int]:
         """Ids of one pre-token (already normalised)."""
-        chars = [self._bytes[b] for b in piece.encode("utf-8")]
-        chars[-1] = chr(ord(chars[-1]) + _END)
-        return [self._to_id[k] for k in self._backtrack("".join(chars))]
+        if (got := self._pieces_known.get(piece)) is not None:
+            return got
+        mapped = piece if piece.isascii() and piece.isprintable() and " " not in piece else "".join([self._bytes[b] for b in piece.encode("utf-8")])
+        got = [self._to_id[k] for k in self._backtrack(mapped[:-1] + chr(ord(mapped[-1]) + _END))]
+        if len(self._pieces_known) >= REMEMBERED_WORDS:
+            self._pieces_known.clear()
+        self._pieces_known[piece] = got
+        return got
 
     def _chunk(self, chunk: str) -> tuple[str, int, str]:
         """Ids (joined), their number and the decoded text of a run without white space."""
         low = unicodedata.normalize("NFC", chunk)
         low = "".join(map(str.lower, low)) if "Σ" in low else low.lower()  # sigma has no final form here
-        ids = [i for piece in self._split_re.findall(low) for i in self.word_ids(piece)]
+        pieces = [low] if low.isascii() and low.isalpha() else self._split_re.findall(low)
+        ids = [i for piece in pieces for i in self.word_ids(piece)]
         if len(self._known) >= REMEMBERED_WORDS:
             self._known.clear()
         self._known[chunk] = got = (" ".join(map(str, ids)), len(ids), self.decode(ids))
