@@ -1,2 +1,291 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Expectations, effects, predictions, metrics, recommendations, inference."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tasteplane.operators import crew, expectation, inference, metrics, recommend, ridge_crew, splits
+from tasteplane.operators.roles import BELOW_THE_LINE, with_roles
+from tasteplane.plans import bench_views as v
+from tasteplane.plans import ladder
+from tasteplane.plans._register import Registry, rounded
+
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
+KEYS = ["upload_id"]
+
+
+def _expected(d, target: str = "rating"):
+    lib = d.library()
+    return expectation.fit_predict(lib, lib, "simple", target).withColumn("residual", F.col(target) - F.col("expected"))
+
+
+@query("ols_expectation", f"WITH {v.LIBRARY}, {v.simple()} SELECT upload_id, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(fallback, 6) AS fallback FROM fit")
+def _(d):
+    return rounded(expectation.simple_fit(d.library()))
+
+
+@query("residuals", f"WITH {v.LIBRARY}, {v.simple()} SELECT upload_id, film_id, round(expected, 6) AS expected, round(rating - expected, 6) AS residual FROM expected")
+def _(d):
+    return rounded(_expected(d).select("upload_id", "film_id", "expected", "residual"))
+
+
+@query("preference_target", f"WITH {v.LIBRARY}, {v.simple('preference')} SELECT upload_id, film_id, round(preference - expected, 6) AS residual FROM expected")
+def _(d):
+    return rounded(_expected(d, "preference").select("upload_id", "film_id", "residual"))
+
+
+CONSENSUS = f"""WITH {v.LIBRARY}, x AS (SELECT upload_id, vote_average AS a, ln(1 + vote_count) AS b, rating AS y FROM library),
+m AS (SELECT upload_id, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) * count(*) + 10 AS aa, var_pop(b) * count(*) + 10 AS bb, covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS byy FROM x GROUP BY 1),
+s AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS ca, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM m)
+SELECT upload_id, f AS feature, round(CASE f WHEN '1' THEN my - ca * ma - cb * mb WHEN 'average' THEN ca ELSE cb END, 6) AS coefficient FROM s, (VALUES ('1'), ('average'), ('votes')) t(f)"""
+
+
+@query("ridge_consensus", CONSENSUS)
+def _(d):
+    return rounded(expectation.ridge_fit(d.library(), context=()))
+
+
+@query("ridge_expectation")
+def _(d):
+    return rounded(expectation.ridge_fit(d.library()))
+
+
+def _effect_columns(fitted, *keys):
+    return rounded(fitted.select("upload_id", *keys, "n", "raw", F.when(F.col("k") != float("inf"), 1 / (1 + F.col("k"))).otherwise(0.0).alias("weight_of_one"), "effect", "stderr"), 5)
+
+
+def _effect_sql(keys: str, name: str = "effect") -> str:
+    return f"SELECT upload_id, {keys}, n::BIGINT AS n, round(raw, 5) + 0.0::DOUBLE AS raw, round(CASE WHEN isinf(k) THEN 0 ELSE 1 / (1 + k) END, 5) AS weight_of_one, round(effect, 5) + 0.0::DOUBLE AS effect, round(stderr, 5) AS stderr FROM {name}"
+
+
+@query("crew_effects", f"WITH {v.BASE}, {v.simple()}, {v.effects()} {_effect_sql('role, person_id')}")
+def _(d):
+    return _effect_columns(crew.effects(_expected(d), d.film_credits()), "role", "person_id")
+
+
+@query("director_effects", f"WITH {v.BASE}, {v.simple()}, chosen AS (SELECT * FROM lib_credit WHERE role = 'director'), {v.effects(source='chosen')} {_effect_sql('role, person_id')}")
+def _(d):
+    return _effect_columns(crew.effects(_expected(d), d.film_credits().filter("role = 'director'")), "role", "person_id")
+
+
+@query("genre_effects", f"WITH {v.LIBRARY}, {v.simple()}, chosen AS (SELECT DISTINCT upload_id, film_id, 'genre' AS role, unnest(genres) AS person_id FROM library), {v.effects(source='chosen')} {_effect_sql('role, person_id')}")
+def _(d):
+    genres = d.films().select("film_id", F.lit("genre").alias("role"), F.explode(F.array_distinct("genres")).alias("person_id"))
+    return _effect_columns(crew.effects(_expected(d), genres), "role", "person_id")
+
+
+@query("shrinkage_k", f"WITH {v.BASE}, {v.simple()}, {v.effects()} SELECT upload_id, role, round(CASE WHEN isinf(k) THEN -1 ELSE 1 / (1 + k) END, 5) AS weight_of_one, round(within, 5) AS within FROM k_effect")
+def _(d):
+    rows = _expected(d).select("upload_id", "film_id", "residual").join(d.film_credits(), "film_id")
+    parts = crew.variance_components(crew.group_stats(rows, ["upload_id", "role", "person_id"]), ["upload_id", "role"])
+    return rounded(parts.select("upload_id", "role", F.when(F.col("k") != float("inf"), 1 / (1 + F.col("k"))).otherwise(-1.0).alias("weight_of_one"), "within"), 5)
+
+
+@query("inseparability", f"""WITH {v.BASE}, few AS (SELECT * FROM lib_credit WHERE film_id % 23 = 1), n AS (SELECT upload_id, role, person_id, count(*) AS n FROM few WHERE role <> 'director' GROUP BY 1, 2, 3),
+t AS (SELECT p.upload_id, p.role, p.person_id, x.person_id AS director_id, count(*) AS c FROM few p JOIN few x ON p.upload_id = x.upload_id AND p.film_id = x.film_id AND x.role = 'director' WHERE p.role <> 'director' GROUP BY 1, 2, 3, 4),
+b AS (SELECT *, row_number() OVER (PARTITION BY upload_id, role, person_id ORDER BY c DESC, director_id) AS p FROM t)
+SELECT n.upload_id, n.role, n.person_id, CASE WHEN n >= 2 AND c = n THEN director_id END AS director_id, CASE WHEN n >= 2 AND c = n THEN 1.0 ELSE 0.0 END::DOUBLE AS overlap FROM n LEFT JOIN b ON n.upload_id = b.upload_id AND n.role = b.role AND n.person_id = b.person_id AND b.p = 1""")
+def _(d):
+    # a thin credit graph, so that people with one director exist: part of the feature under test, not of the data's size
+    return crew.inseparability(d.ratings(), d.film_credits().filter("film_id % 23 = 1"))
+
+
+def _combined(how: str, across: str):
+    agg = {"mean": "avg(effect)", "max": "arg_max(effect, (round(abs(effect), 12), -person_id))", "weighted": "sum(effect / power(greatest(stderr, 1e-6), 2)) / sum(1 / power(greatest(stderr, 1e-6), 2))"}[how]
+    over = {"mean": "avg(e)", "max": "arg_max(e, (round(abs(e), 12), role))", "sum": "sum(e)", "sum_scaled": "sum(e) / sqrt(count(*))"}[across]
+    sql = f"""WITH {v.BASE}, {v.simple()}, {v.effects()}, r AS (SELECT l.upload_id, film_id, role, {agg} AS e FROM lib_credit l JOIN effect USING (upload_id, role, person_id) GROUP BY 1, 2, 3)
+SELECT upload_id, film_id, round({over}, 5) + 0.0::DOUBLE AS adjustment FROM r GROUP BY 1, 2"""
+
+    def run(d):
+        credits = d.film_credits()
+        return rounded(crew.adjustments(d.ratings(), credits, crew.effects(_expected(d), credits), how, across), 5)
+
+    return sql, run
+
+
+for _name, _how, _over in (("combine_mean", "mean", "mean"), ("combine_max", "max", "mean"), ("combine_weighted", "weighted", "mean"), ("across_sum", "mean", "sum"), ("across_sum_scaled", "mean", "sum_scaled"), ("across_max", "mean", "max")):
+    _sql, _run = _combined(_how, _over)
+    query(_name, _sql)(_run)
+
+SPLIT = f"split AS (SELECT *, CASE WHEN logged_date < DATE '{v.CUT}' THEN 'train' ELSE 'test' END AS block FROM library WHERE logged_date IS NOT NULL), train AS (SELECT * FROM split WHERE block = 'train'), test AS (SELECT * FROM split WHERE block = 'test')"
+#: crew predictions on the test block from effects of the train block, on the simple expectation
+PREDICTED = f"""WITH {v.BASE}, {SPLIT}, {v.simple(train='train', rows='split')}, on_train AS (SELECT * FROM expected WHERE block = 'train'),
+chosen AS (SELECT * FROM lib_credit WHERE role NOT IN ('director', 'actor')), train_credit AS (SELECT s.* FROM chosen s JOIN train t ON s.upload_id = t.upload_id AND s.film_id = t.film_id), {v.effects(source='train_credit', expected='on_train')},
+r AS (SELECT s.upload_id, film_id, role, avg(effect) AS e FROM chosen s JOIN effect USING (upload_id, role, person_id) GROUP BY 1, 2, 3), adj AS (SELECT upload_id, film_id, avg(e) AS adjustment FROM r GROUP BY 1, 2),
+pred AS (SELECT x.upload_id, x.film_id, round(x.expected + coalesce(adjustment, 0), 7) AS predicted, x.rating::DOUBLE AS actual FROM expected x LEFT JOIN adj USING (upload_id, film_id) WHERE block = 'test')"""
+
+
+def _split(d):
+    return splits.temporal_split(d.library(), v.CUT)
+
+
+def _predicted(d):
+    s = _split(d)
+    rows = ladder.people(s.filter("block = 'train'"), s.filter("block = 'test'"), d.film_credits().filter(F.col("role").isin(*BELOW_THE_LINE)), "simple")
+    return rows.select("upload_id", "film_id", F.round("predicted", 7).alias("predicted"), F.col("rating").alias("actual"))
+
+
+@query("predict_crew", f"{PREDICTED} SELECT upload_id, film_id, round(predicted, 5) AS predicted, actual FROM pred")
+def _(d):
+    return rounded(_predicted(d), 5)
+
+
+PLACED = f"{PREDICTED}, placed AS (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY predicted DESC, film_id) AS place FROM pred)"
+
+
+@query("precision_at_k", f"{PLACED} SELECT upload_id, round(coalesce(avg((actual >= 4.5)::INT) FILTER (place <= 100), 0), 6) AS gate_precision, round(avg((actual >= 4.5)::INT), 6) AS gate_base FROM placed GROUP BY 1")
+def _(d):
+    p = metrics.placed(_predicted(d), KEYS)
+    return rounded(p.groupBy(*KEYS).agg(metrics.precision(*metrics.GATE).alias("gate_precision"), F.avg((F.col("actual") >= 4.5).cast("double")).alias("gate_base")))
+
+
+@query("precision_grid", f"{PLACED} SELECT upload_id, k::INT AS k, t::DOUBLE AS threshold, round(avg((actual >= t)::INT), 6) AS precision FROM placed, (VALUES (10), (20), (50), (100), (200)) a(k), (VALUES (4.0), (4.5), (5.0)) b(t) WHERE place <= k GROUP BY 1, 2, 3")
+def _(d):
+    return rounded(metrics.precision_grid(_predicted(d), KEYS))
+
+
+@query("calibration_bins", f"{PREDICTED}, b AS (SELECT *, ntile(5) OVER (PARTITION BY upload_id ORDER BY predicted, film_id)::INT AS bin FROM pred) SELECT upload_id, bin, round(avg(predicted), 5) AS mean_predicted, round(avg(actual), 5) AS mean_actual, count(*)::BIGINT AS n FROM b GROUP BY 1, 2")
+def _(d):
+    return rounded(metrics.calibration(_predicted(d), KEYS), 5)
+
+
+@query("spearman", f"""{PREDICTED}, rk AS (SELECT *, rank() OVER (PARTITION BY upload_id ORDER BY predicted) + (count(*) OVER (PARTITION BY upload_id, predicted) - 1) / 2.0 AS rp, rank() OVER (PARTITION BY upload_id ORDER BY actual) + (count(*) OVER (PARTITION BY upload_id, actual) - 1) / 2.0 AS ra FROM pred)
+SELECT upload_id, round(CASE WHEN min(predicted) = max(predicted) OR min(actual) = max(actual) THEN 0 ELSE corr(rp::DOUBLE, ra::DOUBLE) END, 5) AS spearman FROM rk GROUP BY 1""")
+def _(d):
+    return rounded(metrics.spearman(_predicted(d), KEYS), 5)
+
+
+@query("mae_rmse_centred", f"{PREDICTED}, s AS (SELECT *, predicted - actual AS e, avg(predicted - actual) OVER (PARTITION BY upload_id) AS m FROM pred) SELECT upload_id, round(avg(abs(e)), 5) AS mae, round(sqrt(avg(e * e)), 5) AS rmse, round(avg(abs(e - m)), 5) AS mae_centred FROM s GROUP BY 1")
+def _(d):
+    return rounded(metrics.errors(_predicted(d), KEYS), 5)
+
+
+@query("variance_explained", f"{PREDICTED} SELECT upload_id, round(1 - sum(power(actual - predicted, 2)) / (var_pop(actual) * count(*)), 5) AS explained FROM pred GROUP BY 1")
+def _(d):
+    return rounded(metrics.variance_explained(_predicted(d), KEYS), 5)
+
+
+@query("variance_explained_centred", f"{PREDICTED} SELECT upload_id, round(1 - var_pop(actual - predicted) / var_pop(actual), 5) AS explained_centred FROM pred GROUP BY 1")
+def _(d):
+    return rounded(metrics.variance_explained(_predicted(d), KEYS, centred=True), 5)
+
+
+def _train(d):
+    return _split(d).filter("block = 'train'").drop("block")
+
+
+UNRATED = f"{PREDICTED.split(', pred AS')[0]}, cand AS (SELECT u.upload_id, f.* FROM film f CROSS JOIN (SELECT DISTINCT upload_id FROM train) u WHERE vote_count >= 20 AND NOT EXISTS (SELECT 1 FROM train t WHERE t.upload_id = u.upload_id AND t.film_id = f.film_id))"
+
+
+@query("novelty_percentile", f"{UNRATED}, v AS (SELECT upload_id, vote_count AS v, count(*) AS c FROM train GROUP BY 1, 2), w AS (SELECT x.upload_id, x.film_id, sum(CASE WHEN v.v <= x.vote_count THEN c ELSE 0 END) / sum(c) AS p FROM cand x JOIN v USING (upload_id) GROUP BY 1, 2) SELECT upload_id, film_id, round(p, 6) AS percentile FROM w")
+def _(d):
+    train = _train(d)
+    return rounded(recommend.novelty(recommend.unrated(d.films(), train), train).select("upload_id", "film_id", "percentile"))
+
+
+@query("director_familiarity", f"""{UNRATED}, dir AS (SELECT DISTINCT film_id, person_id FROM credit WHERE role = 'director'), fam AS (SELECT DISTINCT t.upload_id, person_id FROM train t JOIN dir USING (film_id)),
+a AS (SELECT c.upload_id, c.film_id, bool_or(f.person_id IS NOT NULL) AS fam FROM cand c JOIN dir x USING (film_id) LEFT JOIN fam f ON f.upload_id = c.upload_id AND f.person_id = x.person_id GROUP BY 1, 2)
+SELECT c.upload_id, c.film_id, a.fam AS director_is_familiar FROM cand c LEFT JOIN a USING (upload_id, film_id)""")
+def _(d):
+    train = _train(d)
+    credits = with_roles(d.credits()).select("film_id", "role", "person_id").distinct()
+    return recommend.director_familiarity(recommend.unrated(d.films(), train), credits, train).select("upload_id", "film_id", "director_is_familiar")
+
+
+TOP = f"""{UNRATED.replace('chosen AS (SELECT * FROM lib_credit WHERE', 'chosen AS (SELECT upload_id, credit.film_id, role, person_id FROM (SELECT DISTINCT upload_id FROM rating) CROSS JOIN credit WHERE')}, sc AS (
+  SELECT c.upload_id, c.film_id, round(adjustment, 7) AS adj FROM cand c JOIN adj USING (upload_id, film_id)),
+rs AS (SELECT s.upload_id, s.film_id, s.person_id, s.role, row_number() OVER (PARTITION BY s.upload_id, s.film_id ORDER BY round(abs(effect), 9) DESC,
+  list_position(['editor','cinematographer','composer','production_designer','writer'], s.role), s.person_id) AS p FROM chosen s JOIN effect USING (upload_id, role, person_id)),
+j AS (SELECT sc.*, person_id, role FROM sc JOIN rs ON rs.upload_id = sc.upload_id AND rs.film_id = sc.film_id AND p = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY upload_id, person_id ORDER BY adj DESC, film_id) AS q FROM j), t AS (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY adj DESC, film_id)::INT AS place FROM k WHERE q <= 2)"""
+
+
+def _recommended(d):
+    train = _train(d)
+    credits = with_roles(d.credits()).filter("below_the_line or role = 'director'").select("film_id", "role", "person_id").distinct()
+    fit = expectation.simple_fit(train)
+    residuals = expectation.simple_predict(train, fit).withColumn("residual", F.col("rating") - F.col("expected"))
+    some = credits.filter("role <> 'director'")
+    fitted = crew.effects(residuals, some).withColumn("effect", F.round("effect", 9))
+    out = recommend.recommendations(d.films(), train, credits, fitted, lambda rows: expectation.simple_predict(rows, fit))
+    return out.withColumn("crew_adjustment", F.round("crew_adjustment", 7))
+
+
+@query("recommend_top_capped", f"{TOP} SELECT upload_id, place, film_id, person_id AS reason_person_id, role AS reason_role, round(adj, 5) + 0.0::DOUBLE AS crew_adjustment FROM t WHERE place <= 20")
+def _(d):
+    return rounded(recommend.top(_recommended(d), 20).select("upload_id", "place", "film_id", "reason_person_id", "reason_role", "crew_adjustment"), 5)
+
+
+@query("non_obviousness")
+def _(d):
+    return rounded(recommend.summary(recommend.top(_recommended(d), 20)))
+
+
+@query("disagreement_gaps")
+def _(d):
+    s = _split(d)
+    train, test = s.filter("block = 'train'"), s.filter("block = 'test'")
+    credits = d.film_credits()
+    return rounded(recommend.gaps(ladder.below_the_line(train, test, credits), ladder.of_role("director")(train, test, credits), 20))
+
+
+@query("evaluate_ladder")
+def _(d):
+    return rounded(ladder.evaluate(_split(d), d.film_credits()))
+
+
+def _pairs(d):
+    return ladder.predictions(_split(d), d.film_credits(), {n: ladder.LADDER[n] for n in ("director", "crew")})
+
+
+@query("bootstrap_compare")
+def _(d):
+    return rounded(ladder.gate_pairs(_pairs(d), (("crew", "director"),), resamples=200))
+
+
+@query("decomposition")
+def _(d):
+    layers = inference.decomposition(_split(d), d.film_credits(), resamples=50)
+    return rounded(layers)
+
+
+@query("permutation_null")
+def _(d):
+    return rounded(inference.permutation_null(d.library(), d.film_credits().filter("role = 'editor'"), permutations=50))
+
+
+@query("significance")
+def _(d):
+    return rounded(inference.significance(d.library(), d.film_credits().filter("role = 'editor'"), permutations=50))
+
+
+@query("shuffle_test")
+def _(d):
+    return rounded(inference.shuffle_test(d.library(), d.film_credits().filter(F.col("role").isin(*BELOW_THE_LINE)), threshold=0.05))
+
+
+@query("synthetic_sweep")
+def _(d):
+    # people of these tables have some 64 to 96 films in a role
+    return inference.synthetic_sweep(d.library(), d.film_credits(), "editor", sizes=(0.5, 1.0), counts=tuple(range(64, 96)), trials=2)
+
+
+@query("ridge_gcv")
+def _(d):
+    return rounded(ridge_crew.fit(_expected(d), d.film_credits().filter("role in ('editor', 'composer')")))
+
+
+@query("ridge_attribution")
+def _(d):
+    residuals, credits = _expected(d), d.film_credits().filter("role in ('editor', 'director')")
+    editors = credits.filter("role = 'editor'")
+    return rounded(ridge_crew.attribution(crew.effects(residuals, editors), ridge_crew.fit(residuals, editors), ridge_crew.fit(residuals, credits)))
+
+
+@query("crew_variants")
+def _(d):
+    s = _split(d)
+    credits = d.film_credits().filter(F.col("role").isin(*BELOW_THE_LINE))
+    rungs = {"_".join(x): (lambda train, test, c, x=x: ladder.people(train, test, c, x[0], x[1], "mean", x[2])) for x in ladder.VARIANTS}
+    return rounded(ladder.evaluate(s, credits, rungs))
