@@ -12,29 +12,35 @@ position), so a group of copied documents keeps one full text.
 
 Each line carries its few template keys; documents per key are counted from distinct
 (key, document) pairs, so a line that a third of all documents share is reduced before
-it meets itself. Keys with very many documents are dealt over salts in the join back.
+it meets itself. Recurring templates go back to the lines by a broadcast while a count proves
+them few, else by a shuffled join in which keys with very many documents are dealt over salts.
 
 Edge cases: null text is empty and has no lines to drop; lines under ``min_tokens`` tokens are never
 dropped; a document of which only blank lines would stay becomes empty; documents with a
-null doc_id count as one document; repeated rows are one document and stay repeated;
+null doc_id count as one document, which never holds a first place; repeated rows are one document and stay repeated;
 an empty table gives no rows; all columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tasteplane.llm._shared import stored, text_or_empty
+from tasteplane.llm._shared import small, stored, text_or_empty
 
 MIN_DOCS, MIN_TOKENS, LEADING, GENERAL_FROM = 3, 3, 2, 9
 #: documents of one template from which on its lines are dealt over SALTS tasks
 HOT_DOCS, SALTS = 2_000, 64
+#: recurring templates (three numbers each) up to which they are broadcast
+RECURRING_ROWS = 250_000
 
 
 def tokens(line: Column) -> Column:
     """Tokens of a line, those with a digit as <*>."""
-    return F.split(F.regexp_replace(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")), r"[^ ]*[0-9][^ ]*", "<*>"), " ")
+    # most lines need neither replacement, and a test costs less than one
+    spaced = F.trim(F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
+    return F.split(F.when(line.rlike("[0-9]"), F.regexp_replace(spaced, r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(spaced), " ")
 
 
 def template_keys(t: Column) -> Column:
@@ -60,17 +66,24 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc, text_key, gone (positions to drop, ascending)."""
     lines = stored(line_keys(docs), "line-keys")
     rows = lines.select("doc", "text_key", "pos", F.explode("keys").alias("key"))
-    per_doc = rows.groupBy("key", "doc").agg(F.min(F.struct("text_key", "pos")).alias("at"))
-    per_key = per_doc.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at.pos", "at.text_key")).alias("first")).filter(F.col("n") >= min_docs)
-    recurring = stored(per_key.select("key", "n", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")), "recurring-templates")
-
-    hot = recurring.filter(F.col("n") >= HOT_DOCS).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    cold = recurring.filter(F.col("n") < HOT_DOCS).withColumn("salt", F.lit(-1))
-    # a row looks for its key among the cold ones, and in its own salt among the hot ones
-    in_cold = rows.join(cold.drop("salt"), "key")
-    in_hot = rows.withColumn("salt", F.pmod(F.xxhash64("doc", "text_key"), F.lit(SALTS)).cast("int")).join(hot, ["key", "salt"]).drop("salt")
-    found = in_cold.select("doc", "text_key", "pos", "first_doc", "first_pos").union(in_hot.select("doc", "text_key", "pos", "first_doc", "first_pos"))
-    again = found.filter(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))))
+    per_key = rows.select("key", "doc").distinct().groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"))
+    recurring = stored(per_key.filter(F.col("n") >= min_docs), "recurring-templates")
+
+    probe = small(recurring, RECURRING_ROWS)
+    if probe is not recurring:
+        found = rows.join(probe, "key")
+    else:
+        hot = recurring.filter(F.col("n") >= HOT_DOCS).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        cold = recurring.filter(F.col("n") < HOT_DOCS)
+        # a row looks for its key among the cold ones, and in its own salt among the hot ones
+        in_hot = rows.withColumn("salt", F.pmod(F.xxhash64("doc", "text_key"), F.lit(SALTS)).cast("int")).join(hot, ["key", "salt"]).drop("salt")
+        found = rows.join(cold, "key").unionByName(in_hot)
+    at_first = F.col("doc").eqNullSafe(F.col("first_doc"))
+    places = ["doc", "text_key", "pos"]
+    later = found.filter(~at_first).select(*places)
+    # of the first document's lines (one document's, so few) the topmost stays
+    within = found.filter(at_first).withColumn("top", F.min("pos").over(W.partitionBy("key"))).filter(F.col("pos") > F.col("top")).select(*places)
+    again = later.union(within)
     return again.groupBy("doc", "text_key").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 

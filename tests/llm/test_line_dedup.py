@@ -29,8 +29,7 @@ def brute(rows, min_docs=3):
         for pos, line in enumerate((text or "").split("\n")):
             for k in keys(line):
                 places.setdefault(k, {}).setdefault(doc, pos)
-    order = lambda d: (d is not None, d or 0)  # noqa: E731  null first
-    first = {k: (min(v, key=order), v[min(v, key=order)]) for k, v in places.items() if len(v) >= min_docs}
+    first = {k: (d := min(x for x in v if x is not None), v[d]) for k, v in places.items() if len(v) >= min_docs}
     out = []
     for doc, text, *_ in rows:
         lines = (text or "").split("\n")
@@ -61,9 +60,10 @@ def corpus():
     return rows + [(200 + i, f"{passage}\n \n", "en", "s", 0, None, None) for i in range(3)]
 
 
-@pytest.mark.parametrize("hot", [2_000, 4])
-def test_equal_to_a_plain_loop(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, few", [(2_000, 250_000), (2_000, 1), (4, 1)])
+def test_equal_to_a_plain_loop(spark, monkeypatch, hot, few):
     monkeypatch.setattr(line_dedup, "HOT_DOCS", hot)
+    monkeypatch.setattr(line_dedup, "RECURRING_ROWS", few)
     rows = corpus()
     out = line_dedup.report(documents(spark, rows)).collect()
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out), key=str) == brute(rows)
