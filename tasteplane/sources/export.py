@@ -70,12 +70,12 @@ def scan(spark: SparkSession, paths: str, name: str) -> DataFrame:
     return raw.select(*[(F.col(f"`{clean[k]}`") if k in clean else F.lit(None).cast("string")).alias(v) for k, v in COLUMNS[name].items()])
 
 
-def parse_ratings(rows: DataFrame) -> DataFrame:
-    """Typed ratings with ``skip``: why a row is unusable (null if it is fine)."""
+def parse_ratings(rows: DataFrame, *keep: str) -> DataFrame:
+    """Typed ratings (after the columns ``keep``) with ``skip``: why a row is unusable, null if it is fine."""
     filled = (F.coalesce(F.trim("uri"), F.lit("")) != "") & (F.coalesce(F.trim("name"), F.lit("")) != "")
     rating = scalar.parse_rating(F.col("rating"))
     skip = F.when(~filled, "ratings:missing_uri_or_name").when(rating.isNull(), "ratings:unusable_rating")
-    return rows.select(F.trim("uri").alias("source_uri"), F.trim("name").alias("name"), scalar.parse_year(F.col("year")).alias("year"), rating.alias("rating"), scalar.parse_date(F.col("date")).alias("logged_date"), skip.alias("skip"))
+    return rows.select(*keep, F.trim("uri").alias("source_uri"), F.trim("name").alias("name"), scalar.parse_year(F.col("year")).alias("year"), rating.alias("rating"), scalar.parse_date(F.col("date")).alias("logged_date"), skip.alias("skip"))
 
 
 def parse_diary(rows: DataFrame) -> DataFrame:
