@@ -71,6 +71,20 @@ def summary(topped: DataFrame) -> DataFrame:
     return topped.groupBy("upload_id").agg(F.avg("percentile").alias("novelty"), F.avg((~F.col("director_is_familiar")).cast("double")).alias("non_obviousness"))
 
 
+def counters(films: DataFrame, library: DataFrame, recommended: DataFrame) -> DataFrame:
+    """Per upload: catalog size, films already rated, scoreable films, and the share of the catalog that can be scored."""
+    rated = library.join(films.select("film_id"), "film_id", "left_semi").groupBy("upload_id").agg(F.count_distinct("film_id").alias("already_rated"))
+    scoreable = recommended.groupBy("upload_id").agg(F.count("*").alias("scoreable"))
+    out = rated.join(scoreable, "upload_id", "left").join(films.agg(F.count("*").alias("catalog_films")), how="cross")
+    return out.withColumn("scoreable", F.coalesce("scoreable", F.lit(0))).withColumn("coverage", F.when(F.col("catalog_films") > 0, F.col("scoreable") / F.col("catalog_films")).otherwise(0.0))
+
+
+def directors_of(payloads: DataFrame) -> DataFrame:
+    """film_id, role, person_id of the directors in stored payloads: familiarity for films whose credits are not in the tables."""
+    crew_rows = payloads.select("film_id", F.explode("p.credits.crew").alias("m")).filter((F.col("m.job") == "Director") & F.col("m.id").isNotNull())
+    return crew_rows.select("film_id", F.lit("director").alias("role"), F.col("m.id").cast("long").alias("person_id")).distinct()
+
+
 def gaps(one: DataFrame, two: DataFrame, limit: int) -> DataFrame:
     """Where two predictors disagree most about the same films: one minus two, by size."""
     both = one.select("upload_id", "film_id", F.col("predicted").alias("one")).join(two.select("upload_id", "film_id", F.col("predicted").alias("two")), ["upload_id", "film_id"])
