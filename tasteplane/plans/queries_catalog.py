@@ -55,13 +55,12 @@ def _(d):
     return _titles(d).select("id", text.titles_distinct(n(F.col("title")), n(F.col("plain"))).alias("distinct_titles"))
 
 
-@query("trigram_gram_join", f"""WITH {v.FILM}, q AS (SELECT film_id AS query_id, lower(title) AS n, year FROM film WHERE film_id % 10 = 0), t AS (SELECT DISTINCT title, {GRAMS.format(t='title')} AS g FROM film), u AS (SELECT a.title AS a, b.title AS b, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) AS s FROM t a, t b),
+@query("trigram_gram_join", f"""WITH {v.FILM}, q AS (SELECT film_id AS query_id, lower(title) AS n, year FROM film), t AS (SELECT DISTINCT title, {GRAMS.format(t='title')} AS g FROM film), u AS (SELECT a.title AS a, b.title AS b, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) AS s FROM t a, t b),
 r AS (SELECT query_id, film_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, film_id) AS p FROM q JOIN film f USING (year) JOIN u ON u.a = q.n AND u.b = f.title WHERE s >= 0.3)
 SELECT query_id, film_id, round(s, 6) AS similarity FROM r WHERE p <= 20""")
 def _(d):
     films = d.films().select("film_id", text.normalize_ascii(F.col("title")).alias("normal"), "year")
-    asked = films.filter("film_id % 10 = 0").withColumnRenamed("film_id", "query_id")  # every tenth title is asked against all films
-    return rounded(resolve.gram_join(asked, films))
+    return rounded(resolve.gram_join(films.withColumnRenamed("film_id", "query_id"), films))
 
 
 @query("dominant_candidate", f"""WITH {v.FILM}, r AS (SELECT title, year, film_id, vote_count, row_number() OVER w AS p, lead(vote_count) OVER w AS runner_up FROM film WINDOW w AS (PARTITION BY title, year ORDER BY vote_count DESC, film_id))
