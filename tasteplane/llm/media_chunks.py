@@ -15,6 +15,9 @@ byte moves the cuts near it only.
    others the lent chunks are joined in by digest. Every chunk is checked against its digest
    and every media against its own, and features are computed from the samples.
 
+Packs are compressed with a dictionary that is trained on a bounded sample of texts and kept
+with the job; no result depends on it.
+
 A rolling hash over the last 32 bytes is a sum of shifted table values, which five doubling
 steps compute for all positions at once. Chunks have LEAST to MOST bytes.
 
@@ -36,7 +39,8 @@ from tasteplane.llm._shared import discard, release, stored, text_or_empty
 
 BLOCK, PAD, RATE = 576, b"\xff", 8_000
 LEAST, MASK_BITS, MOST, WINDOW = 512, 11, 8_192, 32
-_LEVEL = 9
+#: packs are compressed with a dictionary from about SAMPLE_DOCS texts (of each at most SAMPLE_CHARS); it only saves space
+LEVEL, SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 6, 2_000, 16_384, 112_640
 
 
 def payload(text: str) -> bytes:
@@ -107,6 +111,33 @@ def features(samples: bytes) -> str:
     return ",".join(f"{v:.5f}" for v in (x.mean(), x.std(), steps, *shares))
 
 
+def dictionary(docs: DataFrame) -> bytes:
+    """A compression dictionary from a bounded sample by hash of doc_id; empty if there is too little text."""
+    import zstandard
+
+    n = docs.count()
+    span = 1 << 30
+    share = int(span * min(1.0, SAMPLE_DOCS / max(1, n)))
+    sample = docs.filter(F.pmod(F.xxhash64(F.lit("dictionary"), "doc_id"), F.lit(span)) < share)
+    texts = [r.t.encode("utf-8", "surrogatepass") for r in sample.select(F.substring(text_or_empty(), 1, SAMPLE_CHARS).alias("t")).limit(2 * SAMPLE_DOCS).collect()]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(t for t in texts if t)).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _codec(trained: bytes):
+    """(compressor, decompressor)"""
+    import zstandard
+
+    data = zstandard.ZstdCompressionDict(trained) if trained else None
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=data), zstandard.ZstdDecompressor(dict_data=data)
+
+
+def media_id(media: bytes) -> bytes:
+    return hashlib.blake2b(media, digest_size=16, person=b"media").digest()
+
+
 def recipes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media_id, digests (ordered)."""
     import pyarrow as pa
@@ -118,26 +149,24 @@ def recipes(docs: DataFrame) -> DataFrame:
                 text = value.as_py()
                 media = container(payload(text))
                 n.append(len(text.encode("utf-8", "surrogatepass")))
-                ids.append(hashlib.sha256(media).digest())
+                ids.append(media_id(media))
                 lists.append([digest(c) for c in chunked(media)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media_id", "digests"])
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media_id binary, digests array<binary>")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
+def _packed(docs: DataFrame, trained: bytes) -> DataFrame:
     """media_id, z: each media once a batch, compressed."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=_LEVEL)
+        press, _ = _codec(trained)
         for batch in batches:
             found = {}
             for value in batch.column("text"):
                 media = container(payload(value.as_py()))
-                key = hashlib.sha256(media).digest()
+                key = media_id(media)
                 if key not in found:
                     found[key] = press.compress(media)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["media_id", "z"])
@@ -148,7 +177,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 def shared_chunks(recipe: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of chunks that several places hold: (digest, media_id, seq) of the owner, and of the references."""
     media = recipe.groupBy("media_id").agg(F.first("digests").alias("digests"))
-    places = stored(media.select("media_id", F.posexplode("digests").alias("seq", "digest")), "chunk-places")
+    places = media.select("media_id", F.posexplode("digests").alias("seq", "digest"))
     owner = places.groupBy("digest").agg(F.min(F.struct("media_id", "seq")).alias("owner"), F.count("*").alias("n")).filter("n > 1")
     owners = stored(owner.select("digest", F.col("owner.media_id").alias("media_id"), F.col("owner.seq").alias("seq")), "chunk-owners")
     of = owners.select(F.col("digest").alias("_d"), F.col("media_id").alias("_m"), F.col("seq").alias("_s"))
@@ -159,20 +188,18 @@ def shared_chunks(recipe: DataFrame) -> tuple[DataFrame, DataFrame]:
 STORE = "media_id binary, n_bytes long, digests array<binary>, sizes array<int>, borrowed array<int>, lent array<int>, pack binary"
 
 
-def store(docs: DataFrame, owners: DataFrame, references: DataFrame) -> DataFrame:
+def store(docs: DataFrame, owners: DataFrame, references: DataFrame, trained: bytes = b"") -> DataFrame:
     """One row for each distinct media: its ordered chunk list and a pack of the chunks it owns."""
     import pyarrow as pa
 
     empty = F.array().cast("array<int>")
     marks = references.select("media_id", "seq", F.lit(True).alias("out")).union(owners.select("media_id", "seq", F.lit(False)))
     marks = marks.groupBy("media_id").agg(F.collect_set(F.when(F.col("out"), F.col("seq"))).alias("borrowed"), F.collect_set(F.when(~F.col("out"), F.col("seq"))).alias("lent"))
-    media = _packed(docs).groupBy("media_id").agg(F.first("z").alias("z"))
+    media = _packed(docs, trained).groupBy("media_id").agg(F.first("z").alias("z"))
     both = media.join(marks, "media_id", "left").select("media_id", "z", F.coalesce("borrowed", empty).alias("borrowed"), F.coalesce("lent", empty).alias("lent"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        press, open_ = zstandard.ZstdCompressor(level=_LEVEL), zstandard.ZstdDecompressor()
+        press, open_ = _codec(trained)
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
@@ -205,14 +232,12 @@ def _own_chunks(row: dict, open_) -> dict[int, bytes]:
     return out
 
 
-def lent_chunks(kept: DataFrame) -> DataFrame:
+def lent_chunks(kept: DataFrame, trained: bytes = b"") -> DataFrame:
     """digest, chunk (compressed) of the chunks that other media refer to."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        press, open_ = zstandard.ZstdCompressor(level=_LEVEL), zstandard.ZstdDecompressor()
+        press, open_ = _codec(trained)
         for batch in batches:
             names, chunks = [], []
             for r in batch.to_pylist():
@@ -224,20 +249,18 @@ def lent_chunks(kept: DataFrame) -> DataFrame:
     return kept.filter(F.size("lent") > 0).drop("n_bytes", "parts").mapInArrow(run, "digest binary, chunk binary")
 
 
-def read_back(kept: DataFrame, references: DataFrame) -> DataFrame:
+def read_back(kept: DataFrame, references: DataFrame, trained: bytes = b"") -> DataFrame:
     """media_id and what is computed from the reassembled, verified media."""
     import pyarrow as pa
 
-    parts = references.select("digest", "media_id", "seq").join(lent_chunks(kept), "digest")
+    parts = references.select("digest", "media_id", "seq").join(lent_chunks(kept, trained), "digest")
     parts = parts.groupBy(F.col("media_id").alias("_m")).agg(F.collect_list(F.struct("seq", "chunk")).alias("parts"))
     whole = kept.filter(F.size("borrowed") == 0).withColumn("parts", F.array().cast("array<struct<seq:int,chunk:binary>>"))
     mended = kept.filter(F.size("borrowed") > 0).join(parts, F.col("media_id") == F.col("_m")).select(*kept.columns, "parts")
     schema = "media_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        open_ = zstandard.ZstdDecompressor()
+        _, open_ = _codec(trained)
         names = ["media_id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         types = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
@@ -245,11 +268,10 @@ def read_back(kept: DataFrame, references: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 chunks = _own_chunks(r, open_) | {p["seq"]: open_.decompress(p["chunk"]) for p in r["parts"]}
                 media = b"".join(chunks[i] for i in range(len(r["sizes"])))
-                found = hashlib.sha256(media)
-                if found.digest() != r["media_id"]:
+                if media_id(media) != r["media_id"]:
                     raise ValueError(f"media {r['media_id'].hex()} was not reconstructed")
                 back = samples_of(media)
-                rows.append((r["media_id"], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), found.hexdigest(), features(back)))
+                rows.append((r["media_id"], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(back)))
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -260,10 +282,12 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """One row per document row: n_bytes and the columns of ``read_back``."""
     spark = docs.sparkSession
     recipe = stored(recipes(docs), "media-recipes")
+    trained = dictionary(docs)
     owners, references = shared_chunks(recipe)
-    kept = stored(store(docs, owners, references), "media-store")
     release(spark)
-    found = stored(read_back(kept, references), "media-read-back")
+    kept = stored(store(docs, owners, references, trained), "media-store")
+    release(spark)
+    found = stored(read_back(kept, references, trained), "media-read-back")
     discard(kept, references, owners)
     named = recipe.select("doc_id", "n_bytes", F.col("media_id").alias("_id"))
     return named.join(found, F.col("_id") == F.col("media_id")).drop("_id", "media_id")
