@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 _own: list[str] = []
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so a lost executor costs no recomputation."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,6 +48,12 @@ def discard(*tables: DataFrame) -> None:
             remove(table.sparkSession, file.rpartition("/")[0])
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every table that ``stored`` has made in this process; for when their results have been written elsewhere."""
+    while _made:
+        remove(spark, _made.pop())
+
+
 def file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
