@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS, ROUNDS, LONGEST = 1_000, 4, 32
 UNKNOWN, SMOOTHING = 1e-8, 0.01
 _WORD = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
-_REMEMBERED_WORDS = 250_000
+_REMEMBERED_WORDS = 150_000
 _MARK = "▁"
 
 
@@ -43,26 +43,47 @@ def pieces_of(model_file: str) -> list[str]:
     return sorted({n for n in names if n == n.lower() and (n == _MARK or n.removeprefix(_MARK).isalpha())})
 
 
+def prefixes_of(number: dict[str, int]) -> dict[str, int]:
+    """Every beginning of a piece: the piece's number, or -2 if it is no piece itself."""
+    out = {p[:i]: -2 for p in number for i in range(1, len(p))}
+    return out | number
+
+
 class Lattice:
     """All pieces at all places of a list of words."""
 
-    def __init__(self, words: list[str], number: dict[str, int], longest: int) -> None:
+    def __init__(self, words: list[str], number: dict[str, int], prefixes: dict[str, int] | None = None) -> None:
         import numpy as np
 
-        unknown = len(number)
-        word, start, end, piece = [], [], [], []
-        get = number.get
+        prefixes = prefixes_of(number) if prefixes is None else prefixes
+
+        # a place is one number: word, start, end (six bits each, words being short) and piece
+        unknown, bits = len(number), (len(number) + 1).bit_length()
+        places: list[int] = []
+        put, get, start_bit, end_bit = places.append, prefixes.get, bits + 6, bits
         for w, text in enumerate(words):
             text = _MARK + text
             n = len(text)
             for i in range(n):
-                k = get(text[i : i + 1], unknown)
-                word.append(w), start.append(i), end.append(i + 1), piece.append(k)
-                for j in range(i + 2, min(n, i + longest) + 1):
-                    if (k := get(text[i:j])) is not None:
-                        word.append(w), start.append(i), end.append(j), piece.append(k)
-        order = np.argsort(np.array(end, np.int16), kind="stable")
-        self.word, self.start, self.end, self.piece = (np.array(x, t)[order] for x, t in ((word, np.int32), (start, np.int16), (end, np.int16), (piece, np.int32)))
+                at = (w << 6 | i) << start_bit
+                k = get(text[i], -1)
+                put(at | (i + 1) << end_bit | (k if k >= 0 else unknown))
+                if k == -1:
+                    continue
+                for j in range(i + 2, n + 1):
+                    k = get(text[i:j], -1)
+                    if k >= 0:
+                        put(at | j << end_bit | k)
+                    elif k == -1:  # no piece goes on like this
+                        break
+        code = np.array(places, np.int64)
+        end = (code >> end_bit) & 63
+        order = np.argsort(end, kind="stable")
+        code, end = code[order], end[order]
+        self.end = end.astype(np.int16)
+        self.piece = (code & ((1 << bits) - 1)).astype(np.int32)
+        self.start = ((code >> start_bit) & 63).astype(np.int16)
+        self.word = (code >> (start_bit + 6)).astype(np.int32)
         self.n = len(words)
         self.length = np.array([len(w) + 1 for w in words], np.int64)
         top = int(self.end[-1]) if len(self.end) else 0
@@ -113,14 +134,14 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUN
     import numpy as np
 
     number = {p: k for k, p in enumerate(pieces)}
-    longest = max(map(len, pieces), default=1)
+    prefixes = prefixes_of(number)
     rows = []
     for lang in sorted(counts):
         words = sorted(counts[lang])
         n = np.array([counts[lang][w] for w in words], float)
         p = np.full(len(pieces) + 1, 1 / max(1, len(pieces)))
         p[-1] = UNKNOWN
-        lattice = Lattice(words, number, longest)
+        lattice = Lattice(words, number, prefixes)
         for _ in range(rounds):
             used = lattice.expected(p, n)[:-1] + SMOOTHING
             p[:-1] = used / used.sum()
@@ -152,7 +173,7 @@ class Scorer:
 
         self.model = model
         self.number = {p: k for k, p in enumerate(model.pieces)}
-        self.longest = max(map(len, model.pieces), default=1)
+        self.prefixes = prefixes_of(self.number)
         self.index: dict[str, int] = {}
         self.logs = np.zeros((0, len(model.languages)))
         self.filled = 0
@@ -166,7 +187,7 @@ class Scorer:
             new = sorted(words)
         if not new:
             return
-        lattice = Lattice(new, self.number, self.longest)
+        lattice = Lattice(new, self.number, self.prefixes)
         got = np.stack([np.log(np.maximum(lattice.totals(p), 1e-300)) for p in self.model.probability], axis=1)
         if self.filled + len(new) > len(self.logs):
             self.logs = np.concatenate([self.logs[: self.filled], np.zeros((max(len(new), 50_000), got.shape[1]))])
@@ -183,7 +204,7 @@ class Scorer:
         at = 0
         while at < len(texts):  # some MB of text at a time
             group, size = [], 0
-            while at < len(texts) and size < 1_000_000:
+            while at < len(texts) and size < 500_000:
                 group.append(_WORD.findall((texts[at] or "").lower()))
                 size += len(texts[at] or "")
                 at += 1

@@ -43,7 +43,7 @@ def test_forward_sums_all_segmentations():
     p = rng.random(len(names) + 1)
     p /= p.sum()
     words = ["then", "enungarque", "x", "ção", "thething", "日"]
-    got = lang_id.Lattice(words, number, max(map(len, names))).totals(p)
+    got = lang_id.Lattice(words, number).totals(p)
     for w, g in zip(words, got, strict=True):
         assert math.isclose(g, all_segmentations("▁" + w, p, number), rel_tol=1e-12)
 
@@ -55,7 +55,7 @@ def test_em_does_not_lower_the_likelihood():
     score = []
     for rounds in range(1, 6):
         model = lang_id.fit(counts, names, rounds)
-        lattice = lang_id.Lattice(sorted(counts["aa"]), number, 6)
+        lattice = lang_id.Lattice(sorted(counts["aa"]), number)
         score.append(sum(c * math.log(t) for c, t in zip([counts["aa"][w] for w in sorted(counts["aa"])], lattice.totals(model.probability[0]), strict=True)))
     assert all(b >= a - 0.05 for a, b in zip(score, score[1:], strict=False))
 
