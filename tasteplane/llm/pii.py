@@ -53,7 +53,7 @@ CONTEXT = {
 }
 MISLEADING = ("version", "release", "page", "section", "chapter", "isbn", "order no", "fig", "no.", "nr.", "§")
 TOP_LEVEL = frozenset("com org net edu gov io de fr es uk it nl eu info biz co us ca at ch".split())
-GIVEN_NAMES = frozenset("anna maria marie john james robert michael david william thomas peter paul hans karl klaus julia laura sofia lucia carmen jose juan carlos luis pierre jean claude sophie camille emma louis".split())
+GIVEN_NAMES = frozenset("anna maria marie john james robert michael david william thomas peter paul hans karl klaus julia laura sofia lucia carmen jose juan carlos luis pierre jean claire sophie camille emma louis".split())
 DIAL_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "56", "57", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "351", "352", "353", "358", "420", "421")
 CARD_PREFIXES = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "36", "22")
 
