@@ -12,13 +12,17 @@ linked when 100 * |intersection| >= 100 * threshold * |union|; components of lin
    of exact copies costs one row however large it is.
 3. Buckets. Classes that agree in a band meet in its bucket. Buckets with the same members
    are looked at once.
-4. First pass. In every bucket, classes whose signatures agree strongly are joined by a
-   spanning tree, not by all pairs: at most one edge for each member. The edges are verified
-   on full sets and give provisional components.
-5. Second pass. Only pairs of one bucket that lie in different provisional components are
-   left; those whose signatures agree well enough for the threshold (4.5 standard deviations
-   below it) are verified on full sets too. Large buckets are dealt as blocks of BLOCK
-   members, and pairs of blocks are compared in arrays, so no task holds a whole bucket.
+4. First pass. In every bucket (in large ones: in every block of BLOCK members) the classes
+   are joined by a spanning forest of greatest agreement, not by all pairs: fewer edges than
+   members. The edges are verified on full sets and give provisional components.
+5. Nearest passes. In buckets that still hold several components, each class and its few
+   nearest ones of other components are verified: again a number of edges in proportion to members.
+   Last pass: only pairs of one bucket that even then lie in different components are
+   left; those whose signatures agree well enough for the threshold (four standard deviations
+   below it) and whose set sizes allow it are verified. Pairs of blocks are compared in
+   arrays, so no task holds a whole bucket, and each pair is taken in its first common band
+   only. (Of buckets with equal members the one of the lowest band is kept, which is the
+   first common band of all their pairs.)
 6. Components of the verified links by minimum labels with pointer jumping, in tables in the
    shared folder.
 
@@ -37,10 +41,10 @@ from pyspark.sql import functions as F
 
 from tasteplane.llm._shared import discard, release, stored, text_or_empty
 
-THRESHOLD, ROWS, BANDS, BLOCK = 0.8, 5, 36, 512
-#: agreement from which on a first-pass edge is worth a verification
-STRONG = 0.87
-_REMEMBERED_WORDS = 500_000
+THRESHOLD, ROWS, BANDS, BLOCK = 0.8, 5, 36, 2_048
+#: passes over nearest classes of other components, and classes that each of them looks at
+NEAREST_PASSES, NEAREST = 1, 3
+_REMEMBERED_WORDS = 200_000
 
 
 def _mix32(y):
@@ -109,7 +113,8 @@ def band_keys(sig, bands: int = BANDS):
         out += rows[:, k]
         out ^= out >> np.uint64(31)
     out *= np.uint64(0x94D049BB133111EB)
-    return out.view(np.int64)
+    # the band is the highest part, so keys of lower bands are smaller
+    return (out >> np.uint64(7) | np.arange(bands, dtype=np.uint64) << np.uint64(57)).view(np.int64)
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -200,53 +205,74 @@ def _matrix(table):
     return np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(table.num_rows, -1)
 
 
-def _trees(members: DataFrame) -> DataFrame:
-    """At most one edge for each member of a block of a bucket: a spanning forest of strong agreement."""
+def _trees(members: DataFrame, least: float) -> DataFrame:
+    """A spanning forest of greatest agreement (``least`` or more) in every block of every bucket."""
 
     def edges(batches):
         import numpy as np
 
         for t in _groups(batches, ["key", "block"]):
             low, fp = _matrix(t), t.column("fp").to_pylist()
-            need, left = STRONG * low.shape[1], np.ones(len(fp), bool)
-            for root in range(len(fp)):
-                queue = [root] if left[root] else []
-                left[root] = False
-                while queue:
-                    x = queue.pop()
-                    others = np.flatnonzero(left)
-                    near = others[(low[others] == low[x]).sum(axis=1) >= need]
-                    left[near] = False
-                    queue += near.tolist()
-                    yield from ((fp[x], fp[y]) for y in near.tolist())
+            need = least * low.shape[1]
+            out = np.arange(len(fp))  # not yet in a tree
+            agree, via = np.zeros(len(fp), np.int32), np.zeros(len(fp), np.int64)
+            x = 0
+            while len(out) > 1:
+                out = out[out != x]
+                new = (low[out] == low[x]).sum(axis=1)
+                better = out[new > agree[out]]
+                agree[better], via[better] = new[new > agree[out]], x
+                x = int(out[agree[out].argmax()])
+                if agree[x] >= need:
+                    yield fp[x], fp[via[x]]
 
     dealt = members.repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block", "fp")
     return dealt.mapInArrow(lambda b: _edge_batches(edges(b)), "a binary, b binary").distinct()
 
 
-def _across(members: DataFrame, least: float) -> DataFrame:
-    """Pairs of one bucket in different provisional components whose agreement reaches ``least``; members have key, lo, hi, side, comp."""
+def _across(members: DataFrame, least: float, threshold: float, nearest: int | None = None) -> DataFrame:
+    """Pairs of one bucket in different provisional components whose agreement reaches ``least`` and whose sizes allow the threshold.
+
+    With ``nearest``, only so many of the best for each class and pair of blocks. Members have key, lo, hi, block, comp, n.
+    """
 
     def edges(batches):
+        import numpy as np
+
         for t in _groups(batches, ["key", "lo", "hi"]):
-            low, fp, comp = _matrix(t), t.column("fp").to_pylist(), t.column("comp").to_numpy()
-            side = t.column("block").to_numpy()
-            lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-            need = least * low.shape[1]
-            for x in range(len(fp)):
-                if side[x] != lo:
-                    continue
-                first = x + 1 if lo == hi else 0
-                agree = (low[first:] == low[x]).sum(axis=1) >= need
-                agree &= comp[first:] != comp[x]
-                if lo != hi:
-                    agree &= side[first:] == hi
-                yield from ((fp[x], fp[first + y]) for y in agree.nonzero()[0].tolist())
+            low, fp, comp, n = _matrix(t), t.column("fp").to_pylist(), t.column("comp").to_numpy(), t.column("n").to_numpy()
+            block, lo, hi = t.column("block").to_numpy(), t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+            band, bands = t.column("key")[0].as_py() >> 57, low.reshape(len(fp), BANDS, -1)
+            two = np.flatnonzero(block == hi)
+            for x in np.flatnonzero(block == lo).tolist():
+                agree = (low[two] == low[x]).sum(axis=1, dtype=np.int16)
+                fits = (agree >= least * low.shape[1]) & (comp[two] != comp[x]) & (np.minimum(n[two], n[x]) >= threshold * np.maximum(n[two], n[x]))
+                if lo == hi and nearest is None:
+                    fits &= two > x
+                at = fits.nonzero()[0]
+                if len(at):  # a pair belongs to the first bucket that it shares
+                    at = at[(bands[two[at]] == bands[x]).all(axis=2).argmax(axis=1) == band]
+                if nearest is not None:
+                    at = at[np.argsort(-agree[at], kind="stable")[:nearest]]
+                yield from ((fp[x], fp[y]) for y in two[at].tolist())
 
     dealt = members.repartition(F.col("key"), F.col("lo"), F.col("hi")).sortWithinPartitions("key", "lo", "hi", "fp")
     return dealt.mapInArrow(lambda b: _edge_batches(edges(b)), "a binary, b binary").distinct()
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (with ``comp``) of the buckets that hold several provisional components."""
+    label = labels.withColumnRenamed("node", "fp")
+    named = members.drop("comp").join(label, "fp", "left").withColumn("comp", F.xxhash64(F.coalesce("label", "fp"))).drop("label")
+    mixed = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
+    return stored(named.join(mixed, "key", "left_semi"), "members-mixed")
+
+
+def _block_pairs(members: DataFrame) -> DataFrame:
+    other = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "comp", "n", "low")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     one = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("of_a"))
@@ -256,24 +282,37 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(100 * both >= F.lit(round(100 * threshold)) * union).select("a", "b").distinct()
 
 
-def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
-    """node, label: the least node of each node's component. With ``rounds``, stop early: equal labels then still mean one component."""
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links-both-ways")
+def components(links: DataFrame, known: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
+    """node, label: the least node of each node's component. With ``rounds``, stop early: equal labels then still mean one component.
+
+    ``known`` labels (of an earlier call) contract the graph first, so only what joins components is walked again.
+    """
+    edges = links.select("a", "b").distinct()
+    if known is not None:
+        one, two = known.select(F.col("node").alias("a"), F.col("label").alias("la")), known.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        mapped = edges.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        edges = mapped.filter("a <> b").distinct()
+    both = stored(edges.union(edges.select("b", "a")).distinct(), "links-both-ways")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     done = 0
     while rounds is None or done < rounds:
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("at")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, labels["node"] == near["at"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        lower = stored(lower, "labels-lower")
-        over = lower.select(F.col("node").alias("via"), F.col("label").alias("jump"))
-        jumped = stored(lower.join(over, lower["label"] == over["via"]).select("node", F.least("label", "jump").alias("label"), (F.least("label", "jump") != F.col("old")).alias("moved")), "labels")
-        discard(lower, labels)
-        labels = jumped
+        over = labels.select(F.col("node").alias("via"), F.col("label").alias("jump"))
+        rows = labels.select("node", F.col("label").alias("old")).join(near, F.col("node") == F.col("at")).join(over, F.col("old") == F.col("via"))
+        lower = F.least("old", "near", "jump")
+        lowered = stored(rows.select("node", lower.alias("label"), (lower != F.col("old")).alias("moved")), "labels")
+        discard(labels)
+        labels = lowered
         done += 1
         if labels.filter("moved").limit(1).count() == 0:
             break
     discard(both)
-    return labels.select("node", "label")
+    labels = labels.select("node", "label")
+    if known is None:
+        return labels
+    further = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+    old = known.join(further, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"))
+    return stored(old.unionByName(labels.join(known.select("node"), "node", "left_anti")), "labels-joined")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, threshold: float = THRESHOLD) -> DataFrame:
@@ -281,14 +320,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: float = THRESHOL
     spark = docs.sparkSession
     rows = stored(sketches(docs, width), "sketches")
     with_words = rows.filter(F.col("fp").isNotNull())
-    classes = stored(with_words.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first(F.struct("keys", "low")).alias("s")).select("fp", "rep", "s.keys", "s.low"), "classes")
+    classes = with_words.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n_shingles", "keys", "low")).alias("s"))
+    classes = stored(classes.select("fp", "rep", F.col("s.n_shingles").alias("n"), "s.keys", "s.low"), "classes")
+    release(spark)
 
     banded = classes.select("fp", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("fp") % F.lit(1 << 40)).alias("who")).filter("size > 1")
     buckets = stored(buckets.groupBy("size", "who").agg(F.min("key").alias("key")), "buckets")
     placed = stored(banded.join(buckets, "key").select("key", "size", "fp"), "bucket-members")
-    members = placed.join(classes.select("fp", "low"), "fp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = stored(members.select("key", "fp", "low", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block")), "block-members")
+    members = placed.join(classes.select("fp", "n", "low"), "fp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    members = stored(members.select("key", "fp", "n", "low", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block")), "block-members")
     release(spark)
 
     involved = placed.select("fp").distinct().join(classes.select("fp", "rep"), "fp")
@@ -299,22 +340,21 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: float = THRESHOL
     sets = stored(shingle_sets(bodies, width).join(involved.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "shingle-sets")
     release(spark)
 
-    first = stored(verified(_trees(members), sets, threshold), "links-first")
-    provisional = components(first, rounds=3)
-    member_comp = members.join(provisional.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("label", "fp")).drop("label")
-    member_comp = stored(member_comp.withColumn("comp", F.xxhash64("comp")), "members-provisional")
-    mixed = member_comp.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    crossing = member_comp.join(mixed, "key", "left_semi").withColumn("other", other)
-    crossing = crossing.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "comp", "low")
-    deviation = (threshold * (1 - threshold) / (ROWS * BANDS)) ** 0.5
-    second = stored(verified(_across(crossing, threshold - 4.5 * deviation), sets, threshold), "links-second")
-    labels = components(first.union(second).distinct())
+    least = threshold - 4 * (threshold * (1 - threshold) / (ROWS * BANDS)) ** 0.5
+    links = stored(verified(_trees(members, least), sets, threshold), "links-trees")
+    labels = components(links)
+    for step in range(NEAREST_PASSES + 1):
+        mixed = _mixed(members, labels)
+        discard(members)
+        members = mixed
+        pairs = _across(_block_pairs(members), least, threshold, NEAREST if step < NEAREST_PASSES else None)
+        labels = components(stored(verified(pairs, sets, threshold), "links-across"), labels)
+        release(spark)
 
     named = classes.select("fp", "rep").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = stored(named.join(least, "label").select("fp", "component_id"), "components")
-    discard(members, sets, member_comp, placed, buckets)
+    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    of_class = stored(named.join(smallest, "label").select("fp", "component_id"), "components")
+    discard(members, sets, placed, buckets, classes)
     of_class = of_class.withColumnRenamed("fp", "_fp")
     out = rows.select("doc_id", "n_shingles", "fp").join(of_class, F.col("fp") == F.col("_fp"), "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

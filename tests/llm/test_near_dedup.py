@@ -52,7 +52,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 8])
+@pytest.mark.parametrize("block", [2_048, 8])
 def test_components_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = corpus()
