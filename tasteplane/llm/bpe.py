@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 #: white space of the normaliser's \s: the Unicode property, without the separators U+001C to U+001F
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-REMEMBERED_WORDS = 700_000
+REMEMBERED_WORDS = 200_000
 _END = 0x10000  # added to a character to mark it as the last of a word
 
 
