@@ -21,7 +21,7 @@ linked when 100 * |intersection| >= 100 * threshold * |union|; components of lin
    left; those whose signatures agree well enough for the threshold (four standard deviations
    below it) and whose set sizes allow it are verified. Pairs of blocks are compared in
    arrays, so no task holds a whole bucket, and each pair is taken in its first common band
-   only. (Of buckets with equal members the one of the lowest band is kept, which is the
+   only, which the full band keys tell. (Of buckets with equal members the one of the lowest band is kept, which is the
    first common band of all their pairs.)
 6. Components of the verified links by minimum labels with pointer jumping, in tables in the
    shared folder.
@@ -205,6 +205,12 @@ def _matrix(table):
     return np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(table.num_rows, -1)
 
 
+def _keys(table):
+    import numpy as np
+
+    return np.concatenate([c.flatten().to_numpy() for c in table.column("keys").chunks]).reshape(table.num_rows, -1)
+
+
 def _trees(members: DataFrame, least: float) -> DataFrame:
     """A spanning forest of greatest agreement (``least`` or more) in every block of every bucket."""
 
@@ -226,14 +232,14 @@ def _trees(members: DataFrame, least: float) -> DataFrame:
                 if agree[x] >= need:
                     yield fp[x], fp[via[x]]
 
-    dealt = members.repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block", "fp")
+    dealt = members.select("key", "block", "fp", "low").repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block", "fp")
     return dealt.mapInArrow(lambda b: _edge_batches(edges(b)), "a binary, b binary").distinct()
 
 
 def _across(members: DataFrame, least: float, threshold: float, nearest: int | None = None) -> DataFrame:
     """Pairs of one bucket in different provisional components whose agreement reaches ``least`` and whose sizes allow the threshold.
 
-    With ``nearest``, only so many of the best for each class and pair of blocks. Members have key, lo, hi, block, comp, n.
+    With ``nearest``, only so many of the best for each class and pair of blocks. Members have key, lo, hi, block, fp, comp, n, low, keys.
     """
 
     def edges(batches):
@@ -242,7 +248,7 @@ def _across(members: DataFrame, least: float, threshold: float, nearest: int | N
         for t in _groups(batches, ["key", "lo", "hi"]):
             low, fp, comp, n = _matrix(t), t.column("fp").to_pylist(), t.column("comp").to_numpy(), t.column("n").to_numpy()
             block, lo, hi = t.column("block").to_numpy(), t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-            band, bands = t.column("key")[0].as_py() >> 57, low.reshape(len(fp), BANDS, -1)
+            band, keys = t.column("key")[0].as_py() >> 57, _keys(t)
             two = np.flatnonzero(block == hi)
             for x in np.flatnonzero(block == lo).tolist():
                 agree = (low[two] == low[x]).sum(axis=1, dtype=np.int16)
@@ -250,8 +256,8 @@ def _across(members: DataFrame, least: float, threshold: float, nearest: int | N
                 if lo == hi and nearest is None:
                     fits &= two > x
                 at = fits.nonzero()[0]
-                if len(at):  # a pair belongs to the first bucket that it shares
-                    at = at[(bands[two[at]] == bands[x]).all(axis=2).argmax(axis=1) == band]
+                if len(at):  # a pair belongs to the first bucket that it shares (by full keys: low bytes may agree where the two never meet)
+                    at = at[(keys[two[at]] == keys[x]).argmax(axis=1) == band]
                 if nearest is not None:
                     at = at[np.argsort(-agree[at], kind="stable")[:nearest]]
                 yield from ((fp[x], fp[y]) for y in two[at].tolist())
@@ -270,7 +276,7 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _block_pairs(members: DataFrame) -> DataFrame:
     other = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "comp", "n", "low")
+    return other.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "comp", "n", "low", "keys")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -328,8 +334,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: float = THRESHOL
     buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("fp") % F.lit(1 << 40)).alias("who")).filter("size > 1")
     buckets = stored(buckets.groupBy("size", "who").agg(F.min("key").alias("key")), "buckets")
     placed = stored(banded.join(buckets, "key").select("key", "size", "fp"), "bucket-members")
-    members = placed.join(classes.select("fp", "n", "low"), "fp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = stored(members.select("key", "fp", "n", "low", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block")), "block-members")
+    members = placed.join(classes.select("fp", "n", "low", "keys"), "fp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    members = stored(members.select("key", "fp", "n", "low", "keys", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block")), "block-members")
     release(spark)
 
     involved = placed.select("fp").distinct().join(classes.select("fp", "rep"), "fp")

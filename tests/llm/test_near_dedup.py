@@ -84,3 +84,25 @@ def test_signature_estimates_similarity():
         a, b = pool[:270], pool[30:]
         errors.append((near_dedup.signature(a) == near_dedup.signature(b)).mean() - 240 / 300)
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.05
+
+
+def test_pairs_whose_low_bytes_agree_in_an_earlier_band_are_compared(spark):
+    rng = np.random.default_rng(1)
+    rows, want = [], set()
+    for i in range(1_500):
+        pool = rng.integers(0, 2**63, 220, dtype=np.uint64)
+        sigs = [near_dedup.signature(pool[:200]), near_dedup.signature(pool[20:])]  # similarity 180 / 220
+        keys = [near_dedup.band_keys(s) for s in sigs]
+        low = [s.astype("u1") for s in sigs]
+        common = (keys[0] == keys[1]).nonzero()[0]
+        if not len(common) or (low[0] == low[1]).reshape(near_dedup.BANDS, -1).all(axis=1).argmax() == common[0]:
+            continue
+        fps = [b"%08d-%d" % (i, k) for k in (0, 1)]
+        want.add(tuple(fps))
+        for band in common.tolist():
+            rows += [(int(keys[0][band]), 0, 0, 0, fps[k], k, 200, low[k].tobytes(), keys[k].tolist()) for k in (0, 1)]
+    assert want
+    members = spark.createDataFrame(rows, "key long, lo int, hi int, block int, fp binary, comp long, n long, low binary, keys array<long>")
+    for nearest in (None, 3):
+        got = [(bytes(r.a), bytes(r.b)) for r in near_dedup._across(members, 0.5, 0.8, nearest).collect()]
+        assert len(got) == len(want) and set(got) == want
