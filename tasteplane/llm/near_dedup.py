@@ -11,7 +11,7 @@ linked when 100 * |intersection| >= 100 * threshold * |union|; components of lin
 2. Copies. Documents with one word sequence form a class; only classes go on, so a group
    of exact copies costs one row however large it is.
 3. Buckets. Classes that agree in a band meet in its bucket. Buckets with the same members
-   are looked at once.
+   (the same size and sums of two 64-bit hashes, each in two halves) are looked at once.
 4. First pass. In every bucket (in large ones: in every block of BLOCK members) the classes
    are joined by a spanning forest of greatest agreement, not by all pairs: fewer edges than
    members. The edges are verified on full sets and give provisional components.
@@ -331,7 +331,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: float = THRESHOL
     release(spark)
 
     banded = classes.select("fp", F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("fp") % F.lit(1 << 40)).alias("who")).filter("size > 1")
+    # 32-bit pieces, so that sums stay exact
+    who = [F.sum(piece) for h in (F.xxhash64("fp"), F.xxhash64(F.lit(1), "fp")) for piece in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.array(*who).alias("who")).filter("size > 1")
     buckets = stored(buckets.groupBy("size", "who").agg(F.min("key").alias("key")), "buckets")
     placed = stored(banded.join(buckets, "key").select("key", "size", "fp"), "bucket-members")
     members = placed.join(classes.select("fp", "n", "low", "keys"), "fp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))

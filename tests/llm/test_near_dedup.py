@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from tasteplane.llm import near_dedup
 from tests.llm.fixtures import ROWS, documents
@@ -106,3 +107,21 @@ def test_pairs_whose_low_bytes_agree_in_an_earlier_band_are_compared(spark):
     for nearest in (None, 3):
         got = [(bytes(r.a), bytes(r.b)) for r in near_dedup._across(members, 0.5, 0.8, nearest).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_buckets_whose_members_hash_to_one_sum_stay_apart(spark):
+    rng = random.Random(2)
+    sums = []
+    for group in range(2):  # 40-bit remainders, of which a sum of two is soon met again in the other group
+        base = " ".join(f"g{group}w{rng.randrange(10**6)}" for _ in range(200))
+        texts = [f"{base} {i}" for i in range(3_000)]
+        h = np.array([xxhash.xxh64_intdigest(xxhash.xxh3_128_digest(t.encode()), seed=42) for t in texts], np.uint64).view(np.int64)
+        one, two = np.triu_indices(len(h), 1)
+        part = np.fmod(h, 1 << 40)
+        sums.append((texts, one, two, part[one] + part[two]))
+    (texts, a, b, s), (others, c, d, t) = sums
+    _, i, j = np.intersect1d(s, t, return_indices=True)
+    assert len(i)
+    corpus = [texts[a[i[0]]], texts[b[i[0]]], others[c[j[0]]], others[d[j[0]]]]
+    out = near_dedup.near_duplicates(documents(spark, [(k, x, "en", "s", 0, None, None) for k, x in enumerate(corpus)])).collect()
+    assert {r.doc_id: r.component_id for r in out} == {0: 0, 1: 0, 2: 2, 3: 2}
