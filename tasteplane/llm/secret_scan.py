@@ -2,12 +2,16 @@ r"""Secret scans: pattern candidates, separated by how many owners hold the same
 
 All of it is built-in column functions. Base kinds, leftmost and non-overlapping within a
 kind: assign, access and hex. Further kinds that the method adds: vendor keys, signed web
-tokens and private-key headers. Every candidate value is hashed and the corpus is asked in how many
+tokens and private keys. Every candidate value is hashed and the corpus is asked in how many
 repositories (sources) and owners (the part of a source before the first slash) it occurs:
 a value that at least ``shared_owners`` owners hold is a copied example, one whose owners
 are fewer looks live. Added kinds give spans only where the value looks live; base spans
 always stay.
 
+A private key's value is its body (without line breaks, quotes and the like, so the same key
+wrapped in another way is the same value). A header that no body follows is the same text everywhere:
+it is a span, and is never judged by its owners.
+
 ``hex`` is scanned with the length in the pattern: its runs are maximal, so the spans are
 those of ``[0-9a-f]+`` with shorter ones dropped. The same holds for ``access``: a run too
 short after its first AKIA is too short after any later one. ``assign`` keeps its pattern
@@ -31,6 +35,12 @@ from pyspark.sql import functions as F
 
 from tasteplane.llm._shared import stored, text_or_empty
 
+#: a private key up to its END line, or without one the runs of base64 after its header; group 1 is the body
+PEM = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    r"""([^-]*+(?:-(?!----)[^-]*+){0,16}+(?=-----END [A-Z ]{0,20}PRIVATE KEY-----)|(?:(?:[\s"',+#>*|]|\\[nrt])*+[A-Za-z0-9+/=]{16,}+)*+)"""
+    r"(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
+)
 #: fixed values of the contract (base kinds) and public key formats (added kinds): kind, pattern, group of the value, least length of the value
 BASE = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8),
@@ -41,7 +51,7 @@ ADDED = (
     ("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     ("webtoken", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 29),
-    ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 27),
+    ("pem", PEM, 1, 0),
 )
 #: cheap tests that every match of a kind passes
 HINT = {
@@ -87,6 +97,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "repo", joined([k[0] for k in BASE]).alias("base"), joined([k[0] for k in ADDED]).alias("added"))
 
 
+def _value(span: Column) -> Column:
+    """What owners are counted of; empty for a header without a key."""
+    return F.when(span["kind"] == "pem", F.regexp_replace(span["value"], r"""[\s"']\+[\s"']|\\[nrt]|[^A-Za-z0-9+/=]""", "")).otherwise(span["value"])
+
+
 def _digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -108,7 +123,8 @@ def scan(docs: DataFrame, shared_owners: int = SHARED_OWNERS) -> DataFrame:
     spans = F.concat("base", "added")
     # equal rows have equal keys, and are scored once
     keyed = rows.filter(F.size(spans) > 0).select("doc_id", "repo", _digest(spans).alias("key"), F.explode(spans).alias("s"))
-    keyed = keyed.select("doc_id", "repo", "key", F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), F.xxhash64("s.value").alias("value_hash"))
+    keyed = keyed.select("doc_id", "repo", "key", F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), _value(F.col("s")).alias("value"))
+    keyed = keyed.filter("value <> ''").withColumn("value_hash", F.xxhash64("value"))
     held = keyed.select("doc_id", "repo", "key", "value_hash").distinct()
     owners = ownership(held.groupBy("value_hash", "repo").agg(F.count("*").alias("n")), shared_owners)
     owners = stored(owners, "secret-owners")
@@ -121,7 +137,7 @@ def scan(docs: DataFrame, shared_owners: int = SHARED_OWNERS) -> DataFrame:
 
     all_rows = rows.withColumn("key", _digest(spans))
     out = all_rows.join(per_row, (all_rows["doc_id"].eqNullSafe(per_row["doc_id"])) & (all_rows["key"] == per_row["key"]), "left").select(all_rows["doc_id"], "base", "added", "examples")
-    is_example = lambda s: F.array_contains(F.coalesce("examples", F.array().cast("array<bigint>")), F.xxhash64(s["value"]))
+    is_example = lambda s: F.array_contains(F.coalesce("examples", F.array().cast("array<bigint>")), F.xxhash64(_value(s)))
     out = out.withColumn("added", F.filter("added", lambda s: ~is_example(s)))
     return out.withColumns({
         "n_example": F.size(F.filter("base", is_example)).cast("long"),
