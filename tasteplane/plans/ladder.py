@@ -10,7 +10,7 @@ from tasteplane.operators.roles import BELOW_THE_LINE
 
 #: six variants of the crew model: expectation, combination within roles, target
 VARIANTS = (("simple", "mean", "rating"), ("rich", "mean", "rating"), ("rich", "max", "rating"), ("rich", "weighted", "rating"), ("simple", "weighted", "rating"), ("rich", "mean", "preference"))
-GATE_PAIRS = (("crew", "director"), ("crew", "context"), ("crew", "popularity"), ("crew_ridge", "director"), ("crew_ridge", "crew"), ("director", "context"))
+GATE_PAIRS = (("crew", "director"), ("crew", "context"), ("crew", "genre"), ("crew_ridge", "director"), ("crew", "crew_ridge"), ("genre", "director"))
 
 
 def global_mean(train: DataFrame, test: DataFrame, credits: DataFrame) -> DataFrame:

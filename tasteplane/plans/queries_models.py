@@ -235,28 +235,28 @@ def _(d):
 
 
 def _pairs(d):
-    return ladder.predictions(_split(d), d.film_credits(), {n: ladder.LADDER[n] for n in ("director", "crew")})
+    return ladder.predictions(_split(d), d.film_credits(), {n: ladder.FULL_LADDER[n] for n in sorted({x for pair in ladder.GATE_PAIRS for x in pair})}).persist()
 
 
 @query("bootstrap_compare")
 def _(d):
-    return rounded(ladder.gate_pairs(_pairs(d), (("crew", "director"),), resamples=200))
+    return rounded(ladder.gate_pairs(_pairs(d)))
 
 
 @query("decomposition")
 def _(d):
-    layers = inference.decomposition(_split(d), d.film_credits(), resamples=50)
+    layers = inference.decomposition(_split(d), d.film_credits())
     return rounded(layers)
 
 
 @query("permutation_null")
 def _(d):
-    return rounded(inference.permutation_null(d.library(), d.film_credits().filter("role = 'editor'"), permutations=50))
+    return rounded(inference.permutation_null(d.library(), d.film_credits()))
 
 
 @query("significance")
 def _(d):
-    return rounded(inference.significance(d.library(), d.film_credits().filter("role = 'editor'"), permutations=50))
+    return rounded(inference.significance(d.library(), d.film_credits()))
 
 
 @query("shuffle_test")
@@ -266,8 +266,8 @@ def _(d):
 
 @query("synthetic_sweep")
 def _(d):
-    # people of these tables have some 64 to 96 films in a role
-    return inference.synthetic_sweep(d.library(), d.film_credits(), "editor", sizes=(0.5, 1.0), counts=tuple(range(64, 96)), trials=2)
+    # people of these tables have other numbers of films than the default's
+    return inference.synthetic_sweep(d.library(), d.film_credits(), "editor", counts=None)
 
 
 @query("ridge_gcv")
