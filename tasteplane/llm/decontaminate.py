@@ -17,7 +17,8 @@ an ordinary shuffled join whose document side is made distinct first.
 Edge cases: null or empty texts have no shingles and match nothing; short items (under five
 words) match documents that consist of the same words, and documents under five words match
 only such items; repeated items are reported under each item_id; repeated document rows give
-one row; empty tables give no rows; other columns are ignored.
+one row; rows with a null doc_id are reported under it, and ``clean`` removes those of them whose own
+text leaks; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,7 +79,8 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, containm
     item_sets = item_words.select("item_id", F.array_distinct(shingle_strings(F.col("w"), width)).alias("item_set"))
     doc_texts = docs.select("doc_id", text_or_empty().alias("body"))
     # both joins broadcast the pairs if they are under Spark's size limit, and shuffle otherwise
-    checked = doc_texts.join(pairs, "doc_id").join(item_sets, "item_id")
+    named = pairs.withColumnRenamed("doc_id", "_pair_id")
+    checked = doc_texts.join(named, doc_texts["doc_id"].eqNullSafe(named["_pair_id"])).drop("_pair_id").join(item_sets, "item_id")
     # words are a column of their own: inside a window's expression they would be cut out anew for each window
     checked = checked.select("doc_id", "item_id", "item_set", words(F.col("body")).alias("w"))
     shared = F.size(F.array_intersect("item_set", shingle_strings(F.col("w"), width)))
@@ -93,4 +95,10 @@ def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The documents that contain no item; all columns stay."""
     leaks = stored(contaminated(docs, items, **how).select("doc_id").distinct(), "leaking-documents")
     leaks = leaks.withColumnRenamed("doc_id", "_leaking_id")
-    return docs.join(leaks, docs["doc_id"] == leaks["_leaking_id"], "left_anti")
+    named = docs.join(leaks, docs["doc_id"] == leaks["_leaking_id"], "left_anti")
+    if leaks.filter("_leaking_id is null").limit(1).count() == 0:
+        return named
+    # rows without an id are told apart by their texts; the hash takes the place of the id
+    nameless = docs.filter("doc_id is null").select(F.xxhash64(text_or_empty()).alias("doc_id"), "text").distinct()
+    texts = stored(contaminated(nameless, items, **how).select(F.col("doc_id").alias("_leaking_text")).distinct(), "leaking-texts")
+    return named.join(texts, named["doc_id"].isNull() & (F.xxhash64(text_or_empty()) == texts["_leaking_text"]), "left_anti")

@@ -88,6 +88,15 @@ def test_clean_keeps_the_rest_and_their_columns(spark):
     assert decontaminate.contaminated(documents(spark, []), items).count() == 0
 
 
+def test_contaminated_rows_without_an_id(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = [(None, f"before {item} after", "en", "s", 0, None, None), (None, "clean text of some seven words here", "en", "s", 0, None, None), (None, None, "en", "s", 0, None, None), (1, item, "en", "s", 0, None, None), (2, "clean", "en", "s", 0, None, None)]
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontaminate.contaminated(documents(spark, docs), items).collect()} == {(None, 7, 4, 4), (1, 7, 4, 4)}
+    left = decontaminate.clean(documents(spark, docs), items)
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(None, docs[1][1]), (None, None), (2, "clean")], key=str)
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", r"back\slash <\s> \\", "<</s>", "[[INST]]", "<s", "<<SYS>>x<</SYS>>", None, "", "ü😀\n", r"\<s>"]
     rng = random.Random(1)
