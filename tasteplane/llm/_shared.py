@@ -76,5 +76,34 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, lengthened until no column of ``tables`` has it (whatever its case)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: bits of the filter that ``may_be_in`` broadcasts: 2 MB, whatever the tables
+_FILTER_BITS = 1 << 24
+
+
+def may_be_in(rows: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of which ``column`` may be among ``wanted``'s ``key``: few others, so the exact join that follows ships less.
+
+    The filter is a bit map of FILTER_BITS bits over hashes, so its broadcast is bounded; where wanted
+    keys fill it, it passes all rows and the join alone decides.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(_FILTER_BITS))
+    number, bits = unused("_number", rows), unused("_bits", rows)
+    at = place(F.col(key)) + 1  # bitmap numbers count from 1
+    maps = wanted.groupBy(F.bitmap_bucket_number(at).alias(number)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bits))
+    own = place(F.col(column)) + 1
+    bit = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring(F.col(bits), (bit / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    found = rows.join(F.broadcast(maps), F.bitmap_bucket_number(own) == F.col(number))
+    return found.filter(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -7,29 +7,31 @@ linked when 100 * |intersection| >= 100 * threshold * |union|; components of lin
 1. Sketch. Two permutations of a domain of 2**32 make the whole signature: the first
    scatters the shingles, the second, shifted circularly by k, gives coordinate k as its
    minimum over the set. BANDS * ROWS coordinates: at a similarity of 0.8 a pair escapes
-   every band with probability (1 - 0.8**ROWS)**BANDS = 6e-7.
+   every band with probability (1 - 0.8**ROWS)**BANDS = 6e-7. Nothing else can lose a link.
 2. Copies. Documents with one word sequence form a class; only classes go on, so a group
    of exact copies costs one row however large it is.
-3. Buckets. Classes that agree in a band meet in its bucket. Buckets with the same members
+3. Buckets. Classes that agree in a band meet in its bucket. One shuffle of (band key, class)
+   finds the buckets of two or more, as a run of equal keys. Buckets with the same members
    (the same size and sums of two 64-bit hashes, each in two halves) are looked at once.
-4. First pass. In every bucket (in large ones: in every block of BLOCK members) the classes
-   are joined by a spanning forest of greatest agreement, not by all pairs: fewer edges than
-   members. The edges are verified on full sets and give provisional components.
-5. Nearest passes. In buckets that still hold several components, each class and its few
-   nearest ones of other components are verified: again a number of edges in proportion to members.
-   Last pass: only pairs of one bucket that even then lie in different components are
-   left; those whose signatures agree well enough for the threshold (four standard deviations
-   below it) and whose set sizes allow it are verified. Pairs of blocks are compared in
-   arrays, so no task holds a whole bucket, and each pair is taken in its first common band
-   only, which the full band keys tell. (Of buckets with equal members the one of the lowest band is kept, which is the
-   first common band of all their pairs.)
+4. Blocks. A bucket is dealt into blocks of about BLOCK classes and BLOCK_SHINGLES shingles, by
+   a hash of class and bucket, so other buckets mix a group's members in other ways. A task
+   holds one block with its full shingle sets, counts intersections exactly, and emits a
+   spanning forest of the verified links: fewer rows than members, whatever the group. Classes
+   that are known to lie in one component are not compared. First the buckets of a few bands,
+   then those of the other bands that still hold several components.
+5. Across blocks. In buckets of several blocks that still hold several components, the
+   classes outside the bucket's largest component (probes) are compared with all blocks, in the
+   same way. What grows with the square of a bucket is the number of its probes alone: classes that no
+   chain of links joins to the rest, although they agree in a whole band.
 6. Components of the verified links by minimum labels with pointer jumping, in tables in the
    shared folder.
 
 Edge cases: null, empty or blank text has an empty set, is linked with nothing and kept;
 repeated rows of one doc_id give a row each, with equal values; a null doc_id never names a
 component unless all of its documents have none, and is kept only then; an empty table
-gives no rows; other columns are ignored.
+gives no rows; very long texts are one set each (8 bytes a shingle in one task); other columns
+are ignored, whatever their names. ``deduplicated`` tells rows apart by doc_id and text: of a component the row
+of least doc_id (null last), then of least text hash stays, once.
 """
 
 from __future__ import annotations
@@ -37,14 +39,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tasteplane.llm._shared import discard, release, stored, text_or_empty
+from tasteplane.llm._shared import discard, may_be_in, release, stored, text_or_empty, unused
 
-THRESHOLD, ROWS, BANDS, BLOCK = 0.8, 5, 36, 2_048
-#: passes over nearest classes of other components, and classes that each of them looks at
-NEAREST_PASSES, NEAREST = 1, 3
-_REMEMBERED_WORDS = 200_000
+THRESHOLD, ROWS, BANDS = 0.8, 5, 36
+#: classes and shingles (8 bytes each) of a block
+BLOCK, BLOCK_SHINGLES = 2_048, 1_000_000
+#: bands whose buckets are looked at first
+FIRST_BANDS = 4
+#: word hashes that a Python worker remembers, of words up to so many bytes
+_REMEMBERED_WORDS, _REMEMBERED_BYTES = 100_000, 40
 
 
 def _mix32(y):
@@ -76,10 +82,14 @@ class Shingler:
         known = self.known
         if len(known) > _REMEMBERED_WORDS:
             known.clear()
+        hashes = []
         for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            if (x := known.get(w)) is None:
+                x = xxhash.xxh3_64_intdigest(w)
+                if len(w) <= _REMEMBERED_BYTES:
+                    known[w] = x
+            hashes.append(x)
+        h = np.array(hashes, np.uint64)
         width = min(self.width, len(h))
         out = np.full(max(0, len(h) - width + 1) if len(h) else 0, width, np.uint64)
         for k in range(width):
@@ -118,7 +128,7 @@ def band_keys(sig, bands: int = BANDS):
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, fp (digest of the word sequence; null without words), keys (one a band), bytes (low byte of each coordinate)."""
+    """doc_id, text_key (hash of the text), n_shingles, fp (digest of the word sequence; null without words), keys (one a band)."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,25 +136,24 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
         shingler = Shingler(width)
         for batch in batches:
-            n, fp, keys, low = [], [], [], []
+            n, fp, keys = [], [], []
             for value in batch.column("text"):
                 words = shingler.words(value.as_py())
                 if not words:
-                    n.append(0), fp.append(None), keys.append(None), low.append(None)
+                    n.append(0), fp.append(None), keys.append(None)
                     continue
                 shingles = shingler.set_of(words)
-                sig = signature(shingles)
                 n.append(len(shingles))
                 fp.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                keys.append(band_keys(sig))
-                low.append(sig.astype("u1").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["doc_id", "n_shingles", "fp", "keys", "low"])
+                keys.append(band_keys(signature(shingles)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "fp", "keys"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, fp binary, keys array<long>, low binary")
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, fp binary, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """fp, shingles (sorted hashes)."""
+    """fp, shingles (sorted 64-bit hashes, as bytes)."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +166,10 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 for value in batch.column("text").slice(at, 500):
                     words = shingler.words(value.as_py())
                     fp.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    sets.append(shingler.set_of(words).view("int64"))
-                yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+                    sets.append(shingler.set_of(words).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(sets, pa.binary())], ["fp", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "fp binary, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "fp binary, shingles binary")
 
 
 def _groups(batches, columns: list[str]) -> Iterator:
@@ -172,7 +181,7 @@ def _groups(batches, columns: list[str]) -> Iterator:
     for batch in batches:
         table = pa.Table.from_batches([batch])
         if rest is not None:
-            table = pa.concat_tables([rest, table]).combine_chunks()
+            table = pa.concat_tables([rest, table])
         if not table.num_rows:
             continue
         new = np.zeros(table.num_rows, bool)
@@ -187,105 +196,104 @@ def _groups(batches, columns: list[str]) -> Iterator:
         yield rest
 
 
-def _edge_batches(edges: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    a, b = [], []
-    for x, y in edges:
-        a.append(min(x, y)), b.append(max(x, y))
-        if len(a) >= 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-            a, b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-
-def _matrix(table):
-    import numpy as np
-
-    return np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-
+def spanning_links(sets: list, component: list, probe: list[bool], percent: int) -> list[tuple[int, int]]:
+    """Links (by place) that join the components of one block: every pair of a probe and another row is decided
+    exactly, unless both are known to lie in one component by then.
 
-def _keys(table):
+    ``sets`` are sorted arrays, ``component`` is any name of each row's component so far.
+    """
     import numpy as np
 
-    return np.concatenate([c.flatten().to_numpy() for c in table.column("keys").chunks]).reshape(table.num_rows, -1)
-
+    names: dict = {}
+    comp = np.array([names.setdefault(c, len(names)) for c in component])
+    if len(names) < 2:
+        return []
+    sizes = np.array([len(s) for s in sets])
+    by_size = np.argsort(sizes, kind="stable")
+    n, comp, asks = sizes[by_size], comp[by_size], np.array(probe, bool)[by_size]
+    ends = np.cumsum(n)
+    starts = ends - n
+    universe, place = np.unique(np.concatenate([sets[i] for i in by_size.tolist()]), return_inverse=True)
+    place = place.astype(np.int32)
+    mark = np.zeros(len(universe), np.uint8)
+    # sizes that can reach the threshold are neighbours
+    first = np.searchsorted(100 * n, percent * n)
+    last = np.searchsorted(percent * n, 100 * n, side="right")
+    waiting = np.ones(len(n), bool)
+    out = []
+    members = np.bincount(comp)
+    for x in np.lexsort((np.arange(len(n)), members[comp])).tolist():  # the largest component comes last, when little is left to compare it with
+        if not asks[x]:
+            continue
+        waiting[x] = False
+        a, b = int(first[x]), int(last[x])
+        open_ = waiting[a:b] & (comp[a:b] != comp[x])
+        if not open_.any():
+            continue
+        at = np.flatnonzero(open_)
+        a, b = a + int(at[0]), a + int(at[-1]) + 1
+        own = place[starts[x] : ends[x]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[place[starts[a] : ends[b - 1]]], starts[a:b] - starts[a], dtype=np.int32)
+        mark[own] = 0
+        hit = open_[a - int(first[x]) : b - int(first[x])] & (100 * both >= percent * (n[a:b] + n[x] - both))
+        for y in (np.flatnonzero(hit) + a).tolist():
+            if comp[y] != comp[x]:
+                comp[comp == comp[y]] = comp[x]
+                out.append((int(by_size[x]), int(by_size[y])))
+    return out
 
-def _trees(members: DataFrame, least: float) -> DataFrame:
-    """A spanning forest of greatest agreement (``least`` or more) in every block of every bucket."""
 
-    def edges(batches):
-        import numpy as np
+def _verified(blocks: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """a, b: a spanning forest of the verified links of each group of ``keys``. ``blocks`` has fp, label, probe and shingles besides."""
+    import pyarrow as pa
 
-        for t in _groups(batches, ["key", "block"]):
-            low, fp = _matrix(t), t.column("fp").to_pylist()
-            need = least * low.shape[1]
-            out = np.arange(len(fp))  # not yet in a tree
-            agree, via = np.zeros(len(fp), np.int32), np.zeros(len(fp), np.int64)
-            x = 0
-            while len(out) > 1:
-                out = out[out != x]
-                new = (low[out] == low[x]).sum(axis=1)
-                better = out[new > agree[out]]
-                agree[better], via[better] = new[new > agree[out]], x
-                x = int(out[agree[out].argmax()])
-                if agree[x] >= need:
-                    yield fp[x], fp[via[x]]
-
-    dealt = members.select("key", "block", "fp", "low").repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block", "fp")
-    return dealt.mapInArrow(lambda b: _edge_batches(edges(b)), "a binary, b binary").distinct()
-
-
-def _across(members: DataFrame, least: float, threshold: float, nearest: int | None = None) -> DataFrame:
-    """Pairs of one bucket in different provisional components whose agreement reaches ``least`` and whose sizes allow the threshold.
-
-    With ``nearest``, only so many of the best for each class and pair of blocks. Members have key, lo, hi, block, fp, comp, n, low, keys.
-    """
+    percent = round(100 * threshold)
 
-    def edges(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for t in _groups(batches, ["key", "lo", "hi"]):
-            low, fp, comp, n = _matrix(t), t.column("fp").to_pylist(), t.column("comp").to_numpy(), t.column("n").to_numpy()
-            block, lo, hi = t.column("block").to_numpy(), t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-            band, keys = t.column("key")[0].as_py() >> 57, _keys(t)
-            two = np.flatnonzero(block == hi)
-            for x in np.flatnonzero(block == lo).tolist():
-                agree = (low[two] == low[x]).sum(axis=1, dtype=np.int16)
-                fits = (agree >= least * low.shape[1]) & (comp[two] != comp[x]) & (np.minimum(n[two], n[x]) >= threshold * np.maximum(n[two], n[x]))
-                if lo == hi and nearest is None:
-                    fits &= two > x
-                at = fits.nonzero()[0]
-                if len(at):  # a pair belongs to the first bucket that it shares (by full keys: low bytes may agree where the two never meet)
-                    at = at[(keys[two[at]] == keys[x]).argmax(axis=1) == band]
-                if nearest is not None:
-                    at = at[np.argsort(-agree[at], kind="stable")[:nearest]]
-                yield from ((fp[x], fp[y]) for y in two[at].tolist())
-
-    dealt = members.repartition(F.col("key"), F.col("lo"), F.col("hi")).sortWithinPartitions("key", "lo", "hi", "fp")
-    return dealt.mapInArrow(lambda b: _edge_batches(edges(b)), "a binary, b binary").distinct()
-
-
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (with ``comp``) of the buckets that hold several provisional components."""
-    label = labels.withColumnRenamed("node", "fp")
-    named = members.drop("comp").join(label, "fp", "left").withColumn("comp", F.xxhash64(F.coalesce("label", "fp"))).drop("label")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
-    return stored(named.join(mixed, "key", "left_semi"), "members-mixed")
-
-
-def _block_pairs(members: DataFrame) -> DataFrame:
-    other = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "comp", "n", "low", "keys")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    one = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("of_a"))
-    two = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("of_b"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    union = F.size("of_a") + F.size("of_b") - both
-    return pairs.join(one, "a").join(two, "b").filter(100 * both >= F.lit(round(100 * threshold)) * union).select("a", "b").distinct()
+        a, b = [], []
+        for t in _groups(batches, keys):
+            fp = t.column("fp").to_pylist()
+            sets = [np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()]
+            for x, y in spanning_links(sets, t.column("label").to_pylist(), t.column("probe").to_pylist(), percent):
+                a.append(min(fp[x], fp[y])), b.append(max(fp[x], fp[y]))
+            if len(a) >= 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    dealt = blocks.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "fp")
+    return stored(dealt.mapInArrow(run, "a binary, b binary").distinct(), "links")
+
+
+def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members, with ``label``, of the buckets that hold several components."""
+    if labels is None:
+        return members.withColumn("label", F.col("fp"))
+    named = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two")).filter("one <> two").select("key")
+    return named.join(mixed, "key", "left_semi")
+
+
+def within_blocks(members: DataFrame, labels: DataFrame | None, sets: DataFrame, threshold: float) -> DataFrame:
+    rows = _mixed(members, labels).select("key", "block", "fp", "label", F.lit(True).alias("probe"))
+    return _verified(rows.join(sets, "fp"), ["key", "block"], threshold)
+
+
+def across_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between the blocks of one bucket: its probes, in parts, against each of its blocks."""
+    named = stored(_mixed(members.filter("blocks > 1"), labels), "members-mixed")
+    weighed = named.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    largest = weighed.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.max_by("n", F.struct("m", "label")).alias("top_n"))
+    parts = F.ceil(F.greatest((F.col("m") - F.col("top.m")) / BLOCK, (F.col("n") - F.col("top_n")) / BLOCK_SHINGLES)).cast("int")
+    told = named.join(largest.select("key", F.col("top.label").alias("top"), parts.alias("parts")), "key")
+    places = lambda n: F.sequence(F.lit(0), n - 1)
+    part = F.pmod(F.xxhash64(F.lit("part"), "fp", "key"), F.col("parts")).cast("int")
+    probes = told.filter("label <> top").select("key", part.alias("part"), F.explode(places(F.col("blocks"))).alias("block"), "fp", "label", F.lit(True).alias("probe"))
+    others = told.select("key", F.explode(places(F.col("parts"))).alias("part"), "block", "fp", "label", F.lit(False).alias("probe"))
+    return _verified(probes.union(others).join(sets, "fp"), ["key", "part", "block"], threshold)
 
 
 def components(links: DataFrame, known: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
@@ -321,56 +329,88 @@ def components(links: DataFrame, known: DataFrame | None = None, rounds: int | N
     return stored(old.unionByName(labels.join(known.select("node"), "node", "left_anti")), "labels-joined")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id, kept."""
+def _buckets(classes: DataFrame) -> DataFrame:
+    """key, h (hash of a class): the members of buckets of two or more, each set of members once."""
+    # a run of equal keys has a neighbour before or after; two classes of one hash are both looked up later, and verified
+    banded = classes.select(F.explode("keys").alias("key"), F.xxhash64("fp").alias("h"))
+    run = W.partitionBy("key").orderBy("h")
+    near = banded.select("key", "h", F.lag("h").over(run).alias("before"), F.lead("h").over(run).alias("after"))
+    members = stored(near.filter("before is not null or after is not null").select("key", "h"), "bucket-members")
+    release(classes.sparkSession)
+    # 32-bit pieces, so that sums stay exact
+    who = [F.sum(piece) for h in (F.xxhash64("h"), F.xxhash64(F.lit(1), "h")) for piece in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    told = members.groupBy("key").agg(F.count("*").alias("size"), F.array(*who).alias("who"))
+    once = told.groupBy("size", "who").agg(F.min("key").alias("key")).select("key")
+    return members.join(once, "key", "left_semi")
+
+
+def _components(docs: DataFrame, width: int, threshold: float) -> DataFrame:
+    """doc_id, text_key, n_shingles, fp, label of each row; equal labels are one component (both null without words)."""
     spark = docs.sparkSession
     rows = stored(sketches(docs, width), "sketches")
     with_words = rows.filter(F.col("fp").isNotNull())
-    classes = with_words.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n_shingles", "keys", "low")).alias("s"))
-    classes = stored(classes.select("fp", "rep", F.col("s.n_shingles").alias("n"), "s.keys", "s.low"), "classes")
+    classes = with_words.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    classes = stored(classes, "classes")
     release(spark)
 
-    banded = classes.select("fp", F.explode("keys").alias("key"))
-    # 32-bit pieces, so that sums stay exact
-    who = [F.sum(piece) for h in (F.xxhash64("fp"), F.xxhash64(F.lit(1), "fp")) for piece in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
-    buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.array(*who).alias("who")).filter("size > 1")
-    buckets = stored(buckets.groupBy("size", "who").agg(F.min("key").alias("key")), "buckets")
-    placed = stored(banded.join(buckets, "key").select("key", "size", "fp"), "bucket-members")
-    members = placed.join(classes.select("fp", "n", "low", "keys"), "fp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = stored(members.select("key", "fp", "n", "low", "keys", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block")), "block-members")
+    placed = stored(_buckets(classes), "buckets")
+    involved = stored(classes.select("fp", "rep", "n", F.xxhash64("fp").alias("h")).join(placed.select("h").distinct(), "h", "left_semi"), "involved")
+    members = placed.join(involved.select("h", "fp", "n"), "h").select("key", "fp", "n")
+    blocks = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int"))
+    members = stored(members, "block-members")
+    discard(placed, classes)
     release(spark)
 
-    involved = placed.select("fp").distinct().join(classes.select("fp", "rep"), "fp")
-    involved = stored(involved, "involved")
-    wanted = involved.select(F.col("rep").alias("_rep")).distinct()
-    bodies = docs.select("doc_id", text_or_empty().alias("text"))
-    bodies = bodies.join(wanted, bodies["doc_id"].eqNullSafe(wanted["_rep"]), "left_semi")
+    reps = involved.select(F.col("rep").alias("_rep")).distinct()
+    bodies = may_be_in(docs.select("doc_id", text_or_empty().alias("text")), "doc_id", reps, "_rep")
+    bodies = bodies.join(reps, bodies["doc_id"].eqNullSafe(reps["_rep"]), "left_semi")
     sets = stored(shingle_sets(bodies, width).join(involved.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "shingle-sets")
+    discard(involved)
     release(spark)
 
-    least = threshold - 4 * (threshold * (1 - threshold) / (ROWS * BANDS)) ** 0.5
-    links = stored(verified(_trees(members, least), sets, threshold), "links-trees")
+    band = F.shiftright("key", 57)
+    links = within_blocks(members.filter(band < FIRST_BANDS), None, sets, threshold)
     labels = components(links)
-    for step in range(NEAREST_PASSES + 1):
-        mixed = _mixed(members, labels)
-        discard(members)
-        members = mixed
-        pairs = _across(_block_pairs(members), least, threshold, NEAREST if step < NEAREST_PASSES else None)
-        labels = components(stored(verified(pairs, sets, threshold), "links-across"), labels)
+    discard(links)
+    for step in (within_blocks, across_blocks):
+        if step is across_blocks and not members.filter("blocks > 1").limit(1).count():
+            continue
+        chosen = members.filter(band >= FIRST_BANDS) if step is within_blocks else members
+        links = step(chosen, labels, sets, threshold)
+        labels = components(links, labels)
+        discard(links)
         release(spark)
+    discard(members, sets)
+    return rows.drop("keys").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
-    named = classes.select("fp", "rep").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = stored(named.join(smallest, "label").select("fp", "component_id"), "components")
-    discard(members, sets, placed, buckets, classes)
-    of_class = of_class.withColumnRenamed("fp", "_fp")
-    out = rows.select("doc_id", "n_shingles", "fp").join(of_class, F.col("fp") == F.col("_fp"), "left")
-    component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+
+def near_duplicates(docs: DataFrame, width: int = 4, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document row: doc_id, n_shingles, component_id, kept."""
+    rows = stored(_components(docs, width, threshold), "rows-labelled")
+    smallest = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(smallest, "label", "left")
+    component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each group, with all its columns; of repeated rows one stays."""
-    kept = near_duplicates(docs, width, threshold).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = stored(kept, "kept-documents")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    rows = stored(_components(docs, width, threshold).select("doc_id", "text_key", "label"), "rows-labelled")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
+    first = rows.filter("label is not null").groupBy("label").agg(F.min(order).alias("first"))
+    gone = rows.join(first, "label").filter(order != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    again = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    gone, again = stored(gone, "documents-gone"), stored(again, "documents-repeated")
+    discard(rows)
+
+    def marked(table: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        key, text_key = unused("_id", table), unused("_key", table)
+        other = other.select(F.col("_id").alias(key), F.col("_key").alias(text_key))
+        return table.join(other, F.col("doc_id").eqNullSafe(other[key]) & (F.xxhash64(text_or_empty()) == other[text_key]), how)
+
+    kept = marked(docs, gone, "left_anti")
+    if not again.limit(1).count():
+        return kept
+    once = marked(kept, again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return marked(kept, again, "left_anti").unionByName(once)

@@ -87,26 +87,64 @@ def test_signature_estimates_similarity():
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.05
 
 
-def test_pairs_whose_low_bytes_agree_in_an_earlier_band_are_compared(spark):
-    rng = np.random.default_rng(1)
-    rows, want = [], set()
-    for i in range(1_500):
-        pool = rng.integers(0, 2**63, 220, dtype=np.uint64)
-        sigs = [near_dedup.signature(pool[:200]), near_dedup.signature(pool[20:])]  # similarity 180 / 220
-        keys = [near_dedup.band_keys(s) for s in sigs]
-        low = [s.astype("u1") for s in sigs]
-        common = (keys[0] == keys[1]).nonzero()[0]
-        if not len(common) or (low[0] == low[1]).reshape(near_dedup.BANDS, -1).all(axis=1).argmax() == common[0]:
-            continue
-        fps = [b"%08d-%d" % (i, k) for k in (0, 1)]
-        want.add(tuple(fps))
-        for band in common.tolist():
-            rows += [(int(keys[0][band]), 0, 0, 0, fps[k], k, 200, low[k].tobytes(), keys[k].tolist()) for k in (0, 1)]
-    assert want
-    members = spark.createDataFrame(rows, "key long, lo int, hi int, block int, fp binary, comp long, n long, low binary, keys array<long>")
-    for nearest in (None, 3):
-        got = [(bytes(r.a), bytes(r.b)) for r in near_dedup._across(members, 0.5, 0.8, nearest).collect()]
-        assert len(got) == len(want) and set(got) == want
+def least_names(n, links):
+    parent = list(range(n))
+    for x, y in links:
+        a, b = parent[x], parent[y]
+        parent = [min(a, b) if p in (a, b) else p for p in parent]
+    return parent
+
+
+def test_a_block_is_decided_exactly():
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        pool = rng.integers(0, 2**63, 80, dtype=np.uint64)
+        sets = [np.unique(rng.choice(pool, rng.integers(50, 80), replace=False)) for _ in range(rng.integers(2, 40))]
+        known = [bytes([rng.integers(0, 4)]) if trial % 2 else i for i in range(len(sets))]
+        probe = [True] * len(sets) if trial % 3 else [bool(rng.integers(0, 2)) for _ in sets]
+        held = [(i, j) for i in range(len(sets)) for j in range(i) if known[i] == known[j]]
+        linked = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+        asked = [(i, j) for i in range(len(sets)) for j in range(i) if (probe[i] or probe[j]) and linked(i, j)]
+        got = near_dedup.spanning_links(sets, known, probe, 80)
+        assert all(linked(i, j) for i, j in got) and len(got) < len(set(known))
+        assert least_names(len(sets), held + got) == least_names(len(sets), held + asked)
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Copies around the threshold, so a group falls into several components, over many blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(8)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for i in range(150):
+            copy = list(base)
+            for at in rng.sample(range(120), rng.choice([2, 3, 4])):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            rows.append((g * 1000 + i, " ".join(copy), "en", "s", 0, None, None))
+    out = near_dedup.near_duplicates(documents(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == brute(rows, 4)
+
+
+def test_rows_of_one_doc_id_are_told_apart(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(3, text), (5, f"{text} more"), (5, other), (None, f"{text} again"), (None, "some lone words of a row without name"), (7, "twice said"), (7, "twice said"), (8, None), (8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _id", "2 AS label", "3 AS _key", "4 AS _bits", "5 AS _rep", "6 AS fp")
+    out = near_dedup.deduplicated(docs, width=5)
+    assert out.columns == docs.columns
+    want = [(3, text), (5, other), (7, "twice said"), (8, ""), (8, None), (None, rows[4][1])]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_filter_before_a_join_passes_all_wanted_keys(spark, monkeypatch):
+    from tasteplane.llm import _shared
+
+    rows, wanted = spark.range(3_000).selectExpr("if(id = 0, null, id) AS k", "id AS _bits"), spark.range(0, 3_000, 7).selectExpr("if(id = 0, null, id) AS w")
+    for bits, most in ((_shared._FILTER_BITS, 435), (1 << 10, 3_000)):
+        monkeypatch.setattr(_shared, "_FILTER_BITS", bits)
+        got = {r.k for r in _shared.may_be_in(rows, "k", wanted, "w").collect()}
+        assert {None, *range(7, 3_000, 7)} <= got and len(got) <= most
 
 
 def test_buckets_whose_members_hash_to_one_sum_stay_apart(spark):
