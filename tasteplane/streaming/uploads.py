@@ -1,6 +1,8 @@
 """Exports as a stream: rating rows that arrive in a folder are parsed and merged batch by batch.
 
-Each micro-batch replaces the uploads it carries, so a batch that runs twice leaves one result.
+Batches are only ever added: each writes a partition of its own, which running the batch again replaces.
+Readers fold them, so an upload may arrive in any number of batches: of a title rated
+again the last arrival counts.
 """
 
 from __future__ import annotations
@@ -19,17 +21,24 @@ def incoming(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merge_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Usable ratings go to ``path``/ratings by upload, counts of unusable rows to ``path``/skips by batch."""
+    """Usable ratings go to ``path``/ratings, counts of unusable rows to ``path``/skips, both by batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = parse_ratings(batch, "upload_id")
-        good = rows.filter("skip is null").drop("skip")
-        good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(f"{path}/ratings")
+        rows = parse_ratings(batch, "upload_id", "arrived")
+        rows.filter("skip is null").drop("skip").write.mode("overwrite").parquet(f"{path}/ratings/batch={batch_id}")
         rows.filter("skip is not null").groupBy("skip").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/skips/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merged(spark: SparkSession, path: str) -> DataFrame:
+    """The ratings of all batches: per upload and title the last arrival (of the last batch, then the highest rating)."""
+    rows = spark.read.parquet(f"{path}/ratings")
+    order = F.struct("arrived", "batch", "rating", "logged_date", "name", "year")
+    held = [c for c in rows.columns if c not in ("upload_id", "source_uri", "arrived", "batch")]
+    return rows.groupBy("upload_id", "source_uri").agg(F.max_by(F.struct(*held), order).alias("r")).select("upload_id", "source_uri", "r.*")
+
+
 def daily_counts(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """Arrivals a day and upload, finished when the watermark has passed."""
     return stream.withWatermark("arrived", late).groupBy(F.window("arrived", "1 day"), "upload_id").agg(F.count("*").alias("n"))

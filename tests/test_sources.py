@@ -139,6 +139,11 @@ def test_stream_merges_batches(spark, tmp_path):
     (tmp_path / "in" / "one.json").write_text("\n".join(map(json.dumps, rows)))
     for _ in range(2):  # the second run finds nothing new
         uploads.merge_batches(uploads.incoming(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out/ratings").count() == 1
-    assert spark.read.parquet(f"{tmp_path}/out/skips").first().skip == "ratings:unusable_rating"
+    assert uploads.merged(spark, f"{tmp_path}/out").count() == 1
+    later = [rows[0] | {"uri": "u3"}, rows[0] | {"rating": "2.5", "arrived": "2023-01-02T00:00:00"}, rows[0] | {"upload_id": "b"}]
+    (tmp_path / "in" / "two.json").write_text("\n".join(map(json.dumps, later)))
+    uploads.merge_batches(uploads.incoming(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    held = {(r.upload_id, r.source_uri): float(r.rating) for r in uploads.merged(spark, f"{tmp_path}/out").collect()}
+    assert held == {("a", "u1"): 2.5, ("a", "u3"): 4.5, ("b", "u1"): 4.5}  # an upload in two batches keeps both
+    assert spark.read.parquet(f"{tmp_path}/out/skips").filter("skip is not null").first().skip == "ratings:unusable_rating"
     assert uploads.daily_counts(uploads.incoming(spark, f"{tmp_path}/in")).isStreaming
