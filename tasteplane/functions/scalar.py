@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tasteplane.functions.text import folded
+
 
 def film_key(name: Column, year: Column) -> Column:
-    """Join key of a diary entry and a rating: lower-cased trimmed name and year."""
-    return F.concat(F.lower(F.trim(name)), F.lit("::"), F.coalesce(year.cast("string"), F.lit("")))
+    """Join key of a diary entry and a rating: case-folded trimmed name and year."""
+    return F.concat(folded(name), F.lit("::"), F.coalesce(year.cast("string"), F.lit("")))
 
 
 def parse_year(text: Column) -> Column:

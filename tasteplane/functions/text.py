@@ -29,6 +29,21 @@ def _folded(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).translate({ord(d): "-" for d in DASHES}).casefold(), na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def _casefolded(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else t.strip().casefold(), na_action="ignore")
+
+
+def folded(name: Column) -> Column:
+    """Trimmed and case-folded; texts in printable ASCII stay in the JVM."""
+    return F.when(name.rlike(r"^[\x20-\x7e]*$"), F.lower(F.trim(name))).otherwise(_casefolded(name))
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used (inside other lambdas, too)."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def _collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
@@ -97,5 +112,14 @@ def titles_distinct(query: Column, candidate: Column) -> Column:
     other_part = (F.size(F.array_except(qm, cm)) > 0) | ((F.size(qm) > 0) & (F.size(cm) > 0) & (qm != cm))
     reordered = (qt != ct) & (F.array_sort(qt) == F.array_sort(ct))
     cw = heavy_words(ct)
-    lacking = F.exists(F.array_except(heavy_words(qt), cw), lambda w: ~F.exists(cw, lambda o: similarity(w, o) >= SPELLING_VARIANT))
+    # words that the candidate lacks, and the grams of those it has
+    words = F.struct(F.transform(F.array_except(heavy_words(qt), cw), trigrams).alias("lacking"), F.transform(cw, trigrams).alias("held"))
+    lacking = _let(words, lambda x: F.exists(x["lacking"], lambda w: ~F.exists(x["held"], lambda o: jaccard(w, o) >= SPELLING_VARIANT)))
     return other_part | reordered | lacking
+
+
+def best_similarity(query: Column, titles: Column) -> Column:
+    """Best similarity of any form of a normalised query with any form of normalised titles; 0 if there is none."""
+    forms = F.struct(F.transform(comparison_forms(query), trigrams).alias("q"), F.transform(F.flatten(F.transform(titles, comparison_forms)), trigrams).alias("c"))
+    best = _let(forms, lambda x: F.array_max(F.transform(x["q"], lambda q: F.array_max(F.transform(x["c"], lambda c: jaccard(q, c))))))
+    return F.coalesce(best, F.lit(0.0))

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tasteplane.functions import scalar
+from tasteplane.functions.text import normalize
+from tasteplane.operators.roles import BELOW_THE_LINE
 from tasteplane.operators.splits import shuffle_key
 from tasteplane.schema import SEED
 
@@ -73,7 +75,8 @@ def pooled_regions(films: DataFrame, least: int = POOL_FROM) -> DataFrame:
 
 
 def worth_traversing(library: DataFrame, credits: DataFrame, least: int = 3) -> DataFrame:
-    """People with enough modelled credit rows on rated films; two roles on one film count twice."""
+    """People with enough below-the-line credit rows on resolved films; two such roles on one film count twice. ``credits`` have their role."""
+    credits = credits.filter(F.col("role").isin(*BELOW_THE_LINE))
     return library.select("upload_id", "film_id").join(credits, "film_id").groupBy("upload_id", "person_id").agg(F.count("*").alias("credit_rows")).filter(F.col("credit_rows") >= least)
 
 
@@ -85,9 +88,7 @@ def stratified_sample(entries: DataFrame, size: int = EXACT_SAMPLE, seed: int =
 
 def auto_verdict(entries: DataFrame) -> DataFrame:
     """'correct' where an exact match agrees in normalised title and year, else 'review'."""
-    from tasteplane.functions.text import normalize_ascii
-
-    same = (F.col("match_method") == "exact") & F.col("film_id").isNotNull() & (normalize_ascii(F.col("name")) == normalize_ascii(F.col("title"))) & (F.col("query_year") == F.col("year"))
+    same = (F.col("match_method") == "exact") & F.col("film_id").isNotNull() & (normalize(F.col("name")) == normalize(F.col("title"))) & (F.col("query_year") == F.col("year"))
     return entries.withColumn("verdict", F.when(F.coalesce(same, F.lit(False)), "correct").otherwise("review"))
 
 

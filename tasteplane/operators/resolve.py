@@ -36,13 +36,6 @@ def gram_join(queries: DataFrame, films: DataFrame, least: float = CONSIDER, lim
     return named.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).select("query_id", "film_id", "similarity")
 
 
-def best_similarity(query: Column, titles: Column) -> Column:
-    """Best similarity of any form of a normalised query with any form of normalised titles; 0 if there is none."""
-    forms = F.flatten(F.transform(titles, text.comparison_forms))
-    each = F.transform(text.comparison_forms(query), lambda q: F.coalesce(F.array_max(F.transform(forms, lambda c: text.similarity(q, c))), F.lit(0.0)))
-    return F.coalesce(F.array_max(each), F.lit(0.0))
-
-
 def candidates(pairs: DataFrame, ascii_only: bool = False) -> DataFrame:
     """Comparable columns of (query, candidate) rows: title_similarity and year_gap.
 
@@ -54,7 +47,10 @@ def candidates(pairs: DataFrame, ascii_only: bool = False) -> DataFrame:
     rows = rows.withColumns({"_q": norm(F.col("query_title")), "_t": norm(F.col("title")), "_o": norm(F.col("original_title")), "vote_count": F.coalesce("vote_count", F.lit(0))})
     rows = rows.withColumn("_titles", F.array_compact(F.array("_t", F.when(F.col("original_title") != F.col("title"), F.col("_o")))))
     comparable = F.filter("_titles", lambda t: ~text.titles_distinct(F.col("_q"), t))
-    return rows.withColumns({"title_similarity": best_similarity(F.col("_q"), comparable), "year_gap": F.abs(F.col("year") - F.col("query_year"))}).drop("_q", "_t", "_o", "_titles")
+    # equal titles are never distinct, and need no grams
+    same = F.array_contains("_titles", F.col("_q")) & F.col("_q").rlike(r"[\p{L}\p{N}]")
+    alike = F.when(same, 1.0).otherwise(text.best_similarity(F.col("_q"), comparable))
+    return rows.withColumns({"title_similarity": alike, "year_gap": F.abs(F.col("year") - F.col("query_year"))}).drop("_q", "_t", "_o", "_titles")
 
 
 def dominant(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,7 +126,7 @@ def looks_like_television(queries: DataFrame, shows: DataFrame, ascii_only: bool
     norm = text.normalize_ascii if ascii_only else text.normalize
     rows = queries.join(shows, "query_id").withColumns({"_q": norm(F.col("query_title")), "_n": norm(F.col("show_name")), "_o": norm(F.col("show_original_name"))})
     near = F.coalesce(F.abs(F.col("show_year") - F.col("query_year")) <= MAX_YEAR_GAP, F.lit(True))
-    same = best_similarity(F.col("_q"), F.array_compact(F.array("_n", "_o"))) >= EXACT
+    same = text.best_similarity(F.col("_q"), F.array_compact(F.array("_n", "_o"))) >= EXACT
     return rows.filter(near & same).select("query_id").distinct()
 
 

@@ -49,7 +49,23 @@ def _(d):
     return rounded(_titles(d).select("id", F.size(text.trigrams(F.col("title"))).alias("n_grams"), text.similarity(F.col("title"), F.col("plain")).alias("similarity")))
 
 
-@query("titles_distinct", f"""WITH {TITLE} SELECT id, CASE id % 6 WHEN 2 THEN true WHEN 3 THEN true WHEN 4 THEN true WHEN 5 THEN split_part(plain, ' ', 1) <> split_part(plain, ' ', 2) ELSE false END AS distinct_titles FROM title""")
+WORD_GRAMS = "list_distinct(list_transform(range(1, length({w}) + 2), lambda {i}: substring('  ' || {w} || ' ', {i}::INT, 3)))"
+_W, _O = WORD_GRAMS.format(w="w", i="i"), WORD_GRAMS.format(w="o", i="j")
+NUMERALS = "MAP {" + ", ".join(f"'{k}': '{n}'" for k, n in text.NUMERALS.items()) + "}"
+IS_NUMERAL = f"(regexp_full_match(x, '[0-9]+') OR map_contains({NUMERALS}, x))"
+MARKERS = f"list_sort(list_distinct(list_transform(list_filter(WORDS, lambda x: {IS_NUMERAL}), lambda x: coalesce(map_extract({NUMERALS}, x)[1], x))))"
+HEAVY = f"list_distinct(list_filter(WORDS, lambda x: NOT {IS_NUMERAL} AND x NOT IN ({', '.join(map(repr, text.LIGHT_WORDS))})))"
+
+
+def distinct_sql(source: str) -> str:
+    """CTEs that end in judged (id and the columns of ``source``, which has normal titles q and c, and distinct_titles): the rules for titles that name other films."""
+    return f"""toks AS (SELECT *, regexp_extract_all(q, '[\\p{{L}}\\p{{N}}]+') AS qt, regexp_extract_all(c, '[\\p{{L}}\\p{{N}}]+') AS ct FROM {source}),
+parts AS (SELECT *, {MARKERS.replace('WORDS', 'qt')} AS qm, {MARKERS.replace('WORDS', 'ct')} AS cm, {HEAVY.replace('WORDS', 'qt')} AS qh, {HEAVY.replace('WORDS', 'ct')} AS ch FROM toks),
+judged AS (SELECT *, len(list_filter(qm, lambda x: NOT list_contains(cm, x))) > 0 OR (len(qm) > 0 AND len(cm) > 0 AND qm <> cm) OR (qt <> ct AND list_sort(qt) = list_sort(ct))
+  OR len(list_filter(qh, lambda w: NOT list_contains(ch, w) AND len(list_filter(ch, lambda o: len(list_intersect({_W}, {_O})) / len(list_distinct(list_concat({_W}, {_O}))) >= {text.SPELLING_VARIANT})) = 0)) > 0 AS distinct_titles FROM parts)"""
+
+
+@query("titles_distinct", f"WITH {TITLE}, n AS (SELECT id, {NORM.format(t='title')} AS q, {NORM.format(t='plain')} AS c FROM title), {distinct_sql('n')} SELECT id, distinct_titles FROM judged")
 def _(d):
     n = text.normalize_ascii
     return _titles(d).select("id", text.titles_distinct(n(F.col("title")), n(F.col("plain"))).alias("distinct_titles"))
@@ -70,28 +86,43 @@ def _(d):
 
 
 def _search(d):
-    """Every film's title asked with its year moved by -1, 0 or 1, against films of the same title two years around."""
+    """Every film's title asked, whole, misspelt or shortened by the film's remainder, with its year moved by -1, 0 or 1, against films of the same title two years around."""
     films = d.films().select("film_id", "title", F.lit(None).cast("string").alias("original_title"), "year", "vote_count")
-    asked = d.films().select(F.col("film_id").alias("query_id"), F.upper("title").alias("query_title"), (F.col("year") + F.col("film_id") % 3 - 1).cast("int").alias("query_year"), F.col("title").alias("t"))
+    title, m = F.col("title"), F.col("film_id") % 5
+    written = F.when(m == 3, F.concat(title, F.lit("x"))).when(m == 4, F.substring(title, 1, 9)).otherwise(F.upper(title))
+    asked = d.films().select(F.col("film_id").alias("query_id"), written.alias("query_title"), (F.col("year") + F.col("film_id") % 3 - 1).cast("int").alias("query_year"), title.alias("t"))
     asked = asked.withColumn("query_year", F.when(F.col("query_id") % 50 != 7, F.col("query_year")))
     near = films.join(asked, (F.col("title") == F.col("t")) & F.coalesce(F.abs(F.col("year") - F.col("query_year")) <= 2, F.col("year") == 1975))
     return asked.drop("t"), near.drop("t")
 
 
-@query("resolve_choose", f"""WITH {v.FILM}, q AS (SELECT film_id AS query_id, title AS t, CASE WHEN film_id % 50 <> 7 THEN (year + film_id % 3 - 1)::INT END AS y FROM film),
-c AS (SELECT query_id, y, film_id, vote_count, abs(year - y) AS gap, year FROM q JOIN film ON title = t AND coalesce(abs(year - y) <= 2, year = 1975)),
-w AS (SELECT *, gap <= 1 AS win, gap = 0 AS same FROM c),
-p AS (SELECT query_id, count(*) AS n, count_if(win) AS ne, count_if(win AND same) AS ney,
-  list_sort(list((-vote_count, film_id)) FILTER (win)) AS le, list_sort(list((-vote_count, film_id)) FILTER (win AND same)) AS ley, min(film_id) AS only_id FROM w GROUP BY query_id),
-z AS (SELECT q.query_id, q.y, coalesce(n, 0) AS n, ne, ney, only_id, le[1][2] AS lead, -le[1][1] AS v1, -le[2][1] AS v2, ley[1][2] AS leady, -ley[1][1] AS y1, -ley[2][1] AS y2 FROM q LEFT JOIN p USING (query_id)),
-k AS (SELECT *, CASE WHEN n = 0 THEN 1 WHEN y IS NULL AND n = 1 THEN 2 WHEN y IS NULL THEN 3 WHEN ne = 0 THEN 4 WHEN ney = 1 THEN 5 WHEN ney > 1 AND y1 >= 50 AND y1 >= 10 * greatest(y2, 1) THEN 6 WHEN ney > 1 THEN 7
-  WHEN ne = 1 THEN 8 WHEN v1 >= 50 AND v1 >= 10 * greatest(v2, 1) THEN 9 ELSE 10 END AS rule FROM z)
-SELECT query_id, CASE rule WHEN 2 THEN only_id WHEN 5 THEN leady WHEN 6 THEN leady WHEN 8 THEN lead WHEN 9 THEN lead END AS film_id,
-  CASE WHEN rule IN (2, 5) THEN 'exact' WHEN rule IN (6, 9) THEN 'dominant' WHEN rule = 8 THEN 'trigram' ELSE 'unresolved' END AS match_method,
-  CASE WHEN rule IN (2, 5, 6) THEN 1.0 WHEN rule IN (8, 9) THEN 0.9 END::DOUBLE AS confidence, rule IN (1, 3, 4) AS no_film_candidate FROM k""")
+#: CTEs that end in ruled: each asked title with its rule and the pools of candidates
+CHOOSE = f"""WITH {v.FILM}, asked AS (SELECT film_id AS query_id, title AS t, CASE film_id % 5 WHEN 3 THEN title || 'x' WHEN 4 THEN substring(title, 1, 9) ELSE upper(title) END AS w, CASE WHEN film_id % 50 <> 7 THEN (year + film_id % 3 - 1)::INT END AS y FROM film),
+near AS (SELECT query_id, y, film_id, vote_count, abs(year - y) AS gap, year, {NORM.format(t='w')} AS q, {NORM.format(t='title')} AS c FROM asked JOIN film ON title = t AND coalesce(abs(year - y) <= 2, year = 1975)),
+{distinct_sql('near')}, grams AS (SELECT query_id, film_id, vote_count, gap, year, distinct_titles, {GRAMS.format(t='q')} AS a, {GRAMS.format(t='c')} AS b FROM judged),
+compared AS (SELECT *, CASE WHEN distinct_titles THEN 0 ELSE coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0) END AS s FROM grams),
+flags AS (SELECT *, s >= 0.3 AS plausible, s >= 0.999 AS exact, s >= 0.3 AND gap <= 1 AS win, gap = 0 AS same FROM compared),
+pools AS (SELECT query_id, count_if(plausible) AS n, count_if(win) AS nw, list_sort(list((-vote_count, film_id, s)) FILTER (exact)) AS any_exact, list_sort(list((-vote_count, film_id, s)) FILTER (exact AND win)) AS e,
+  list_sort(list((-vote_count, film_id, s)) FILTER (exact AND win AND same)) AS ey, list_sort(list((-vote_count, film_id, s)) FILTER (win AND s >= 0.75)) AS f, list_sort(list((-vote_count, film_id, s)) FILTER (win AND s >= 0.75 AND same)) AS fy,
+  max(s) FILTER (win) AS best, max((vote_count, -film_id, year)) FILTER (exact AND win AND NOT same) AS other FROM flags GROUP BY 1),
+lists AS (SELECT asked.query_id, y, coalesce(n, 0) AS n, coalesce(nw, 0) AS nw, coalesce(any_exact, []) AS x, coalesce(e, []) AS e, coalesce(ey, []) AS ey, CASE WHEN len(coalesce(fy, [])) > 0 THEN fy ELSE coalesce(f, []) END AS f, len(coalesce(fy, [])) > 0 AS own_year, best, other FROM asked LEFT JOIN pools USING (query_id)),
+ruled AS (SELECT *, CASE WHEN n = 0 THEN 1 WHEN y IS NULL AND len(x) = 1 THEN 2 WHEN y IS NULL THEN 3 WHEN nw = 0 THEN 4 WHEN len(ey) = 1 THEN 5 WHEN len(ey) > 1 AND -ey[1][1] >= 50 AND -ey[1][1] >= 10 * greatest(-ey[2][1], 1) THEN 6 WHEN len(ey) > 1 THEN 7
+  WHEN len(e) = 1 THEN 8 WHEN len(e) > 1 AND -e[1][1] >= 50 AND -e[1][1] >= 10 * greatest(-e[2][1], 1) THEN 9 WHEN len(e) > 1 THEN 10 WHEN len(f) = 0 THEN 11 WHEN len(f) = 1 THEN 12 WHEN -f[1][1] >= 50 AND -f[1][1] >= 10 * greatest(-f[2][1], 1) THEN 13 ELSE 14 END AS rule FROM lists)"""
+CHOSEN = """SELECT query_id, CASE WHEN rule = 2 THEN x[1][2] WHEN rule IN (5, 6) THEN ey[1][2] WHEN rule IN (8, 9) THEN e[1][2] WHEN rule IN (12, 13) THEN f[1][2] END AS film_id,
+  CASE WHEN rule IN (2, 5) THEN 'exact' WHEN rule IN (6, 9, 13) THEN 'dominant' WHEN rule IN (8, 12) THEN 'trigram' ELSE 'unresolved' END AS match_method,
+  round(CASE WHEN rule IN (2, 5) THEN 1.0 WHEN rule = 6 THEN ey[1][3] WHEN rule IN (8, 9) THEN 0.9 WHEN rule IN (12, 13) THEN f[1][3] END::DOUBLE, 6) AS confidence, rule IN (1, 3, 4, 11) AS no_film_candidate,
+  CASE rule WHEN 1 THEN 'no candidate above threshold' WHEN 2 THEN 'exact title, no year available' WHEN 3 THEN 'no year, and title is not uniquely exact' WHEN 4 THEN 'no candidate within 1 year(s)' WHEN 5 THEN 'exact title and year'
+    WHEN 6 THEN len(ey) || ' share title and year; ' || -ey[1][1] || ' votes dominate'
+    WHEN 7 THEN len(ey) || ' candidates share title and year, none dominant' || CASE WHEN other[1] >= -10 * ey[1][1] THEN '; but ' || -other[2] || ' (' || other[3] || ', ' || other[1] || ' votes) is far more popular and one year off' ELSE '' END
+    WHEN 8 THEN 'exact title, year off by 1' WHEN 9 THEN len(e) || ' exact titles near the year; ' || -e[1][1] || ' votes dominate' WHEN 10 THEN len(e) || ' exact titles near the year'
+    WHEN 11 THEN 'best title similarity ' || printf('%.2f', best) || ' below 0.75' WHEN 12 THEN 'fuzzy title ' || printf('%.2f', f[1][3]) || ', year off by ' || CASE WHEN own_year THEN 0 ELSE 1 END
+    WHEN 13 THEN len(f) || ' fuzzy candidates; ' || -f[1][1] || ' votes dominate' ELSE len(f) || ' fuzzy candidates, none dominant' END AS reason FROM ruled"""
+
+
+@query("resolve_choose", f"{CHOOSE} {CHOSEN}")
 def _(d):
     asked, near = _search(d)
-    return resolve.choose(asked, resolve.candidates(near, ascii_only=True)).drop("reason")
+    return rounded(resolve.choose(asked, resolve.candidates(near, ascii_only=True)))
 
 
 @query("resolve_waterfall")
@@ -167,10 +198,20 @@ def _(d):
     return d.films().select("film_id", F.array_join(merge.genre_ids_to_names(ids, names), ",").alias("genres"))
 
 
+def _filmography(d):
+    """Everyone's credits walked while the films before 1975 are held: new films, and credits."""
+    films = d.films().select("film_id", "title", F.lit(None).cast("string").alias("original_title"), F.concat(F.col("year").cast("string"), F.lit("-01-01")).alias("release_date"), "vote_average", "vote_count")
+    return merge.person_filmography(d.credits().join(films, "film_id"), d.films().filter("year < 1975"))
+
+
 @query("person_filmography", f"WITH {v.FILM}, {v.CREDIT} SELECT DISTINCT film_id, person_id, department, job FROM credit JOIN film USING (film_id) WHERE role NOT IN ('director', 'actor') AND vote_count >= 20")
 def _(d):
-    films = d.films().select("film_id", "title", F.lit(None).cast("string").alias("original_title"), F.concat(F.col("year").cast("string"), F.lit("-01-01")).alias("release_date"), "vote_average", "vote_count")
-    return merge.person_filmography(d.credits().join(films, "film_id"), films.filter("film_id < 0"))[1]
+    return _filmography(d)[1]
+
+
+@query("filmography_new_films", f"WITH {v.FILM}, {v.CREDIT} SELECT DISTINCT film_id, title, year::INT AS year, round(vote_average, 6) AS vote_average, vote_count FROM film JOIN credit USING (film_id) WHERE role NOT IN ('director', 'actor') AND vote_count >= 20 AND year >= 1975")
+def _(d):
+    return rounded(_filmography(d)[0].select("film_id", "title", "year", "vote_average", "vote_count"))
 
 
 @query("delete_upload", f"WITH {v.RATING} SELECT upload_id, count(*)::BIGINT AS n FROM rating WHERE upload_id NOT LIKE 'B%' GROUP BY 1")

@@ -41,9 +41,10 @@ def _(d):
     return library.diary_counts(d.diary(), ["film_id"])
 
 
-@query("film_key_norm", f"WITH {v.FILM} SELECT film_id, lower(trim(title)) || '::' || year AS film_key FROM film")
+@query("film_key_norm", f"WITH {v.FILM} SELECT film_id, CASE WHEN film_id % 4 = 0 THEN 'strasse ' ELSE '' END || lower(trim(title)) || '::' || year AS film_key FROM film")
 def _(d):
-    return d.films().select("film_id", scalar.film_key(F.col("title"), F.col("year")).alias("film_key"))
+    name = F.when(F.col("film_id") % 4 == 0, F.concat(F.lit(" Straße "), F.upper("title"), F.lit("\u2003"))).otherwise(F.col("title"))
+    return d.films().select("film_id", scalar.film_key(name, F.col("year")).alias("film_key"))
 
 
 @query("half_star_validate", "SELECT l_linenumber, CASE WHEN v % 0.5 = 0 AND v BETWEEN 0.5 AND 5 THEN v END::DOUBLE AS rating, count(*)::BIGINT AS n FROM (SELECT l_linenumber, CAST(l_quantity / 8 AS DECIMAL(10,4)) AS v FROM lineitem) GROUP BY 1, 2")
@@ -147,7 +148,7 @@ def _(d):
     return quality.pooled_regions(d.films(), 80)
 
 
-@query("people_worth_traversing", f"WITH {v.BASE} SELECT upload_id, person_id, count(*)::BIGINT AS credit_rows FROM lib_credit GROUP BY 1, 2 HAVING count(*) >= 3")
+@query("people_worth_traversing", f"WITH {v.BASE} SELECT upload_id, person_id, count(*)::BIGINT AS credit_rows FROM lib_credit WHERE role NOT IN ('director', 'actor') GROUP BY 1, 2 HAVING count(*) >= 3")
 def _(d):
     return quality.worth_traversing(d.ratings(), with_roles(d.credits()))
 
@@ -176,7 +177,10 @@ def _(d):
 def _(d):
     own = d.films().select(F.col("film_id").alias("entry_id"), F.col("year").alias("query_year"))
     rows = d.entries().join(d.films().select("film_id", "title", "year"), "film_id", "left").join(own, "entry_id")
-    return quality.auto_verdict(rows.withColumn("name", F.upper("name"))).groupBy("upload_id", "verdict").agg(F.count("*").alias("n"))
+    # written in two ways that fold to the same title
+    odd = F.col("entry_id") % 3 == 0
+    rows = rows.withColumns({"name": F.when(odd, F.concat(F.lit("STRASSE ³ "), F.upper("name"))).otherwise(F.upper("name")), "title": F.when(odd, F.concat(F.lit("Straße  3 "), F.col("title"))).otherwise(F.col("title"))})
+    return quality.auto_verdict(rows).groupBy("upload_id", "verdict").agg(F.count("*").alias("n"))
 
 
 @query("rating_style", f"WITH {v.LIBRARY} SELECT upload_id, round(avg((rating = floor(rating))::INT), 6) AS whole_star_share, count(DISTINCT rating)::BIGINT AS levels_used, 10 AS levels_available, round(avg(rating), 6) AS mean, round(coalesce(stddev_samp(rating), 0), 6) AS sd, round(avg((rating >= 5)::INT), 6) AS top_rating_share, avg((rating = floor(rating))::INT) >= 0.6 AS is_decisive FROM library GROUP BY upload_id")
