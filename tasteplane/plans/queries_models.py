@@ -238,6 +238,35 @@ def _pairs(d):
     return ladder.predictions(_split(d), d.film_credits(), {n: ladder.FULL_LADDER[n] for n in sorted({x for pair in ladder.GATE_PAIRS for x in pair})}).persist()
 
 
+def _drawn(name: str, seed: int, *names: str) -> str:
+    """Select items that end in ``name``: ``inference.drawn`` of the expressions ``names``."""
+    p, items, last = inference.PRIME, [], str(seed % inference.PRIME)
+    for i, n in enumerate(names):
+        x, s, y = f"{name}_x{i}", f"{name}_s{i}", name if i + 1 == len(names) else f"{name}_y{i}"
+        items += [f"({last} + {n}) % {p} AS {x}", f"{x} * {x} % {p} AS {s}", f"{s} * {s} % {p} * {x} % {p} AS {y}"]
+        last = y
+    return ", ".join(items)
+
+
+PAIRED = f"""{PREDICTED}, pairs AS (SELECT p.upload_id, p.film_id, p.predicted AS one, round(x.expected, 7) AS two, actual FROM pred p JOIN expected x USING (upload_id, film_id)),
+ranked AS (SELECT *, (actual >= 4.5)::INT AS hit, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY upload_id) AS n, row_number() OVER (PARTITION BY upload_id ORDER BY one DESC, film_id) AS r1, row_number() OVER (PARTITION BY upload_id ORDER BY two DESC, film_id) AS r2 FROM pairs WINDOW w AS (PARTITION BY upload_id ORDER BY film_id)),
+point AS (SELECT upload_id, avg(hit) FILTER (r1 <= 100) AS value_one, avg(hit) FILTER (r2 <= 100) AS value_two FROM ranked GROUP BY 1),
+draws AS (SELECT upload_id, r, place AS draw, n, {_drawn('u', inference.SEED, 'r', 'place')} FROM ranked, range(1, {inference.RESAMPLES + 1}) t(r)),
+sample AS (SELECT d.upload_id, r, draw, hit, r1, r2 FROM draws d JOIN ranked k ON d.upload_id = k.upload_id AND d.u * d.n // {inference.PRIME} = k.place),
+placed AS (SELECT upload_id, r, hit, row_number() OVER (PARTITION BY upload_id, r ORDER BY r1, draw) AS p1, row_number() OVER (PARTITION BY upload_id, r ORDER BY r2, draw) AS p2 FROM sample),
+each AS (SELECT upload_id, r, avg(hit) FILTER (p1 <= 100) - avg(hit) FILTER (p2 <= 100) AS d FROM placed GROUP BY 1, 2),
+spread AS (SELECT upload_id, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, avg((d > 0)::INT) AS p FROM each GROUP BY 1)
+SELECT upload_id, round(value_one, 6) AS value_one, round(value_two, 6) AS value_two, round(low, 6) + 0.0::DOUBLE AS ci_low, round(high, 6) + 0.0::DOUBLE AS ci_high, round(p, 6) AS p_positive, round(value_one - value_two, 6) + 0.0::DOUBLE AS difference, low > 0 OR high < 0 AS significant FROM point JOIN spread USING (upload_id)"""
+
+
+@query("paired_bootstrap", PAIRED)
+def _(d):
+    s = _split(d)
+    credits = d.film_credits().filter(F.col("role").isin(*BELOW_THE_LINE))
+    rows = ladder.people(s.filter("block = 'train'"), s.filter("block = 'test'"), credits, "simple")
+    return rounded(inference.compare(rows.select("upload_id", "film_id", F.round("predicted", 7).alias("one"), F.round("expected", 7).alias("two"), F.col("rating").alias("actual"))))
+
+
 @query("bootstrap_compare")
 def _(d):
     return rounded(ladder.gate_pairs(_pairs(d)))
@@ -249,12 +278,21 @@ def _(d):
     return rounded(layers)
 
 
-@query("permutation_null")
+NULL = f"""WITH {v.BASE}, own AS (SELECT upload_id, film_id, vote_average, row_number() OVER (PARTITION BY upload_id ORDER BY film_id) AS place FROM library),
+keyed AS (SELECT upload_id, film_id, rating, p, {_drawn('key', inference.SEED, 'p', 'film_id')} FROM library, range(1, {inference.PERMUTATIONS + 1}) t(p)),
+dealt AS (SELECT upload_id, p, rating, row_number() OVER (PARTITION BY upload_id, p ORDER BY key, film_id) AS place FROM keyed),
+perm AS (SELECT upload_id || '#' || p AS upload_id, film_id, vote_average, rating FROM dealt JOIN own USING (upload_id, place)),
+{v.simple(train='perm', rows='perm')}, chosen AS (SELECT upload_id, film_id, role, person_id FROM perm JOIN credit USING (film_id)), {v.effects(source='chosen')}
+SELECT split_part(upload_id, '#', 1) AS upload_id, split_part(upload_id, '#', 2)::INT AS permutation, role, max(abs(effect)) AS largest FROM effect WHERE n >= 12 GROUP BY ALL"""
+STRONGEST = f"WITH {v.BASE}, {v.simple()}, {v.effects()} SELECT upload_id, role, arg_max(person_id, (abs(effect), -person_id)) AS person_id, max(abs(effect)) AS effect FROM effect WHERE n >= 12 GROUP BY 1, 2"
+
+
+@query("permutation_null", f"SELECT upload_id, permutation, role, round(largest, 6) AS largest FROM ({NULL})")
 def _(d):
     return rounded(inference.permutation_null(d.library(), d.film_credits()))
 
 
-@query("significance")
+@query("significance", f"SELECT b.upload_id, b.role, b.person_id, round(b.effect, 6) AS effect, round(quantile_cont(largest, 0.95), 6) AS critical, round((count_if(largest >= b.effect) + 1) / {inference.PERMUTATIONS + 1}, 6) AS p_value FROM ({STRONGEST}) b LEFT JOIN ({NULL}) n USING (upload_id, role) GROUP BY ALL")
 def _(d):
     return rounded(inference.significance(d.library(), d.film_credits()))
 

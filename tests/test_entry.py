@@ -31,11 +31,10 @@ def test_model_queries_do_the_whole_job(spark, monkeypatch):
     from tasteplane.plans import ladder
     from tasteplane.plans.bench_views import Views
 
-    d, draws, permutations, swept = Views(spark, SF), [], [], []
-    resampled, permuted, sweep = inference.resampled, inference.permuted, inference.synthetic_sweep
-    monkeypatch.setattr(inference, "resampled", lambda pairs, n, seed: draws.append(n) or resampled(pairs, n, seed))
-    monkeypatch.setattr(inference, "permuted", lambda library, n: permutations.append(n) or permuted(library, n))
-    monkeypatch.setattr(inference, "synthetic_sweep", lambda *a, **k: swept.append(k) or sweep(*a, **k))
+    d, draws, permutations = Views(spark, SF), [], []
+    compare, null = inference.compare, inference.permutation_null
+    monkeypatch.setattr(inference, "compare", lambda pairs, metric="gate", resamples=2_000, *a: draws.append(resamples) or compare(pairs, metric, resamples, *a))
+    monkeypatch.setattr(inference, "permutation_null", lambda library, credits, n=200, *a: permutations.append(n) or null(library, credits, n, *a))
     registry.QUERIES["decomposition"](spark, SF)
     assert draws == [1_000] * 2
     registry.QUERIES["bootstrap_compare"](spark, SF)
