@@ -121,8 +121,11 @@ class Workspace:
 
         rated = rated.withColumn("film_key", film_key(F.col("name"), F.col("year"))).drop("name", "year")
         films = self.table("films").select("film_id", "title", "year", "vote_average", "vote_count", "country", merge.genre_names(F.col("raw")).alias("genres"))
-        out = library.build_library(rated, films, self.table("diary"), ["upload_id", "film_key"]).drop("film_key", "source_uri")
-        return out.dropDuplicates(["upload_id", "film_id"])
+        out = library.build_library(rated, films, self.table("diary"), ["upload_id", "film_key"]).drop("film_key")
+        # of a film rated under several titles the last rating counts: a model has one row a film
+        held = [c for c in out.columns if c not in ("upload_id", "film_id", "source_uri")]
+        last = F.max_by(F.struct(*held), F.struct("logged_date", "source_uri")).alias("r")
+        return out.groupBy("upload_id", "film_id").agg(last).select("upload_id", "film_id", "r.*")
 
     def people_of(self, roles: tuple[str, ...] = PRODUCT_ROLES) -> DataFrame:
         return with_roles(self.table("credits")).filter(F.col("role").isin(*roles)).select("film_id", "role", "person_id").distinct()

@@ -35,8 +35,8 @@ def simple_predict(library: DataFrame, fit: DataFrame) -> DataFrame:
     return library.join(fit, "upload_id").withColumn("expected", at).drop("slope", "intercept", "fallback")
 
 
-def features(library: DataFrame, context: tuple[str, ...] = CONTEXT, diary: bool = False) -> DataFrame:
-    """Long form of the design: upload_id, film_id, feature, value; constants and zeros are left out except the intercept."""
+def cells(context: tuple[str, ...] = CONTEXT, diary: bool = False) -> Column:
+    """A row's non-zero features as an array of (feature, value); the intercept is feature 1."""
     x: list[tuple[Column, Column]] = [
         (F.lit("1"), F.lit(1.0)),
         (F.lit("average"), F.coalesce("vote_average", F.lit(0.0))),
@@ -49,12 +49,16 @@ def features(library: DataFrame, context: tuple[str, ...] = CONTEXT, diary: bool
         x.append((F.concat(F.lit("country:"), F.coalesce("country", F.lit("??"))), F.lit(1.0)))
     if "decade" in context:
         x.append((F.concat(F.lit("decade:"), scalar.decade(F.col("year")).cast("string")), F.lit(1.0)))
-    cells = F.array(*[F.struct(n.alias("feature"), v.cast("double").alias("value")) for n, v in x])
+    out = F.array(*[F.struct(n.alias("feature"), v.cast("double").alias("value")) for n, v in x])
     if "genre" in context:
         genres = F.array_distinct(F.coalesce("genres", F.array().cast("array<string>")))
-        cells = F.concat(cells, F.transform(genres, lambda g: F.struct(F.concat(F.lit("genre:"), g).alias("feature"), F.lit(1.0).alias("value"))))
-    cells = F.filter(cells, lambda c: c["value"] != 0)
-    return library.select("upload_id", "film_id", F.explode(cells).alias("c")).select("upload_id", "film_id", "c.feature", "c.value")
+        out = F.concat(out, F.transform(genres, lambda g: F.struct(F.concat(F.lit("genre:"), g).alias("feature"), F.lit(1.0).alias("value"))))
+    return F.filter(out, lambda c: c["value"] != 0)
+
+
+def features(library: DataFrame, context: tuple[str, ...] = CONTEXT, diary: bool = False) -> DataFrame:
+    """Long form of the design: upload_id, film_id, feature, value."""
+    return library.select("upload_id", "film_id", F.explode(cells(context, diary)).alias("c")).select("upload_id", "film_id", "c.feature", "c.value")
 
 
 def _solve(alpha: float, least: int):
@@ -83,11 +87,10 @@ def _solve(alpha: float, least: int):
 
 def ridge_fit(library: DataFrame, target: str = "rating", context: tuple[str, ...] = CONTEXT, alpha: float = ALPHA, diary: bool = False, least: int = LEAST_ROWS) -> DataFrame:
     """upload_id, feature, coefficient; the intercept (feature 1) is not penalised."""
-    cells = features(library, context, diary)
-    per_film = cells.groupBy("upload_id", "film_id").agg(F.collect_list(F.struct("feature", "value")).alias("x"))
-    per_film = per_film.join(library.select("upload_id", "film_id", F.col(target).alias("y")), ["upload_id", "film_id"])
-    row = F.concat("x", F.array(F.struct(F.lit("y").alias("feature"), F.col("y").cast("double").alias("value"))))
-    pairs = per_film.select("upload_id", F.explode(row).alias("p"), row.alias("row")).select("upload_id", "p", F.explode("row").alias("q"))
+    # a row makes its own products; nothing but their sums is shuffled
+    row = F.concat(cells(context, diary), F.array(F.struct(F.lit("y").alias("feature"), F.col(target).cast("double").alias("value"))))
+    rows = library.select("upload_id", row.alias("row"))
+    pairs = rows.select("upload_id", "row", F.explode("row").alias("p")).select("upload_id", "p", F.explode("row").alias("q"))
     pairs = pairs.filter((F.col("p.feature") <= F.col("q.feature")) | (F.col("q.feature") == "y"))
     sums = pairs.groupBy("upload_id", F.col("p.feature").alias("a"), F.col("q.feature").alias("b")).agg(F.sum(F.col("p.value") * F.col("q.value")).alias("s"))
     return sums.groupBy("upload_id").applyInPandas(_solve(alpha, least), "upload_id string, feature string, coefficient double")
@@ -95,8 +98,10 @@ def ridge_fit(library: DataFrame, target: str = "rating", context: tuple[str, ..
 
 def ridge_predict(library: DataFrame, fit: DataFrame, context: tuple[str, ...] = CONTEXT, diary: bool = False) -> DataFrame:
     """The library with ``expected``; features that the fit has not seen count nothing."""
-    summed = features(library, context, diary).join(fit, ["upload_id", "feature"]).groupBy("upload_id", "film_id").agg(F.sum(F.col("value") * F.col("coefficient")).alias("expected"))
-    return library.join(summed, ["upload_id", "film_id"])
+    # one map an upload, as large as the vocabulary
+    maps = fit.groupBy("upload_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "coefficient"))).alias("_b"))
+    term = lambda total, c: total + c["value"] * F.coalesce(F.try_element_at("_b", c["feature"]), F.lit(0.0))
+    return library.join(maps, "upload_id").withColumn("expected", F.aggregate(cells(context, diary), F.lit(0.0), term)).drop("_b")
 
 
 def fit_predict(train: DataFrame, rows: DataFrame, kind: str = "rich", target: str = "rating", context: tuple[str, ...] = CONTEXT) -> DataFrame:

@@ -19,6 +19,14 @@ def unrated(films: DataFrame, library: DataFrame, least_votes: int = LEAST_VOTES
     return eligible.join(uploads, how="cross").join(library.select("upload_id", "film_id"), ["upload_id", "film_id"], "left_anti")
 
 
+def scoreable(films: DataFrame, library: DataFrame, credits: DataFrame, fitted: DataFrame, least_votes: int = LEAST_VOTES) -> DataFrame:
+    """Of ``unrated`` the rows with at least one below-the-line person of known effect, reached from the effects: no product of films and uploads."""
+    known = fitted.filter(F.col("role").isin(*BELOW_THE_LINE)).select("upload_id", "role", "person_id")
+    pairs = known.join(credits, ["role", "person_id"]).select("upload_id", "film_id").distinct()
+    eligible = films.filter((F.coalesce("vote_count", F.lit(0)) >= least_votes) & F.col("vote_average").isNotNull())
+    return pairs.join(library.select("upload_id", "film_id"), ["upload_id", "film_id"], "left_anti").join(eligible, "film_id")
+
+
 def novelty(candidates: DataFrame, library: DataFrame) -> DataFrame:
     """Adds ``percentile``: the share of the library's vote counts that do not exceed the candidate's. Distinct counts are ranked, not films."""
     mine = library.groupBy("upload_id", F.coalesce("vote_count", F.lit(0)).alias("v")).agg(F.count("*").alias("c"))
@@ -51,10 +59,9 @@ def director_familiarity(candidates: DataFrame, credits: DataFrame, library: Dat
 
 def recommendations(films: DataFrame, library: DataFrame, credits: DataFrame, fitted: DataFrame, expect) -> DataFrame:
     """Scoreable candidates; ``expect`` maps rows with upload_id and film columns to rows with ``expected``."""
-    rows = unrated(films, library)
-    reasons = strongest_reason(rows, credits, fitted)
-    scoreable = rows.join(reasons, ["upload_id", "film_id"])
-    scored = crew.predicted(expect(scoreable), crew.adjustments(scoreable, credits, fitted))
+    rows = scoreable(films, library, credits, fitted)
+    rows = rows.join(strongest_reason(rows, credits, fitted), ["upload_id", "film_id"])
+    scored = crew.predicted(expect(rows), crew.adjustments(rows, credits, fitted))
     scored = scored.withColumn("crew_adjustment", F.col("predicted") - F.col("expected"))
     return director_familiarity(novelty(scored, library), credits, library)
 
