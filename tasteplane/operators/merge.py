@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CAST_LIMIT = 10
+CAST_LIMIT, LEAST_VOTES = 10, 20
 
 
 def has_credits(raw: Column) -> Column:
@@ -80,7 +80,7 @@ def genre_ids_to_names(ids: Column, names: Column) -> Column:
     return F.filter(F.transform(ids, lambda i: F.try_element_at(names, i)), lambda n: n.isNotNull())
 
 
-def person_filmography(person_credits: DataFrame, films: DataFrame, least_votes: int = 20) -> tuple[DataFrame, DataFrame]:
+def person_filmography(person_credits: DataFrame, films: DataFrame, least_votes: int = LEAST_VOTES) -> tuple[DataFrame, DataFrame]:
     """New films and credits of people's filmographies: below-the-line roles, films with votes enough.
 
     ``person_credits``: person_id, film_id, title, original_title, release_date, vote_average, vote_count, department, job.

@@ -164,7 +164,11 @@ def waterfall(queries: DataFrame, known: DataFrame, films: DataFrame, searched:
 
 
 def resolve_stats(resolved: DataFrame) -> DataFrame:
-    """Counts by class, and the resolution rate (0 without titles)."""
+    """Counts by stage and class, ``attempted`` (decided now, not read from known answers), and the resolution rate (0 without titles)."""
     found, tv = F.count_if(F.col("film_id").isNotNull()), F.count_if(F.col("match_method") == "television")
-    out = resolved.agg(F.count("*").alias("total"), found.alias("resolved"), tv.alias("television"), F.count_if(F.col("match_method") == "unresolved").alias("failed"))
+    stage = lambda *s: F.count_if(F.col("stage").isin(*s))
+    out = resolved.agg(
+        F.count("*").alias("total"), stage("cache", "manual").alias("from_cache"), stage("local").alias("from_local"), stage("search").alias("from_search"), stage("local", "search").alias("attempted"),
+        found.alias("resolved"), tv.alias("television"), F.count_if(F.col("match_method") == "unresolved").alias("failed"),
+    )
     return out.withColumn("resolution_rate", F.when(F.col("total") > 0, F.col("resolved") / F.col("total")).otherwise(0.0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 SEED = 20260726
+MODEL_VERSION = "1"
 TEMPORAL_CUT = "2024-01-01"
 LOWEST_RATING, HIGHEST_RATING, RATING_STEP = 0.5, 5.0, 0.5
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -129,6 +129,72 @@ def capture(client: CatalogClient, folder: str, searches: list[tuple[str, int |
     return len(searches) + len(films)
 
 
+@dataclass
+class Fetched:
+    """What a run of requests came to; the answers are rows (key, raw) in ``path``."""
+
+    path: str
+    fetched: int = 0
+    missing: int = 0
+    #: keys whose request failed
+    failed: list[str] = field(default_factory=list)
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """key, raw; one row a key."""
+        return spark.read.schema("key string, raw string").parquet(self.path) if self.fetched else spark.createDataFrame([], "key string, raw string")
+
+
+def fetch(spark: SparkSession, path: str, keys: Iterable, ask: Callable[[Any], dict], name: Callable[[Any], str] = str, at_once: int = 200) -> Fetched:
+    """Ask for each key in turn, in this process under one rate limit; answers are appended to ``path`` some at a time, so the driver holds few."""
+    out, held = Fetched(path), []
+
+    def write() -> None:
+        if held:
+            spark.createDataFrame(held, "key string, raw string").coalesce(1).write.mode("append").parquet(path)
+            held.clear()
+
+    for key in keys:
+        try:
+            held.append((name(key), json.dumps(ask(key), ensure_ascii=False)))
+            out.fetched += 1
+        except CatalogNotFound:
+            out.missing += 1
+        except CatalogError:
+            out.failed.append(name(key))
+        if len(held) >= at_once:
+            write()
+    write()
+    return out
+
+
+_HIT = "id:long,title:string,original_title:string,release_date:string,vote_average:double,vote_count:int"
+
+
+def search_rows(answers: DataFrame) -> DataFrame:
+    """query_id and the films of fetched searches, with what the catalog keeps of a hit."""
+    hits = answers.select(F.col("key").alias("query_id"), F.explode(F.from_json("raw", f"results array<struct<{_HIT}>>")["results"]).alias("x"))
+    return hits.select("query_id", F.col("x.id").alias("film_id"), "x.title", "x.original_title", release_year(F.col("x.release_date")).alias("year"), "x.vote_average", "x.vote_count", F.to_json("x").alias("raw"))
+
+
+def show_rows(answers: DataFrame) -> DataFrame:
+    """query_id, show_name, show_original_name, show_year of fetched television searches."""
+    hits = answers.select(F.col("key").alias("query_id"), F.explode(F.from_json("raw", "results array<struct<name:string,original_name:string,first_air_date:string>>")["results"]).alias("x"))
+    return hits.select("query_id", F.col("x.name").alias("show_name"), F.col("x.original_name").alias("show_original_name"), release_year(F.col("x.first_air_date")).alias("show_year"))
+
+
+def payload_rows(answers: DataFrame) -> DataFrame:
+    """film_id, p, raw of fetched films."""
+    return answers.select(F.col("key").cast("int").alias("film_id"), F.from_json("raw", PAYLOAD).alias("p"), "raw")
+
+
+def person_credit_rows(answers: DataFrame) -> DataFrame:
+    """person_id and the crew entries of fetched filmographies that name a film, a department and a job."""
+    entry = f"{_HIT},genre_ids:array<int>,department:string,job:string"
+    rows = answers.select(F.col("key").cast("int").alias("person_id"), F.explode(F.from_json("raw", f"crew array<struct<{entry}>>")["crew"]).alias("x"))
+    rows = rows.select("person_id", F.col("x.id").cast("int").alias("film_id"), "x.title", "x.original_title", "x.release_date", "x.vote_average", "x.vote_count", "x.genre_ids", "x.department", "x.job")
+    return rows.dropna(subset=["film_id", "department", "job"])
+
+
 def replay_searches(spark: SparkSession, pattern: str) -> DataFrame:
     """Recorded searches as rows for resolution: query_id (title::year), query_title, query_year, film_id, title, original_title, year, vote_count."""
     schema = "query string, year int, results array<struct<id:long,title:string,original_title:string,release_date:string,vote_count:int>>"

@@ -42,3 +42,103 @@ def test_commands_parse(capsys):
     with pytest.raises(SystemExit):
         app.main(["--help"])
     assert "backfill-cast" in capsys.readouterr().out
+
+
+class Catalog:
+    """Answers from tables; unknown films are missing, and some requests fail."""
+
+    def __init__(self):
+        self.films, self.asked = {}, []
+        for i in range(6):
+            crew = [{"id": 1, "name": "e", "department": "Editing", "job": "Editor"}, {"id": 1, "name": "e", "department": "Editing", "job": "Editor"}, {"id": 50 + i, "name": "d", "department": "Directing", "job": "Director"}, {"id": 7, "name": "x", "department": None, "job": "Gaffer"}]
+            cast = [{"id": 90 + j % 11, "name": f"a{j % 11}", "order": j} for j in range(12)]
+            self.films[100 + i] = {"id": 100 + i, "title": f"Night {'abcdef'[i]}", "original_title": f"Night {'abcdef'[i]}", "release_date": f"{1990 + i}-02-01", "vote_average": 7.0, "vote_count": 90, "origin_country": ["DE"], "genres": [], "credits": {"crew": crew, "cast": cast}}
+
+    def search_films(self, title, year=None):
+        from tasteplane.sources.catalog import CatalogError
+
+        self.asked.append(title)
+        if title == "Broken":
+            raise CatalogError("down")
+        return [{k: f[k] for k in ("id", "title", "original_title", "release_date", "vote_average", "vote_count")} for f in self.films.values() if f["title"] == title]
+
+    def search_shows(self, title, year=None):
+        return [{"name": "Some Series", "original_name": "Some Series", "first_air_date": "2001-01-01"}] if title == "Some Series" else []
+
+    def film(self, film_id, append=None):
+        from tasteplane.sources.catalog import CatalogError, CatalogNotFound
+
+        if film_id == 104:
+            raise CatalogNotFound("movie/104")
+        if film_id == 105 or film_id not in self.films:
+            raise CatalogError("down")
+        return self.films[film_id]
+
+    def person_credits(self, person_id):
+        entry = {"title": "Far", "original_title": "Far", "release_date": "1970-01-01", "vote_average": 6.0, "genre_ids": [1, 9], "department": "Editing", "job": "Editor"}
+        return {"crew": [entry | {"id": 900, "vote_count": 40}, entry | {"id": 901, "vote_count": 3}, entry | {"id": 100, "vote_count": 90}, entry | {"id": 902, "vote_count": 99, "department": "Directing", "job": "Director"}, entry | {"id": 903, "vote_count": 99, "job": None}]}
+
+    def genres(self):
+        return {1: "Drama", 2: "War"}
+
+
+def test_catalog_passes(spark, tmp_path):
+    titles = [(f"Night {c}", 1990 + i) for i, c in enumerate("abcdef")] + [("Some Series", 2001), ("Nothing Such", 1950), ("Broken", 1960), ("By Hand", 1970)]
+    (tmp_path / "export").mkdir()
+    (tmp_path / "export" / "ratings.csv").write_text("\n".join(["Date,Name,Year,Letterboxd URI,Rating", *[f"2023-01-05,{t},{y},u{i},4" for i, (t, y) in enumerate(titles)]]) + "\n")
+    (tmp_path / "manual.csv").write_text("source_uri,film_id\nu9,777\n")
+    fake = Catalog()
+    w = app.Workspace(spark, str(tmp_path / "ws"), fake)
+    w.ingest(str(tmp_path / "export"), "me")
+    up = w.table("uploads").first()
+    assert (up.status, up.film_count, up.error) == ("pending", 10, None) and len(up.token) >= 43 and up.uploaded_at
+
+    s = w.resolve(overrides=str(tmp_path / "manual.csv")).first()
+    assert (s.total, s.from_cache, s.from_local, s.from_search, s.attempted, s.resolved, s.television, s.failed, s.errors) == (10, 1, 0, 8, 8, 7, 1, 1, 1)
+    assert w.table("uploads").first().status == "complete" and "By Hand" not in fake.asked
+    r = {x.source_uri: (x.film_id, x.match_method) for x in w.table("resolutions").collect()}
+    assert r["u0"] == (100, "exact") and r["u6"] == (None, "television") and r["u9"] == (777, "manual") and "u8" not in r
+    assert w.table("films").count() == 6  # hits are held, so the next title needs no request
+    assert w.metrics().first().resolution_rate_excluding_television == 7 / 8
+    fake.asked.clear()
+    s = w.resolve().first()
+    assert (s.from_cache, s.from_search, s.errors) == (9, 0, 1) and fake.asked == ["Broken"]
+
+    c = w.credits("me").first()
+    assert (c.films, c.fetched, c.skipped_cached, c.missing, c.errors) == (7, 4, 0, 1, 2)  # 777 is in no answer
+    assert (c.credits_stored, c.people_stored, c.median_crew, c.departments) == (4 * 12, 4 * 12, 4.0, {"Editing": 8, "Directing": 4})
+    again = w.credits("me").first()
+    assert (again.fetched, again.skipped_cached, again.credits_stored) == (0, 4, 4 * 12) and w.table("credits").count() == 4 * 12
+    assert w.credits("me", refresh=True, limit=3).first().fetched == 3
+
+    f = w.filmographies("me").first()
+    assert (f.people, f.fetched, f.films_seen, f.films_stored, f.credits_stored, f.skipped_low_votes, f.by_role) == (1, 1, 3, 1, 2, 1, {"editor": 2})
+    far = w.table("films").filter("film_id = 900").first()
+    assert far.title == "Far" and far.year == 1970 and '"Drama"' in far.raw and w.table("films").filter("film_id in (901, 902)").count() == 0
+    assert w.table("credits").filter("film_id = 900").count() == 1 and w.table("people").filter("person_id = 1").first().name == "e"
+
+
+def test_failed_resolution_is_recorded(spark, tmp_path, monkeypatch):
+    import pytest
+
+    (tmp_path / "export").mkdir()
+    (tmp_path / "export" / "ratings.csv").write_text("Date,Name,Year,Letterboxd URI,Rating\n2023-01-05,A,1990,u0,4\n")
+    w = app.Workspace(spark, str(tmp_path / "ws"))
+    w.ingest(str(tmp_path / "export"), "me")
+    monkeypatch.setattr(app.resolve, "resolve_stats", lambda out: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        w.resolve()
+    up = w.table("uploads").first()
+    assert up.status == "failed" and "division" in up.error and up.completed_at
+
+
+def test_runs_are_logged(spark, tmp_path, monkeypatch):
+    w = app.Workspace(spark, str(tmp_path / "ws"))
+    lib = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "upload_id string, film_id int")
+    monkeypatch.setattr(app.Workspace, "library", lambda self: lib)
+    for name in ("temporal_split", "random_split"):
+        monkeypatch.setattr(app.splits, name, lambda x, *a: x)
+    monkeypatch.setattr(app.ladder, "evaluate", lambda s, credits, rungs: s.groupBy("upload_id").count())
+    w.evaluate(save=True)
+    log = {r.upload_id: r for r in spark.read.parquet(f"{w.folder}/runs").collect()}
+    assert set(log) == {"a", "b"} and '"films\\":2' in log["a"].config.replace(" ", "") and "temporal" in log["b"].metrics
