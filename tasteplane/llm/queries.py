@@ -119,25 +119,29 @@ SELECT doc_id, item_id, n_item, n_shared, round(n_shared / n_item::DOUBLE, 6) AS
 FROM m JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item - 1e-9
 """
 
-# the template keys are written out as text here
+# the templates are written out as text here
 _OP6 = r"""
 WITH l AS (
   SELECT doc_id, unnest(range(0, len(ls)))::INT AS pos, unnest(ls) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)
 ), t AS (
-  SELECT doc_id, pos, string_split(regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS w FROM l
+  SELECT doc_id, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ts FROM l
 ), u AS (
-  SELECT doc_id, pos, w, len(w) AS n, floor((len(w) - 2) / 3)::INT AS k FROM t WHERE len(w) >= 3
+  SELECT doc_id, pos, len(ts) AS n, list_transform(ts, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM t
+  WHERE len(ts) >= 3 OR (len(ts) > 0 AND strlen(array_to_string(ts, ' ')) >= 90)
+), fields AS (
+  SELECT *, unnest([{'f': 0, 'a': n, 'b': n}]) AS x FROM u
+  UNION ALL
+  SELECT *, unnest(list_transform(range(2, n), lambda i: {'f': i - 1, 'a': i, 'b': i + 1})) FROM u WHERE n BETWEEN 5 AND 8
+  UNION ALL
+  SELECT *, unnest([{'f': 1, 'a': 2, 'b': 2 + (n - 2) // 3}, {'f': 2, 'a': 2 + (n - 2) // 3, 'b': 2 + 2 * ((n - 2) // 3)}, {'f': 3, 'a': 2 + 2 * ((n - 2) // 3), 'b': n}]) FROM u WHERE n >= 9
+), filled AS (
+  SELECT doc_id, pos, n, x.f AS f, w[1:x.a] || w[x.b + 1:] AS k FROM fields
 ), keys AS (
-  SELECT doc_id, pos, unnest(CASE WHEN n >= 9 THEN [
-    '0 ' || array_to_string(w, ' '),
-    '1 ' || n || ' ' || array_to_string(w[1:2], ' ') || ' | ' || array_to_string(w[3+k:2+2*k], ' ') || ' | ' || array_to_string(w[3+2*k:], ' '),
-    '2 ' || n || ' ' || array_to_string(w[1:2], ' ') || ' | ' || array_to_string(w[3:2+k], ' ') || ' | ' || array_to_string(w[3+2*k:], ' '),
-    '3 ' || n || ' ' || array_to_string(w[1:2], ' ') || ' | ' || array_to_string(w[3:2+k], ' ') || ' | ' || array_to_string(w[3+k:2+2*k], ' ')]
-    ELSE ['0 ' || array_to_string(w, ' ')] END) AS key
-  FROM u
+  SELECT doc_id, pos, n || ' ' || f || ' ' || array_to_string(k, ' ') AS key, CASE WHEN f = 0 AND n >= 50 THEN 2 ELSE 3 END AS least
+  FROM filled WHERE 2 * len(list_filter(k, lambda x: x <> '<*>')) >= n
 ), hot AS (
-  SELECT key, min(doc_id) AS first_doc, arg_min(pos, (doc_id, pos)) AS first_pos FROM keys GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+  SELECT key, min(doc_id) AS first_doc, arg_min(pos, (doc_id, pos)) AS first_pos FROM keys GROUP BY key HAVING count(DISTINCT doc_id) >= min(least)
 ), gone AS (
   SELECT DISTINCT doc_id, pos FROM keys JOIN hot USING (key) WHERE NOT (doc_id = first_doc AND pos = first_pos)
 ), kept AS (
