@@ -11,12 +11,14 @@ back; a position found to be a dead end is not visited again, so the work is lin
 
 Decoding looks each id up in a table of offsets into one string of all tokens.
 
-Words repeat, so each Python worker remembers encoded words up to a bound, past which the
-memory is emptied; nothing is dropped from the output.
+Words repeat, so a task remembers short encoded words in two generations of bounded size: a full
+one takes the place of the older, from which words in use are taken over. It holds some
+tens of MB, and a worker gives them back when the task ends. Nothing is dropped from the output.
 
 Edge cases: null text is empty (no ids, digests of the empty string); special token strings
 in a text are those tokens, as in the library; repeated rows are encoded each; an empty
-table gives no rows; other columns are ignored unless asked for.
+table gives no rows; a null doc_id stays null; very long texts and runs without spaces are encoded whole,
+in memory in proportion to their own length; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 
 #: white space of the normaliser's \s: the Unicode property, without the separators U+001C to U+001F
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-REMEMBERED_WORDS = 200_000
+#: words of a generation, pairs that are remembered, and the length up to which a word is (each entry stays under 1 KB)
+REMEMBERED_WORDS, REMEMBERED_PAIRS, REMEMBERED_LENGTH = 75_000, 200_000, 48
 _END = 0x10000  # added to a character to mark it as the last of a word
 
 
@@ -43,6 +46,26 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+class Memory:
+    """Answers to short strings, in two generations."""
+
+    def __init__(self, answer) -> None:
+        self.answer = answer
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def __call__(self, key: str):
+        if (got := self.new.get(key)) is not None:
+            return got
+        if (got := self.old.get(key)) is None:
+            got = self.answer(key)
+        if len(key) <= REMEMBERED_LENGTH:
+            if len(self.new) >= REMEMBERED_WORDS:
+                self.old, self.new = self.new, {}
+            self.new[key] = got
+        return got
+
+
 class Encoder:
     def __init__(self, spec: str | dict) -> None:
         import ahocorasick
@@ -90,9 +113,12 @@ class Encoder:
                 if (p := number.get(token[:n])) is not None:
                     self._shorter[k] = p
                     break
-        self._compatible: dict[tuple[int, int], bool] = {}
-        self._known: dict[str, tuple[str, int, str]] = {}
-        self._pieces_known: dict[str, list[int]] = {}
+        self._compatible: dict[int, bool] = {}
+        self._chunks, self._words = Memory(self._chunk), Memory(self._word)
+
+    def forget(self) -> None:
+        """Give back the memory of words and pairs; the tables stay."""
+        self._compatible, self._chunks, self._words = {}, Memory(self._chunk), Memory(self._word)
 
     @staticmethod
     def _offset_table(tokens: dict[int, str]) -> tuple[array, str]:
@@ -107,10 +133,8 @@ class Encoder:
         return self._blob[self._offsets[i] : self._offsets[i + 1]]
 
     def _fits(self, left: int, right: int) -> bool:
-        """Whether merging by rank keeps the border between two tokens: no merge over it comes before those that hide it."""
-        key = (left, right)
-        if (known := self._compatible.get(key)) is not None:
-            return known
+        """Whether merging by rank keeps the border between two tokens: no merge over it comes before those that hide it. The answer is remembered."""
+        key = left << 32 | right
         bound = len(self._halves)
         ok = None
         while ok is None:
@@ -131,7 +155,7 @@ class Encoder:
                     ok = True if outer == left else None
                     left = outer
                 right = inner
-        if len(self._compatible) > 2_000_000:
+        if len(self._compatible) >= REMEMBERED_PAIRS:
             self._compatible.clear()
         self._compatible[key] = ok
         return ok
@@ -139,56 +163,60 @@ class Encoder:
     def _backtrack(self, word: str) -> list[int]:
         longest = [-1] * (len(word) + 1)
         length = self._length
-        for end, k in self._automaton.iter(word):
-            at = end + 1 - length[k]
-            if longest[at] < 0 or length[longest[at]] < length[k]:
-                longest[at] = k
+        for end, k in self._automaton.iter(word):  # by their ends, so of one start the longest comes last
+            longest[end + 1 - length[k]] = k
         out: list[int] = []
         alive = bytearray(b"\x01") * (len(word) + 1)
-        at, candidate = 0, longest[0]
-        while at < len(word):
-            while candidate >= 0 and not (alive[at + length[candidate]] and (not out or self._fits(out[-1], candidate))):
-                candidate = self._shorter[candidate]
+        shorter, compatible = self._shorter, self._compatible.get
+        at, candidate, last, end = 0, longest[0], -1, len(word)
+        while at < end:
+            while candidate >= 0:
+                if alive[at + length[candidate]]:
+                    if last < 0:
+                        break
+                    if (fits := compatible(last << 32 | candidate)) is None:
+                        fits = self._fits(last, candidate)
+                    if fits:
+                        break
+                candidate = shorter[candidate]
             if candidate >= 0:
                 out.append(candidate)
                 at += length[candidate]
-                candidate = longest[at]
+                last, candidate = candidate, longest[at]
             else:
                 alive[at] = 0
-                last = out.pop()
                 at -= length[last]
-                candidate = self._shorter[last]
+                candidate = shorter[out.pop()]
+                last = out[-1] if out else -1
         return out
 
     def word_ids(self, piece: str) -> list[int]:
         """Ids of one pre-token (already normalised)."""
-        if (got := self._pieces_known.get(piece)) is not None:
-            return got
         mapped = piece if piece.isascii() and piece.isprintable() and " " not in piece else "".join([self._bytes[b] for b in piece.encode("utf-8")])
-        got = [self._to_id[k] for k in self._backtrack(mapped[:-1] + chr(ord(mapped[-1]) + _END))]
-        if len(self._pieces_known) >= REMEMBERED_WORDS:
-            self._pieces_known.clear()
-        self._pieces_known[piece] = got
-        return got
+        return [self._to_id[k] for k in self._backtrack(mapped[:-1] + chr(ord(mapped[-1]) + _END))]
+
+    def _word(self, piece: str) -> tuple[str, int, str]:
+        """Ids (joined), their number and the decoded text of one pre-token."""
+        ids = self.word_ids(piece)
+        return " ".join(map(str, ids)), len(ids), self.decode(ids)
 
     def _chunk(self, chunk: str) -> tuple[str, int, str]:
         """Ids (joined), their number and the decoded text of a run without white space."""
-        low = unicodedata.normalize("NFC", chunk)
+        low = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
         low = "".join(map(str.lower, low)) if "Σ" in low else low.lower()  # sigma has no final form here
         pieces = [low] if low.isascii() and low.isalpha() else self._split_re.findall(low)
-        ids = [i for piece in pieces for i in self.word_ids(piece)]
-        if len(self._known) >= REMEMBERED_WORDS:
-            self._known.clear()
-        self._known[chunk] = got = (" ".join(map(str, ids)), len(ids), self.decode(ids))
-        return got
+        if len(pieces) == 1:
+            return self._words(pieces[0])
+        got = [self._words(piece) for piece in pieces]
+        return " ".join([g[0] for g in got]), sum([g[1] for g in got]), " ".join([g[2] for g in got])
 
     def _pieces(self, text: str) -> list[tuple[str, int, str]]:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             chunks = [c for c in self._space_re.split(text) if c]
         else:
             chunks = text.split()
-        known = self._known.get
-        return [known(c) or self._chunk(c) for c in chunks]
+        known, ask = self._chunks.new.get, self._chunks
+        return [known(c) or ask(c) for c in chunks]
 
     def encode(self, text: str) -> tuple[str, int, str]:
         """(ids joined by spaces, number of ids, decoded text) of a whole text."""
@@ -206,7 +234,8 @@ class Encoder:
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces: the vocabulary names no decoder."""
-        return " ".join(map(self.token, ids))
+        at, blob = self._offsets, self._blob
+        return " ".join([blob[at[i] : at[i + 1]] for i in ids])
 
 
 def read_vocabulary(path: str) -> str:
@@ -225,30 +254,35 @@ def encoder(spec: str) -> Encoder:
     return _encoders[key]
 
 
-def tokenized(docs: DataFrame, spec: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids. ``spec`` (a few MB at most) travels with the tasks."""
+def tokenized(docs: DataFrame, spec: str, with_ids: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids; after them the columns ``keep`` of ``docs``.
+
+    ``spec`` (a few MB at most) travels with the tasks.
+    """
     import pyarrow as pa
 
     spread = docs.sparkSession.sparkContext.broadcast(spec)
+    keep = keep or []
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spread.value)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
             n, ids, decoded, lists = [], [], [], []
-            for value in batch.column("text"):
+            for value in batch.column(1):
                 joined, count, back = enc.encode(value.as_py() or "")
                 n.append(count)
                 ids.append(sha(joined))
                 decoded.append(sha(back))
                 if with_ids:
                     lists.append([int(x) for x in joined.split()])
-            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            columns = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
                 columns.append(pa.array(lists, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], [*names, *keep])
+        enc.forget()
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)

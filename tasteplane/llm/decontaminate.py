@@ -12,13 +12,15 @@ no contained item is missed, and a long document costs one probe a shingle, what
 
 Candidates are then verified: the document's shingles, as strings, are intersected with the
 item's. Sketches are broadcast only when a count proves them small; otherwise the probe is
-an ordinary shuffled join whose document side is made distinct first.
+an ordinary shuffled join whose document side is made distinct first, and of which AQE splits the
+partition of a shingle that very many documents hold.
 
 Edge cases: null or empty texts have no shingles and match nothing; short items (under five
 words) match documents that consist of the same words, and documents under five words match
 only such items; repeated items are reported under each item_id; repeated document rows give
-one row; rows with a null doc_id are reported under it, and ``clean`` removes those of them whose own
-text leaks; empty tables give no rows; other columns are ignored.
+one row; rows with a null doc_id are reported under it; ``clean`` judges each row by its own text, so
+rows that share a doc_id, or have none, are told apart; very long texts are searched whole, one probe a
+shingle; empty tables give no rows; other columns are ignored, whatever their names, and stay in ``clean``.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tasteplane.llm._shared import small, stored, text_or_empty
+from tasteplane.llm._shared import small, stored, text_or_empty, unused
 
 WIDTH, CONTAINMENT, HITS = 5, 0.8, 2
 
@@ -93,12 +95,8 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, containm
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The documents that contain no item; all columns stay."""
-    leaks = stored(contaminated(docs, items, **how).select("doc_id").distinct(), "leaking-documents")
-    leaks = leaks.withColumnRenamed("doc_id", "_leaking_id")
-    named = docs.join(leaks, docs["doc_id"] == leaks["_leaking_id"], "left_anti")
-    if leaks.filter("_leaking_id is null").limit(1).count() == 0:
-        return named
-    # rows without an id are told apart by their texts; the hash takes the place of the id
-    nameless = docs.filter("doc_id is null").select(F.xxhash64(text_or_empty()).alias("doc_id"), "text").distinct()
-    texts = stored(contaminated(nameless, items, **how).select(F.col("doc_id").alias("_leaking_text")).distinct(), "leaking-texts")
-    return named.join(texts, named["doc_id"].isNull() & (F.xxhash64(text_or_empty()) == texts["_leaking_text"]), "left_anti")
+    # the hash of doc_id and text stands for the row
+    row = F.xxhash64("doc_id", text_or_empty())
+    leaking = unused("_leaking", docs)
+    leaks = contaminated(docs.select(row.alias("doc_id"), "text"), items, **how).select(F.col("doc_id").alias(leaking)).distinct()
+    return docs.join(stored(leaks, "leaking-rows"), row == F.col(leaking), "left_anti")

@@ -5,35 +5,71 @@ piece; a word (letters only, lower-cased, with a start mark) has the sum over al
 segmentations into pieces, computed by the forward algorithm, and a text the product over its words.
 
 Piece probabilities are estimated by expectation-maximisation over the words of a bounded
-sample of labelled documents (at most about SAMPLE_DOCS per language, drawn by a hash of
-doc_id): the sample's words are counted per language in Spark, the counts (bounded by the
+sample of labelled documents (at most about SAMPLE_DOCS of each of the MOST_LANGUAGES most frequent labels,
+drawn by a hash of doc_id): the sample's words are counted per language in Spark, the counts (bounded by the
 sample) go to the driver, and expected piece counts come from forward and backward sums over
 all words at once. Letters that no piece covers cost the same in every language.
 
-Words repeat, so each Python worker remembers scored words up to a bound; whole texts are scored.
+The score is the posterior among the learned languages, which soon is 1 for any long text. So a
+text of none of them is told by another figure, its strangeness: its mean negative log
+likelihood a letter in the predicted language, over that of the language's own training words (1 is
+typical), less 8 over the number of words, for short texts vary more.
 
-Edge cases: null text, and text without letters, gives ``und`` with score 0; so does every
-text when nothing was learned (no labelled training rows). Runs of letters are cut into
+Words repeat, so a task remembers scored words in two generations of bounded size: a full one takes
+the place of the older, from which words in use are taken over. Whole texts are scored, some words at a time.
+
+Edge cases: null text, and text without letters (number signs such as a half or a Roman numeral
+sign are none), gives ``und`` with score 0; so does every
+text when nothing was learned (no labelled training rows); strangeness is null then. Runs of letters are cut into
 segments of at most 32. Ties between languages go to the first name. Repeated rows get equal
-rows; an empty table gives no rows; all columns of the input can be kept.
+rows; an empty table gives no rows; very long texts are scored whole, in bounded memory; all columns of the
+input can be kept, whatever their names (``identified`` tells those of the columns that it adds).
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, ROUNDS, LONGEST = 1_000, 4, 32
+from tasteplane.llm._shared import unused
+
+SAMPLE_DOCS, MOST_LANGUAGES, ROUNDS, LONGEST = 1_000, 1_000, 4, 32
 UNKNOWN, SMOOTHING = 1e-8, 0.01
-_WORD = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
-_REMEMBERED_WORDS = 150_000
+#: remembered words of a generation, words of one lattice, and characters that are cut into words at once
+_REMEMBERED_WORDS, _LATTICE_WORDS, _PART = 75_000, 8_000, 200_000
 _MARK = "▁"
 
 
+#: letters, and number signs (a half, a circled one), which re has no class without
+_WORD = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
+#: the number signs alone: what remains has runs of letters as words
+_SIGN = re.compile("[" + "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+
+
+#: those among the first 256 characters, which most texts do not leave
+_FEW_SIGNS = [c for c in map(chr, range(0x80, 0x100)) if _SIGN.match(c)]
+
+
+def lowered(text: str | None) -> str:
+    """Lower-case, with spaces in place of number signs."""
+    low = (text or "").lower()
+    if low.isascii():
+        return low
+    try:
+        low.encode("latin-1")  # quicker than a search for all signs
+    except UnicodeEncodeError:
+        return _SIGN.sub(" ", low)
+    for sign in _FEW_SIGNS:
+        if sign in low:
+            low = low.replace(sign, " ")
+    return low
+
+
 def pieces_of(model_file: str) -> list[str]:
     """The letter pieces of a sentencepiece vocabulary, lower-case, with or without the word-start mark."""
     import sentencepiece
@@ -127,6 +163,8 @@ class Model:
     pieces: list[str]
     #: one row a language, one column a piece; the last column is an unknown letter
     probability: object
+    #: mean negative log likelihood a letter of each language's training words
+    typical: list[float]
 
 
 def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> Model:
@@ -135,7 +173,7 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUN
 
     number = {p: k for k, p in enumerate(pieces)}
     prefixes = prefixes_of(number)
-    rows = []
+    rows, typical = [], []
     for lang in sorted(counts):
         words = sorted(counts[lang])
         n = np.array([counts[lang][w] for w in words], float)
@@ -146,22 +184,24 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUN
             used = lattice.expected(p, n)[:-1] + SMOOTHING
             p[:-1] = used / used.sum()
         rows.append(p)
-    return Model(sorted(counts), pieces, np.array(rows))
+        letters = (n * lattice.length).sum()
+        typical.append(float(-(n * np.log(np.maximum(lattice.totals(p), 1e-300))).sum() / letters) if letters else 1.0)
+    return Model(sorted(counts), pieces, np.array(rows), typical)
 
 
 def train(labelled: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS) -> Model:
     """From rows with doc_id, text and lang. About ``sample_docs`` rows of each language are used, by a hash of doc_id."""
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return Model([], pieces, None)
     span = 1 << 30
-    limit = F.lit(0)
-    for lang, n in sizes.items():
-        limit = F.when(F.col("lang") == lang, F.lit(int(span * min(1.0, sample_docs / n)))).otherwise(limit)
-    sample = labelled.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(span)) < limit)
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    shares = [(r.lang, int(span * min(1.0, sample_docs / r.n))) for r in sizes.collect()]
+    if not shares:
+        return Model([], pieces, None, [])
+    limits = labelled.sparkSession.createDataFrame(shares, "lang string, limit long")
+    # one row a language, MOST_LANGUAGES at most
+    sample = labelled.join(F.broadcast(limits), "lang").filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(span)) < F.col("limit"))
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{1,%d}" % LONGEST), F.lit(0)))
-    counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
+    counts: dict[str, dict[str, int]] = {lang: {} for lang, _ in shares}
     for r in sample.select("lang", word.alias("word")).groupBy("lang", "word").count().toLocalIterator():
         counts[r.lang][r.word] = r["count"]
     return fit(counts, pieces)
@@ -177,55 +217,90 @@ class Scorer:
         self.index: dict[str, int] = {}
         self.logs = np.zeros((0, len(model.languages)))
         self.filled = 0
+        self.old: tuple = ({}, self.logs)
 
     def learn(self, words: set[str]) -> None:
         import numpy as np
 
-        new = sorted(words - self.index.keys())
-        if len(self.index) + len(new) > _REMEMBERED_WORDS:
-            self.index, self.filled = {}, 0
-            new = sorted(words)
-        if not new:
-            return
-        lattice = Lattice(new, self.number, self.prefixes)
-        got = np.stack([np.log(np.maximum(lattice.totals(p), 1e-300)) for p in self.model.probability], axis=1)
-        if self.filled + len(new) > len(self.logs):
-            self.logs = np.concatenate([self.logs[: self.filled], np.zeros((max(len(new), 50_000), got.shape[1]))])
-        self.logs[self.filled : self.filled + len(new)] = got
-        self.index.update(zip(new, range(self.filled, self.filled + len(new)), strict=True))
-        self.filled += len(new)
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        missing = [w for w in words if w not in self.index]
+        if len(self.index) + len(missing) > _REMEMBERED_WORDS:
+            self.old = self.index, self.logs
+            self.index, self.logs, self.filled = {}, np.zeros((0, self.logs.shape[1])), 0
+            missing = list(words)
+        index, logs = self.old
+        held = [w for w in missing if w in index]
+        self._put(held, logs[[index[w] for w in held]])
+        new = sorted(w for w in missing if w not in index)
+        for at in range(0, len(new), _LATTICE_WORDS):
+            some = new[at : at + _LATTICE_WORDS]
+            lattice = Lattice(some, self.number, self.prefixes)
+            self._put(some, np.stack([np.log(np.maximum(lattice.totals(p), 1e-300)) for p in self.model.probability], axis=1))
+
+    def _put(self, words: list[str], logs) -> None:
+        import numpy as np
+
+        end = self.filled + len(words)
+        if end > len(self.logs):
+            self.logs = np.concatenate([self.logs[: self.filled], np.zeros((max(len(words), 25_000), logs.shape[1]))])
+        self.logs[self.filled : end] = logs
+        self.index.update(zip(words, range(self.filled, end), strict=True))
+        self.filled = end
+
+    def _summed(self, words: list[str]):
+        import numpy as np
+
+        return self.logs[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))].sum(axis=0)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
+        """Language, score and strangeness of each text."""
         import numpy as np
 
         if not self.model.languages:
-            return [("und", 0.0)] * len(texts)
-        out: list[tuple[str, float]] = []
-        at = 0
-        while at < len(texts):  # some MB of text at a time
-            group, size = [], 0
-            while at < len(texts) and size < 500_000:
-                group.append(_WORD.findall((texts[at] or "").lower()))
-                size += len(texts[at] or "")
-                at += 1
-            self.learn({w for words in group for w in words})
-            for words in group:
-                if not words:
-                    out.append(("und", 0.0))
-                    continue
-                logs = self.logs[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            return [("und", 0.0, None)] * len(texts)
+        sums: list = [None] * len(texts)
+        sizes = np.zeros((len(texts), 2), np.int64)  # words and letters, with a word's mark as one
+
+        def settle(held: list[tuple[int, list[str]]]) -> None:
+            self.learn({w for _, words in held for w in words})
+            for i, words in held:
+                if words:
+                    s = self._summed(words)
+                    sums[i] = s if sums[i] is None else sums[i] + s
+                    sizes[i] += len(words), len(words) + sum(map(len, words))
+
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            low, at = lowered(text), 0
+            while at < len(low):  # parts end between words
+                end = min(at + _PART, len(low))
+                while end < len(low) and _WORD.match(low, end - 1):
+                    end += 1
+                held.append((i, _WORD.findall(low, at, end)))
+                size += end - at
+                at = end
+                if size >= _PART:
+                    settle(held)
+                    held, size = [], 0
+        settle(held)
+        out: list[tuple[str, float, float | None]] = []
+        for logs, (words, letters) in zip(sums, sizes.tolist(), strict=True):
+            if logs is None:
+                out.append(("und", 0.0, None))
+            else:
                 best = int(logs.argmax())
-                out.append((self.model.languages[best], float(1 / np.exp(logs - logs[best]).sum())))
+                strange = -float(logs[best]) / letters / self.model.typical[best] - 8 / words
+                out.append((self.model.languages[best], float(1 / np.exp(logs - logs[best]).sum()), strange))
         return out
 
 
-def identified(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default) with ``_lang_pred`` and ``_score`` after them, in one pass without a shuffle."""
+def identified(docs: DataFrame, model: Model, keep: list[str] | None = None) -> tuple[DataFrame, str, str, str]:
+    """The columns ``keep`` (all by default) with prediction, score and strangeness after them, in one pass without a shuffle; the names of these three follow."""
     import pyarrow as pa
 
     spread = docs.sparkSession.sparkContext.broadcast(model)
     keep = docs.columns if keep is None else keep
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("_lang_pred", "string").add("_score", "double")
+    names = [unused(c, docs) for c in ("_lang_pred", "_score", "_strange")]
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(names[0], "string").add(names[1], "double").add(names[2], "double")
     at = docs.columns.index("text")
     places = [docs.columns.index(c) for c in keep]
 
@@ -233,8 +308,10 @@ def identified(docs: DataFrame, model: Model, keep: list[str] | None = None) ->
         scorer = None
         for batch in batches:
             scorer = scorer or Scorer(spread.value)
-            got = scorer.predict([v.as_py() for v in batch.column(at)])
+            got = []
+            for i in range(0, batch.num_rows, 500):
+                got += scorer.predict([v.as_py() for v in batch.column(at).slice(i, 500)])
             columns = [batch.column(i) for i in places]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "_lang_pred", "_score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([g[0] for g in got], pa.string()), *[pa.array([g[k] for g in got], pa.float64()) for k in (1, 2)]], [*keep, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema), *names

@@ -1,19 +1,22 @@
 r"""Personal data by weak supervision: labelers vote, EM weighs them, a trained classifier decides.
 
 One pass finds base spans (the contract's patterns, in linear time) and further candidates:
-national phone numbers, spelled-out e-mail addresses, social-security shaped numbers and
-names after a form of address. Five labelers vote on every candidate (yes, no, abstain):
-strict format, gazetteer, context words, misleading context, and what touches the span.
+national phone numbers, spelled-out e-mail addresses, social-security shaped numbers, and
+names after a form of address or with a given name of the gazetteer. Five labelers vote on every
+candidate (yes, no, abstain): strict format, gazetteer, whole context words, misleading context, and
+what touches the span. Gazetteers are parameters; the given names at hand are everyday ones of four languages.
 Votes and features are small codes, so Spark reduces all candidates of the corpus to counts
 by (kind, votes, features); their number is bounded by the codes, whatever the corpus.
 
-On those counts the driver runs expectation-maximisation (each labeler has a reliability for
-true and for false candidates, each kind a share of true ones) and fits a logistic regression
+On those counts the driver runs expectation-maximisation (a labeler has, for each kind, a reliability for
+true and for false candidates, drawn towards its reliability over all kinds where a kind has few
+candidates; each kind has a share of true ones) and fits a logistic regression
 from features to the resulting soft labels: the final span classifier, which needs no votes.
 Candidates it accepts become spans; base spans stay in any case.
 
 Edge cases: null text is empty (no spans); repeated rows get equal rows; an empty table or
-one without candidates gives rows without added spans; other columns are ignored. Whole texts are scanned.
+one without candidates gives rows without added spans; a null doc_id stays null; other columns are ignored,
+whatever their names. Whole texts are scanned, whatever their length, in time in proportion to it.
 """
 
 from __future__ import annotations
@@ -42,18 +45,31 @@ _NATIONAL = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SPELLED = re.compile(r"([A-Za-z0-9._-]{1,64}) ?[\[(]at[\])] ?([A-Za-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63})+)")
 _NAME = re.compile(r"\.? ((?:[A-ZÀ-Þ][a-zß-ÿ'-]{1,20} ?){1,3})")
+_FULL_NAME = re.compile(r"([A-ZÀ-Þ][a-zß-ÿ'-]{1,20}) (?=([A-ZÀ-Þ][a-zß-ÿ'-]{1,20}))")
 ADDRESSED = ("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Madame", "Monsieur", "Señor", "Señora", "my name is", "je m'appelle", "mein Name ist", "me llamo")
+#: a form of address begins a word; its first letter may have either case
+_ADDRESSED = re.compile(r"(?<!\w)(?:" + "|".join(f"[{w[0].upper()}{w[0].lower()}]{re.escape(w[1:])}" for w in ADDRESSED) + r")(?=[. ])")
 CONTEXT = {
-    "email": ("mail", "contact", "write to", "correo", "courriel", "schreib", "@"),
-    "ip": ("ip", "host", "server", "address", "adresse", "dirección"),
-    "card": ("card", "visa", "credit", "karte", "carte", "tarjeta", "iban"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "handy", "appel", "llam"),
-    "ssn": ("ssn", "social", "insurance", "sécurité", "seguridad", "sozial"),
-    "person": ("dear", "sincerely", "regards", "name", "call", "signed", "liebe", "cher", "querid"),
+    "email": ("mail", "email", "e-mail", "mails", "contact", "write to", "correo", "courriel", "schreib", "schreiben"),
+    "ip": ("ip", "ipv4", "host", "server", "address", "adresse", "dirección"),
+    "card": ("card", "visa", "credit", "karte", "kreditkarte", "carte", "tarjeta", "iban"),
+    "phone": ("phone", "telephone", "tel", "call", "mobile", "fax", "handy", "telefon", "appelez", "téléphone", "llame", "llamar", "teléfono"),
+    "ssn": ("ssn", "social", "insurance", "sécurité", "seguridad", "sozialversicherung"),
+    "person": ("dear", "sincerely", "regards", "name", "call", "signed", "liebe", "lieber", "cher", "chère", "querido", "querida"),
 }
-MISLEADING = ("version", "release", "page", "section", "chapter", "isbn", "order no", "fig", "no.", "nr.", "§")
-TOP_LEVEL = frozenset("com org net edu gov io de fr es uk it nl eu info biz co us ca at ch".split())
-GIVEN_NAMES = frozenset("anna maria marie john james robert michael david william thomas peter paul hans karl klaus julia laura sofia lucia carmen jose juan carlos luis pierre jean claire sophie camille emma louis".split())
+MISLEADING = ("version", "release", "page", "section", "chapter", "isbn", "order no", "fig", "no", "nr", "§")
+_CONTEXT = {k: re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, v)) + r")(?!\w)") for k, v in CONTEXT.items()}
+_MISLEADING = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, MISLEADING)) + r")(?!\w)")
+#: frequent top-level domains of the public root zone
+TOP_LEVEL = frozenset("com org net edu gov mil int info biz name pro io co ai app dev me tv us ca mx br ar cl pe ve uk ie fr de at ch it es pt nl be lu dk se no fi is pl cz sk hu ro bg gr tr ru ua eu il ae sa eg za ng ke in pk cn jp kr tw hk sg my th vn id ph au nz".split())
+#: everyday given names (English, German, French, Spanish), lower-case
+GIVEN_NAMES = frozenset(
+    "james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark donald steven paul andrew joshua kenneth kevin brian george edward "
+    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa betty margaret sandra ashley kimberly emily donna michelle dorothy carol amanda melissa deborah laura anna julia "
+    "peter hans karl klaus wolfgang jürgen stefan andreas uwe dieter heinz günther monika petra sabine ursula renate claudia birgit heike maria marie katrin lukas leon felix jonas "
+    "jean pierre michel philippe alain nicolas jacques françois louis antoine claire sophie camille emma nathalie isabelle sylvie catherine chloé léa manon jeanne "
+    "josé juan carlos luis antonio francisco javier manuel jesús miguel alejandro diego pablo carmen ana isabel dolores pilar teresa rosa lucía sofía elena marta paula jose lucia sofia".split()
+)
 DIAL_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "56", "57", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "351", "352", "353", "358", "420", "421")
 CARD_PREFIXES = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "36", "22")
 
@@ -134,28 +150,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def further(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def further(text: str, taken: list[tuple[int, int, int]], names: frozenset[str] = GIVEN_NAMES) -> list[tuple[int, int, int]]:
     """Candidates that touch no base span and no earlier candidate."""
     found = []
     if any(map(text.__contains__, "0123456789")):
         found += [(3, *m.span()) for m in _NATIONAL.finditer(text)] + [(4, *m.span()) for m in _SSN.finditer(text)]
     if "at]" in text or "at)" in text:
         found += [(0, *m.span()) for m in _SPELLED.finditer(text)]
-    for word in ADDRESSED:
-        at = text.find(word)
-        while at >= 0:
-            if (at == 0 or not text[at - 1].isalnum()) and (m := _NAME.match(text, at + len(word))):
-                found.append((5, m.start(1), m.start(1) + len(m[1].rstrip())))
-            at = text.find(word, at + 1)
+    for word in _ADDRESSED.finditer(text):
+        if m := _NAME.match(text, word.end()):
+            found.append((5, m.start(1), m.start(1) + len(m[1].rstrip())))
+    found += [(5, m.start(), m.end(2)) for m in _FULL_NAME.finditer(text) if m[1].lower() in names and not text[m.start() - 1 : m.start()].isalnum()]
     out: list[tuple[int, int, int]] = []
-    busy = sorted((s, e) for _, s, e in taken)
-    for kind, s, e in sorted(found, key=lambda x: (x[1], x[0])):
-        if (not out or s >= out[-1][2]) and not any(a < e and s < b for a, b in busy):
+    busy, at = sorted((s, e) for _, s, e in taken), 0
+    reach = 0  # the furthest end of the base spans that begin before a candidate does
+    for kind, s, e in sorted(found, key=lambda x: (x[1], x[0], -x[2])):
+        while at < len(busy) and busy[at][0] <= s:
+            reach = max(reach, busy[at][1])
+            at += 1
+        if (not out or s >= out[-1][2]) and reach <= s and (at == len(busy) or busy[at][0] >= e):
             out.append((kind, s, e))
     return out
 
 
-def votes(text: str, kind: int, s: int, e: int) -> int:
+def votes(text: str, kind: int, s: int, e: int, names: frozenset[str] = GIVEN_NAMES) -> int:
     """Votes of all labelers, one digit (0 no, 1 abstain, 2 yes) each."""
     name, span = KINDS[kind], text[s:e]
     before, after = text[max(0, s - 40) : s].lower(), text[e : e + 20].lower()
@@ -185,11 +203,11 @@ def votes(text: str, kind: int, s: int, e: int) -> int:
         if name == "phone":
             return (2 if digits.startswith(DIAL_CODES) else 0) if span.startswith("+") else 1
         if name == "person":
-            return 2 if span.split(" ")[0].lower() in GIVEN_NAMES else 1
+            return 2 if span.split(" ")[0].lower() in names else 1
         return 1
 
-    context = 2 if any(w in before or w in after for w in CONTEXT[name]) else 1
-    misled = 0 if any(w in before[-14:] for w in MISLEADING) else 1
+    context = 2 if _CONTEXT[name].search(before) or _CONTEXT[name].search(after) else 1
+    misled = 0 if _MISLEADING.search(before[-14:]) else 1
     touched = 0 if (left.isalnum() or right.isalnum() or left in "./-_#" and left or right in "/_" and right) else 2
     code = 0
     for v in (strict(), listed(), context, misled, touched):
@@ -231,7 +249,7 @@ def joined(spans) -> str:
 SPANS = "array<struct<kind:int,start:int,end:int,votes:int,features:int>>"
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, names: frozenset[str] = GIVEN_NAMES) -> DataFrame:
     """doc_id, base_sha256, base, added (candidates with votes and features)."""
     import pyarrow as pa
 
@@ -243,17 +261,21 @@ def candidates(docs: DataFrame) -> DataFrame:
             for value in batch.column("text"):
                 text = value.as_py()
                 found = base_spans(text)
-                more = further(text, found)
+                more = further(text, found, names)
                 shas.append(hashlib.sha256(joined(found).encode()).hexdigest())
                 for spans, out in ((found, base), (more, added)):
-                    out.append([{"kind": k, "start": s, "end": e, "votes": votes(text, k, s, e), "features": features(text, k, s, e)} for k, s, e in spans])
+                    out.append([{"kind": k, "start": s, "end": e, "votes": votes(text, k, s, e, names), "features": features(text, k, s, e)} for k, s, e in spans])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(shas, pa.string()), pa.array(base, span), pa.array(added, span)], ["doc_id", "base_sha256", "base", "added"])
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id long, base_sha256 string, base {SPANS}, added {SPANS}")
 
 
+#: candidates that a labeler's reliability over all kinds counts for in a kind's own
+POOLED = 20.0
+
+
 def reliabilities(counts: list[tuple[int, int, int]], rounds: int = 40):
-    """EM over (kind, votes, count): P(vote | true), P(vote | false) by labeler, share of true by kind, and each row's posterior."""
+    """EM over (kind, votes, count): P(vote | true) and P(vote | false) by kind and labeler, share of true by kind, and each row's posterior."""
     import numpy as np
 
     kind = np.array([c[0] for c in counts])
@@ -264,10 +286,12 @@ def reliabilities(counts: list[tuple[int, int, int]], rounds: int = 40):
     for _ in range(rounds):
         tables = []
         for y in (truth, 1 - truth):
-            table = np.stack([np.bincount(v[:, i], n * y, 3) for i in range(LABELERS)]) + 1
-            tables.append(table / table.sum(axis=1, keepdims=True))
+            of_kind = np.stack([np.bincount(3 * kind + v[:, i], n * y, 3 * len(KINDS)).reshape(len(KINDS), 3) for i in range(LABELERS)], axis=1)
+            pooled = of_kind.sum(axis=0) + 1
+            table = of_kind + POOLED * pooled / pooled.sum(axis=1, keepdims=True)
+            tables.append(table / table.sum(axis=2, keepdims=True))
         share = (np.bincount(kind, n * truth, len(KINDS)) + 1) / (np.bincount(kind, n, len(KINDS)) + 2)
-        yes, no = (np.log(t)[np.arange(LABELERS), v].sum(axis=1) for t in tables)
+        yes, no = (np.log(t)[kind[:, None], np.arange(LABELERS), v].sum(axis=1) for t in tables)
         odds = yes - no + np.log(share[kind] / (1 - share[kind]))
         truth = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
     return tables[0], tables[1], share, truth
@@ -319,9 +343,9 @@ def accepted_features(rows: DataFrame) -> list[int]:
     return [c for c, z in zip(codes, np.asarray(_design(codes) @ b).tolist(), strict=True) if z >= 0]
 
 
-def found(docs: DataFrame) -> DataFrame:
+def found(docs: DataFrame, names: frozenset[str] = GIVEN_NAMES) -> DataFrame:
     """One row per document row: doc_id, n_<kind> of the base kinds, base_sha256, spans, n_added."""
-    rows = stored(candidates(docs), "pii-candidates")
+    rows = stored(candidates(docs, names), "pii-candidates")
     accepted = accepted_features(rows)
     take = F.filter("added", lambda c: c["features"].isin(accepted)) if accepted else F.slice("added", 1, 0)
     names = F.array(*[F.lit(k) for k in KINDS])

@@ -68,8 +68,8 @@ def language_model(docs: DataFrame) -> lang_id.Model:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    out = lang_id.identified(docs.select("doc_id", "text"), language_model(docs), ["doc_id"])
-    return out.select("doc_id", held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    out, lang_pred, score, _ = lang_id.identified(docs.select("doc_id", "text"), language_model(docs), ["doc_id"])
+    return out.select("doc_id", held_out().alias("held_out"), F.col(lang_pred).alias("lang_pred"), F.col(score).alias("score"))
 
 
 QUERIES = {
@@ -89,10 +89,10 @@ _OP1 = r"""
 WITH d AS (
   SELECT source, lang, coalesce(text, '') AS t FROM documents
 ), c AS (
-  SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n, length(t) AS chars
+  SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n, length(regexp_extract(t, '(?s)[^\x20\x09-\x0D](.*[^\x20\x09-\x0D])?')) AS chars
   FROM d WHERE regexp_matches(t, '[^\x20\x09-\x0D]')
   UNION ALL
-  SELECT source, lang, 'pieces-1', len(regexp_extract_all(t, '\p{L}+|\p{N}|[^\x20\x09-\x0D\p{L}\p{N}]')), length(t)
+  SELECT source, lang, 'pieces-1', len(regexp_extract_all(t, '\p{L}+|\p{N}|[^\x20\x09-\x0D\p{L}\p{N}]')), length(regexp_extract(t, '(?s)[^\x20\x09-\x0D](.*[^\x20\x09-\x0D])?'))
   FROM d WHERE regexp_matches(t, '[^\x20\x09-\x0D]')
 )
 SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens, sum(chars)::BIGINT AS n_chars

@@ -28,8 +28,6 @@ rows; other columns are ignored. Whole texts are scanned whatever their length.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,13 +86,13 @@ def _spans(text: Column, no: int, kind: str, pattern: str, group: int, least: in
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, repo, and all spans of all kinds in order of start, then kind; ``base`` has the base kinds alone."""
+    """doc_id, repo, key (hash of the text), and the spans of base and added kinds in order of start, then kind."""
     text = text_or_empty()
     kinds = [*BASE, *ADDED]
     out = docs.select("doc_id", F.col("source").alias("repo"), text.alias("text"))
-    out = out.select("doc_id", "repo", *[_spans(F.col("text"), i, *k).alias(k[0]) for i, k in enumerate(kinds)])
+    out = out.select("doc_id", "repo", F.xxhash64("text").alias("key"), *[_spans(F.col("text"), i, *k).alias(k[0]) for i, k in enumerate(kinds)])
     joined = lambda names: F.array_sort(F.concat(*names))
-    return out.select("doc_id", "repo", joined([k[0] for k in BASE]).alias("base"), joined([k[0] for k in ADDED]).alias("added"))
+    return out.select("doc_id", "repo", "key", joined([k[0] for k in BASE]).alias("base"), joined([k[0] for k in ADDED]).alias("added"))
 
 
 def _value(span: Column) -> Column:
@@ -122,8 +120,8 @@ def scan(docs: DataFrame, shared_owners: int = SHARED_OWNERS) -> DataFrame:
     rows = stored(candidates(docs), "secret-candidates")
     spans = F.concat("base", "added")
     # equal rows have equal keys, and are scored once
-    keyed = rows.filter(F.size(spans) > 0).select("doc_id", "repo", _digest(spans).alias("key"), F.explode(spans).alias("s"))
-    keyed = keyed.select("doc_id", "repo", "key", F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), _value(F.col("s")).alias("value"))
+    keyed = rows.filter(F.size(spans) > 0).select("doc_id", "repo", "key", F.explode(spans).alias("s"))
+    keyed = keyed.select("doc_id", "repo", "key", _value(F.col("s")).alias("value"))
     keyed = keyed.filter("value <> ''").withColumn("value_hash", F.xxhash64("value"))
     held = keyed.select("doc_id", "repo", "key", "value_hash").distinct()
     owners = ownership(held.groupBy("value_hash", "repo").agg(F.count("*").alias("n")), shared_owners)
@@ -135,8 +133,8 @@ def scan(docs: DataFrame, shared_owners: int = SHARED_OWNERS) -> DataFrame:
     judged = dealt.join(hot.unionByName(cold), ["value_hash", "salt"]).select("doc_id", "key", "value_hash", "example")
     per_row = judged.groupBy("doc_id", "key").agg(F.collect_set(F.when(F.col("example"), F.col("value_hash"))).alias("examples"))
 
-    all_rows = rows.withColumn("key", _digest(spans))
-    out = all_rows.join(per_row, (all_rows["doc_id"].eqNullSafe(per_row["doc_id"])) & (all_rows["key"] == per_row["key"]), "left").select(all_rows["doc_id"], "base", "added", "examples")
+    per_row = per_row.select(F.col("doc_id").alias("row_id"), F.col("key").alias("row_key"), "examples")
+    out = rows.join(per_row, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("key") == F.col("row_key")), "left").select("doc_id", "base", "added", "examples")
     is_example = lambda s: F.array_contains(F.coalesce("examples", F.array().cast("array<bigint>")), F.xxhash64(_value(s)))
     out = out.withColumn("added", F.filter("added", lambda s: ~is_example(s)))
     return out.withColumns({
@@ -156,8 +154,3 @@ def digests(scanned: DataFrame) -> DataFrame:
         "n_example",
         "n_live",
     )
-
-
-def any_kind() -> Column:
-    """Whether a text may hold a candidate at all (for callers that only filter)."""
-    return reduce(lambda a, b: a | b, [text_or_empty().rlike(h) for h in HINT.values()])

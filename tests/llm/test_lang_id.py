@@ -63,18 +63,48 @@ def test_em_does_not_lower_the_likelihood():
 def test_held_out_accuracy_and_edge_rows(spark):
     docs = labelled(spark)
     model = lang_id.train(docs.filter("doc_id % 3 <> 1"), pieces())
-    out = lang_id.identified(docs, model).collect()
+    out = lang_id.identified(docs, model)[0].collect()
     assert np.mean([r.lang == r._lang_pred for r in out if r.doc_id % 3 == 1]) > 0.97
-    assert all(0 <= r._score <= 1 for r in out)
-    edge = {r.doc_id: r for r in lang_id.identified(documents(spark), model).collect()}
+    assert all(0 <= r._score <= 1 and r._strange < 2 for r in out)
+    edge = {r.doc_id: r for r in lang_id.identified(documents(spark), model)[0].collect()}
     assert len(edge) == len({r[0] for r in ROWS})
     assert all(edge[d]._lang_pred == "und" and edge[d]._score == 0 for d in (2, 3, 4)) and edge[7]._lang_pred in LANGS
-    assert lang_id.identified(documents(spark, []), model).count() == 0
+    assert lang_id.identified(documents(spark, []), model)[0].count() == 0
+
+
+def test_number_signs_are_no_letters():
+    model = lang_id.fit({"aa": {"then": 3, "thing": 2}, "bb": {"ungen": 2, "chi": 4}}, pieces())
+    got = lang_id.Scorer(model).predict(["½ ² ①", "Ⅷ", "12 _ 3", "then½thing", "then thing"])
+    assert [g[0] for g in got[:3]] == ["und"] * 3 and got[3] == got[4] and got[4][0] == "aa"
+
+
+def test_texts_of_no_learned_language_are_strange(spark):
+    rng = random.Random(3)
+    model = lang_id.train(labelled(spark), pieces())
+    fifth = [" ".join("".join(rng.choices(["zk", "wq", "xy", "jv", "u"], k=3)) for _ in range(80)) for _ in range(20)]
+    own = [" ".join("".join(rng.choices(LANGS["bb"], k=3)) for _ in range(n)) for n in (1, 2, 5, 80) for _ in range(20)]
+    score = lang_id.Scorer(model).predict
+    assert all(g[2] > 2.4 for g in score(fifth)) and all(g[2] < 2.4 for g in score(own))
+
+
+def test_parts_of_long_texts_end_between_words(monkeypatch):
+    model = lang_id.fit({"aa": {"then": 3, "thing": 2}, "bb": {"ungen": 2, "chi": 4}}, pieces())
+    text = " ".join(random.Random(5).choices(["then", "ungen", "chith", "thing" * 9, "x1y"], k=300))
+    whole = lang_id.Scorer(model).predict([text])[0]
+    monkeypatch.setattr(lang_id, "_PART", 7)
+    monkeypatch.setattr(lang_id, "_LATTICE_WORDS", 1)
+    parts = lang_id.Scorer(model).predict([text])[0]
+    assert whole[0] == parts[0] and np.allclose(whole[1:], parts[1:])
+
+
+def test_labels_are_no_part_of_the_plan(spark):
+    rows = [(i, "then thing", f"l{i % 700}", "s", 0, None, None) for i in range(2_000)]
+    assert len(lang_id.train(documents(spark, rows), pieces()).languages) == 700
 
 
 def test_nothing_learned(spark):
     model = lang_id.train(documents(spark, []), pieces())
-    assert {r._lang_pred for r in lang_id.identified(documents(spark), model, ["doc_id"]).collect()} == {"und"}
+    assert {r._lang_pred for r in lang_id.identified(documents(spark), model, ["doc_id"])[0].collect()} == {"und"}
 
 
 def test_memory_of_words_does_not_change_scores(monkeypatch):

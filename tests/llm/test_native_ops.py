@@ -35,15 +35,57 @@ def test_token_totals_follow_inserts_deletes_and_revisions(spark):
     assert ("c", "xx") not in total()
 
 
-def test_abandoned_attempt_is_not_read(spark):
+def test_abandoned_attempts_are_not_read(spark):
     ledger = token_counts.TokenLedger(spark)
     rows = token_counts.counted(documents(spark), ["words-1"])
-    token_counts.summed(rows).write.parquet(f"{ledger.path}/deltas/a-dead")
+    token_counts.summed(rows).write.parquet(f"{ledger.path}/attempts/a-dead")
+    (spark.createDataFrame([], token_counts.SCHEMA)).write.parquet(f"{ledger.path}/attempts/b-empty")
     assert ledger.totals().count() == 0
-    ledger.apply("a", rows)
+    assert ledger.apply("a", rows)
     assert sum(r.n_docs for r in ledger.totals().collect()) == len(ROWS)
 
 
+def test_of_two_writers_one_commits(spark):
+    one = token_counts.TokenLedger(spark)
+    two = token_counts.TokenLedger(spark, one.path)
+    rows = token_counts.summed(token_counts.counted(documents(spark), ["words-1"]))
+    assert one._commit(rows, "batches", "a") and not two._commit(rows, "batches", "a")  # both past the first test
+    assert sum(r.n_docs for r in two.totals().collect()) == len(ROWS) and one._names("attempts") == []
+
+
+def test_snapshots_hold_the_sums(spark):
+    ledger = token_counts.TokenLedger(spark)
+    rows = token_counts.counted(documents(spark), ["words-1", "pieces-1"])
+    assert not ledger.compact()
+    for name in ("a", "b"):
+        ledger.apply(name, rows)
+    before = sorted(map(str, ledger.totals().collect()))
+    assert ledger.compact() and not ledger.compact()
+    assert sorted(map(str, ledger.totals().collect())) == before and not ledger.apply("b", rows)
+    ledger.apply("c", token_counts.counted(documents(spark), ["words-1", "pieces-1"], -1))
+    assert ledger._rows()[3] == ["c"]
+    assert ledger.compact() and sum(r.n_docs for r in ledger.totals().collect()) == 2 * len(ROWS)
+
+
+def test_public_vocabulary_as_a_version(spark):
+    from tokenizers import Tokenizer
+
+    from tasteplane.llm import bpe
+    from tasteplane.llm.queries import vocabulary_path
+
+    library = Tokenizer.from_file(vocabulary_path())
+    library.no_padding()
+    library.no_truncation()
+    rows = token_counts.counted_by_vocabulary(documents(spark), "bpe-49k", bpe.read_vocabulary(vocabulary_path()))
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in token_counts.summed(rows).collect()}
+    want = {}
+    for _, text, lang, source, *_ in ROWS:
+        n = want.setdefault((source, lang, "bpe-49k"), [0, 0])
+        n[0] += 1
+        n[1] += len(library.encode(text or "", add_special_tokens=False).ids)
+    assert got == {k: tuple(v) for k, v in want.items()}
+
+
 def test_rollup_of_an_empty_table(spark):
     assert token_counts.documents_rollup(spark, documents(spark, [])).count() == 0
 
@@ -97,6 +139,23 @@ def test_contaminated_rows_without_an_id(spark):
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(None, docs[1][1]), (None, None), (2, "clean")], key=str)
 
 
+def test_clean_tells_rows_of_one_doc_id_apart(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = spark.createDataFrame([(1, f"x {item}", 5, 0), (1, "clean", 5, 0), (1, "clean", 6, 0), (2, "word " * 200_000 + item, 7, 0)], "doc_id long, text string, _leaking long, w long")
+    left = decontaminate.clean(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == [(1, "clean", 5, 0), (1, "clean", 6, 0)]
+
+
+def test_searches_by_broadcast_and_by_shuffle_agree(spark, monkeypatch):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = documents(spark, [(i, f"w{i} {item}" if i % 2 else f"alpha beta gamma delta epsilon w{i}", "en", "s", 0, None, None) for i in range(40)])
+    items = spark.createDataFrame([(7, item), (8, f"{item} iota")], "item_id long, text string")
+    rows = lambda: sorted(map(tuple, decontaminate.contaminated(docs, items).collect()))
+    few = rows()
+    monkeypatch.setattr(decontaminate, "small", lambda df, *a: df)
+    assert rows() == few and len(few) >= 20
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", r"back\slash <\s> \\", "<</s>", "[[INST]]", "<s", "<<SYS>>x<</SYS>>", None, "", "ü😀\n", r"\<s>"]
     rng = random.Random(1)
@@ -193,3 +252,12 @@ def test_escape_is_reversible(spark, text):
 
     r = spark.createDataFrame([(text,)], "t string").select(chat.escaped(F.col("t")).alias("e"), chat.unescaped(chat.escaped(F.col("t"))).alias("u")).first()
     assert r.u == text and not any(c in r.e for c in chat.INSTRUCT.control)
+
+
+def test_many_spans_in_one_text_have_small_keys(spark):
+    """3,000 spans in one text: the row's key is one number, not the list of its spans."""
+    text = " ".join(f"{i:032x}" for i in range(3_000))
+    docs = spark.createDataFrame([(1, text, "a/x"), (1, text, "a/x"), (2, text, "b/x"), (3, "", "c/x")], "doc_id long, text string, source string")
+    assert dict(secret_scan.candidates(docs).dtypes)["key"] == "bigint"
+    out = secret_scan.digests(secret_scan.scan(docs)).collect()
+    assert sorted((r.doc_id, r.n_hex) for r in out) == [(1, 3_000), (1, 3_000), (2, 3_000), (3, 0)]

@@ -87,7 +87,43 @@ def test_em_finds_the_reliable_labelers():
     yes, no, share, _ = pii.reliabilities(rows)
     assert abs(share[0] - 0.4) < 0.03
     for i, q in enumerate(right):
-        assert abs(yes[i][2] / (yes[i][2] + yes[i][0]) - q) < 0.03 and abs(no[i][0] / (no[i][2] + no[i][0]) - q) < 0.03
+        assert abs(yes[0][i][2] / (yes[0][i][2] + yes[0][i][0]) - q) < 0.03 and abs(no[0][i][0] / (no[0][i][2] + no[0][i][0]) - q) < 0.03
+
+
+def test_kinds_have_reliabilities_of_their_own():
+    """A labeler that is right about one kind and guesses about another."""
+    rng = np.random.default_rng(4)
+    counts = Counter()
+    for kind, right in ((0, (0.95, 0.9, 0.9, 0.9, 0.9)), (1, (0.95, 0.5, 0.9, 0.9, 0.9))):
+        for y in rng.random(8_000) < 0.5:
+            code = 0
+            for q in right:
+                code = 3 * code + (2 if (y if rng.random() < q else not y) else 0)
+            counts[kind, code] += 1
+    yes, *_ = pii.reliabilities([(k, c, n) for (k, c), n in counts.items()])
+    assert yes[0][1][2] > 0.85 and abs(yes[1][1][2] - 0.5) < 0.05
+
+
+def test_context_is_whole_words_and_names_come_from_gazetteer_or_address():
+    spans = lambda text: [text[s:e] for k, s, e in pii.further(text, pii.base_spans(text)) if k == 5]
+    assert spans("My name is Anna Schmidt. Later Klaus Weber came; the Old Town did not.") == ["Anna Schmidt", "Klaus Weber"]
+    assert spans("Shannon Anna Bell") == ["Anna Bell"] and spans("xMr Bell") == []
+    assert spans("Zora Quill") == [] and [k for k, *_ in pii.further("Zora Quill", [], frozenset({"zora"}))] == [5]
+    vote = lambda text, span, kind: pii.votes(text, kind, text.index(span), text.index(span) + len(span)) // 9 % 3
+    assert vote("the ship 10.0.0.1", "10.0.0.1", 1) == 1 and vote("the ip 10.0.0.1", "10.0.0.1", 1) == 2
+    assert vote("hotel +1 415 555 2671", "+1 415 555 2671", 3) == 1 and vote("tel. +1 415 555 2671", "+1 415 555 2671", 3) == 2
+
+
+def test_candidates_touch_no_base_span():
+    rng = random.Random(7)
+    bits = ["Anna Bell ", "a.b@c.com ", "Mr Bell ", "415-555-2671 ", "10.0.0.1 ", "joe [at] mail [dot] com ", "+1 415 555 2671 ", "x ", "123-45-6789 "]
+    for _ in range(3_000):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 10)))
+        base = pii.base_spans(text)
+        more = pii.further(text, base)
+        assert all(e <= a or b <= s for _, s, e in more for _, a, b in base) and all(x[2] <= y[1] for x, y in zip(more, more[1:], strict=False))
+    text = "a.b@c.com Anna Bell " * 30_000  # in linear time
+    assert len(pii.further(text, pii.base_spans(text))) == 30_000
 
 
 def test_classifier_follows_soft_labels():
