@@ -65,7 +65,7 @@ def inseparability(residuals: DataFrame, credits: DataFrame) -> DataFrame:
     return out.select("upload_id", "role", "person_id", F.when(all_with, F.col("t.director_id")).alias("director_id"), F.when(all_with, F.col("c") / F.col("n")).otherwise(0.0).alias("overlap"))
 
 
-def _combine(how: str) -> Column:
+def combined(how: str) -> Column:
     if how == "mean":
         return F.avg("effect")
     if how == "max":
@@ -76,7 +76,7 @@ def _combine(how: str) -> Column:
     raise ValueError(f"unknown combination {how}")
 
 
-def _across(how: str) -> Column:
+def across_roles(how: str) -> Column:
     if how == "max":
         return F.max_by("e", F.struct(F.abs("e"), "role"))
     if how == "sum":
@@ -89,8 +89,8 @@ def _across(how: str) -> Column:
 def adjustments(rows: DataFrame, credits: DataFrame, fitted: DataFrame, combine: str = "mean", across: str = "mean") -> DataFrame:
     """upload_id, film_id, adjustment for the films of ``rows`` with at least one person of known effect."""
     known = rows.select("upload_id", "film_id").join(credits, "film_id").join(fitted.select("upload_id", "role", "person_id", "effect", "stderr"), ["upload_id", "role", "person_id"])
-    per_role = known.groupBy("upload_id", "film_id", "role").agg(_combine(combine).alias("e"))
-    return per_role.groupBy("upload_id", "film_id").agg(_across(across).alias("adjustment"))
+    per_role = known.groupBy("upload_id", "film_id", "role").agg(combined(combine).alias("e"))
+    return per_role.groupBy("upload_id", "film_id").agg(across_roles(across).alias("adjustment"))
 
 
 def predicted(expected: DataFrame, adjustment: DataFrame) -> DataFrame:

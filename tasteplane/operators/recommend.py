@@ -19,14 +19,6 @@ def unrated(films: DataFrame, library: DataFrame, least_votes: int = LEAST_VOTES
     return eligible.join(uploads, how="cross").join(library.select("upload_id", "film_id"), ["upload_id", "film_id"], "left_anti")
 
 
-def scoreable(films: DataFrame, library: DataFrame, credits: DataFrame, fitted: DataFrame, least_votes: int = LEAST_VOTES) -> DataFrame:
-    """Of ``unrated`` the rows with at least one below-the-line person of known effect, reached from the effects: no product of films and uploads."""
-    known = fitted.filter(F.col("role").isin(*BELOW_THE_LINE)).select("upload_id", "role", "person_id")
-    pairs = known.join(credits, ["role", "person_id"]).select("upload_id", "film_id").distinct()
-    eligible = films.filter((F.coalesce("vote_count", F.lit(0)) >= least_votes) & F.col("vote_average").isNotNull())
-    return pairs.join(library.select("upload_id", "film_id"), ["upload_id", "film_id"], "left_anti").join(eligible, "film_id")
-
-
 def novelty(candidates: DataFrame, library: DataFrame) -> DataFrame:
     """Adds ``percentile``: the share of the library's vote counts that do not exceed the candidate's. Distinct counts are ranked, not films."""
     mine = library.groupBy("upload_id", F.coalesce("vote_count", F.lit(0)).alias("v")).agg(F.count("*").alias("c"))
@@ -39,13 +31,21 @@ def novelty(candidates: DataFrame, library: DataFrame) -> DataFrame:
     return c.join(ranks, ["upload_id", "_v"]).drop("_v")
 
 
-def strongest_reason(candidates: DataFrame, credits: DataFrame, fitted: DataFrame) -> DataFrame:
-    """Per candidate the person of largest effect (ties: role order, then id) and how many are known."""
-    known = candidates.select("upload_id", "film_id").join(credits, "film_id").join(fitted.select("upload_id", "role", "person_id", "effect"), ["upload_id", "role", "person_id"])
+def scoreable(films: DataFrame, library: DataFrame, credits: DataFrame, fitted: DataFrame, combine: str = "mean", across: str = "mean", least_votes: int = LEAST_VOTES) -> DataFrame:
+    """Of ``unrated`` the rows with a below-the-line person of known effect, with their adjustment and reason.
+
+    They are reached from the effects through credits, so films and uploads are not multiplied. The
+    reason is the person of largest effect (ties: role order, then id); ``n_known`` people are known.
+    """
+    known = fitted.select("upload_id", "role", "person_id", "effect", "stderr").join(credits, ["role", "person_id"])
+    below = F.col("role").isin(*BELOW_THE_LINE)
     order = F.coalesce(*[F.when(F.col("role") == r, F.lit(i)) for i, r in enumerate(BELOW_THE_LINE)], F.lit(99))
-    best = F.min(F.struct((-F.abs("effect")).alias("size"), order.alias("ord"), "person_id", "role", "effect"))
-    out = known.filter(F.col("role").isin(*BELOW_THE_LINE)).groupBy("upload_id", "film_id").agg(best.alias("b"), F.count("*").alias("n_known"))
-    return out.select("upload_id", "film_id", "n_known", F.col("b.person_id").alias("reason_person_id"), F.col("b.role").alias("reason_role"), F.col("b.effect").alias("reason_effect"))
+    best = F.min(F.when(below, F.struct((-F.abs("effect")).alias("size"), order.alias("ord"), "person_id", "role", "effect")))
+    per_role = known.groupBy("upload_id", "film_id", "role").agg(crew.combined(combine).alias("e"), best.alias("b"), F.count_if(below).alias("n"))
+    per_film = per_role.groupBy("upload_id", "film_id").agg(crew.across_roles(across).alias("adjustment"), F.min("b").alias("b"), F.sum("n").alias("n_known")).filter("n_known > 0")
+    eligible = films.filter((F.coalesce("vote_count", F.lit(0)) >= least_votes) & F.col("vote_average").isNotNull())
+    out = per_film.join(library.select("upload_id", "film_id"), ["upload_id", "film_id"], "left_anti").join(eligible, "film_id")
+    return out.withColumns({"reason_person_id": F.col("b.person_id"), "reason_role": F.col("b.role"), "reason_effect": F.col("b.effect")}).drop("b")
 
 
 def director_familiarity(candidates: DataFrame, credits: DataFrame, library: DataFrame) -> DataFrame:
@@ -59,10 +59,7 @@ def director_familiarity(candidates: DataFrame, credits: DataFrame, library: Dat
 
 def recommendations(films: DataFrame, library: DataFrame, credits: DataFrame, fitted: DataFrame, expect) -> DataFrame:
     """Scoreable candidates; ``expect`` maps rows with upload_id and film columns to rows with ``expected``."""
-    rows = scoreable(films, library, credits, fitted)
-    rows = rows.join(strongest_reason(rows, credits, fitted), ["upload_id", "film_id"])
-    scored = crew.predicted(expect(rows), crew.adjustments(rows, credits, fitted))
-    scored = scored.withColumn("crew_adjustment", F.col("predicted") - F.col("expected"))
+    scored = expect(scoreable(films, library, credits, fitted)).withColumn("predicted", F.col("expected") + F.col("adjustment")).withColumnRenamed("adjustment", "crew_adjustment")
     return director_familiarity(novelty(scored, library), credits, library)
 
 

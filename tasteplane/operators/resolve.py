@@ -1,7 +1,7 @@
 """Entity resolution: fuzzy title candidates by shared trigrams, then one decision per title.
 
-The fuzzy join is an equi-join on (year, trigram): every pair with any similarity shares a
-trigram, so nothing is missed and nothing is crossed. Decisions are a grouped aggregate of the
+The fuzzy join is an equi-join on (year, trigram): every pair of enough similarity shares one of
+its rarer trigrams, so nothing is missed and nothing is crossed. Decisions are a grouped aggregate of the
 candidates followed by one CASE.
 """
 
@@ -23,14 +23,27 @@ def gram_join(queries: DataFrame, films: DataFrame, least: float = CONSIDER, lim
     """query_id, film_id, similarity: films of the same year whose normalised title is similar; the best ``limit`` a query.
 
     ``queries``: query_id, normal, year. ``films``: film_id, normal, year. Equal titles of one
-    year are one entry while grams are joined, however many queries ask for them.
+    year are one entry while grams are joined, however many queries ask for them. Two titles of
+    similarity ``least`` share a gram among the first n - ceil(least * n) + 1 of each, in any one order; the order is
+    rarest first, so grams that most titles of a year have (such as common beginnings) are hardly ever joined.
     """
     grams = lambda df: df.select("normal", "year").distinct().filter(F.col("year").isNotNull()).withColumn("grams", text.trigrams(F.col("normal")))
-    a, b = grams(queries), grams(films)
-    left = a.select("year", F.col("normal").alias("q"), F.size("grams").alias("nq"), F.explode("grams").alias("gram"))
-    right = b.select("year", F.col("normal").alias("c"), F.size("grams").alias("nc"), F.explode("grams").alias("gram"))
-    both = left.join(right, ["year", "gram"]).groupBy("year", "q", "c", "nq", "nc").agg(F.count("*").alias("shared"))
-    pairs = both.withColumn("similarity", F.col("shared") / (F.col("nq") + F.col("nc") - F.col("shared"))).filter(F.col("similarity") >= least)
+    b = grams(films)
+    held = b.select("year", F.explode("grams").alias("gram")).groupBy("year", "gram").agg(F.count("*").alias("held"))
+
+    def first_grams(titles: DataFrame, name: str) -> DataFrame:
+        each = titles.select("year", F.col("normal").alias(name), F.explode("grams").alias("gram")).join(held, ["year", "gram"], "left")
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram"))), lambda g: g["gram"])
+        out = each.groupBy("year", name).agg(ordered.alias(f"{name}_all"))
+        n = F.size(f"{name}_all")
+        out = out.withColumn(f"{name}_first", F.slice(f"{name}_all", F.lit(1), (n - F.ceil(F.lit(least) * n - 1e-9) + 1).cast("int")))
+        return out.withColumn("gram", F.explode(f"{name}_first"))
+
+    both = first_grams(grams(queries), "q").join(first_grams(b, "c"), ["year", "gram"])
+    # a pair is taken at the first gram that it shares
+    both = both.filter(F.get(F.array_intersect("q_first", "c_first"), 0) == F.col("gram"))
+    shared = F.size(F.array_intersect("q_all", "c_all"))
+    pairs = both.select("year", "q", "c", (shared / (F.size("q_all") + F.size("c_all") - shared)).alias("similarity")).filter(F.col("similarity") >= least)
     named = queries.select("query_id", "year", F.col("normal").alias("q")).join(pairs, ["year", "q"]).join(films.select("film_id", "year", F.col("normal").alias("c")), ["year", "c"])
     w = W.partitionBy("query_id").orderBy(F.desc("similarity"), "film_id")
     return named.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).select("query_id", "film_id", "similarity")

@@ -96,9 +96,9 @@ def _search(d):
     return asked.drop("t"), near.drop("t")
 
 
-#: CTEs that end in ruled: each asked title with its rule and the pools of candidates
-CHOOSE = f"""WITH {v.FILM}, asked AS (SELECT film_id AS query_id, title AS t, CASE film_id % 5 WHEN 3 THEN title || 'x' WHEN 4 THEN substring(title, 1, 9) ELSE upper(title) END AS w, CASE WHEN film_id % 50 <> 7 THEN (year + film_id % 3 - 1)::INT END AS y FROM film),
-near AS (SELECT query_id, y, film_id, vote_count, abs(year - y) AS gap, year, {NORM.format(t='w')} AS q, {NORM.format(t='title')} AS c FROM asked JOIN film ON title = t AND coalesce(abs(year - y) <= 2, year = 1975)),
+def choose_sql(asked: str, near: str) -> str:
+    """CTEs that end in ruled: each title of ``asked`` (query_id, y) with its rule and the pools of its candidates ``near`` (query_id, film_id, vote_count, gap, year, q, c)."""
+    return f"""asked AS ({asked}), near AS ({near}),
 {distinct_sql('near')}, grams AS (SELECT query_id, film_id, vote_count, gap, year, distinct_titles, {GRAMS.format(t='q')} AS a, {GRAMS.format(t='c')} AS b FROM judged),
 compared AS (SELECT *, CASE WHEN distinct_titles THEN 0 ELSE coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0) END AS s FROM grams),
 flags AS (SELECT *, s >= 0.3 AS plausible, s >= 0.999 AS exact, s >= 0.3 AND gap <= 1 AS win, gap = 0 AS same FROM compared),
@@ -108,6 +108,12 @@ pools AS (SELECT query_id, count_if(plausible) AS n, count_if(win) AS nw, list_s
 lists AS (SELECT asked.query_id, y, coalesce(n, 0) AS n, coalesce(nw, 0) AS nw, coalesce(any_exact, []) AS x, coalesce(e, []) AS e, coalesce(ey, []) AS ey, CASE WHEN len(coalesce(fy, [])) > 0 THEN fy ELSE coalesce(f, []) END AS f, len(coalesce(fy, [])) > 0 AS own_year, best, other FROM asked LEFT JOIN pools USING (query_id)),
 ruled AS (SELECT *, CASE WHEN n = 0 THEN 1 WHEN y IS NULL AND len(x) = 1 THEN 2 WHEN y IS NULL THEN 3 WHEN nw = 0 THEN 4 WHEN len(ey) = 1 THEN 5 WHEN len(ey) > 1 AND -ey[1][1] >= 50 AND -ey[1][1] >= 10 * greatest(-ey[2][1], 1) THEN 6 WHEN len(ey) > 1 THEN 7
   WHEN len(e) = 1 THEN 8 WHEN len(e) > 1 AND -e[1][1] >= 50 AND -e[1][1] >= 10 * greatest(-e[2][1], 1) THEN 9 WHEN len(e) > 1 THEN 10 WHEN len(f) = 0 THEN 11 WHEN len(f) = 1 THEN 12 WHEN -f[1][1] >= 50 AND -f[1][1] >= 10 * greatest(-f[2][1], 1) THEN 13 ELSE 14 END AS rule FROM lists)"""
+
+
+WRITTEN = "CASE film_id % 5 WHEN 3 THEN title || 'x' WHEN 4 THEN substring(title, 1, 9) ELSE upper(title) END"
+ASKED = f"SELECT film_id AS query_id, title AS t, {WRITTEN} AS w, CASE WHEN film_id % 50 <> 7 THEN (year + film_id % 3 - 1)::INT END AS y FROM film"
+NEAR = f"SELECT query_id, y, film_id, vote_count, abs(year - y) AS gap, year, {NORM.format(t='w')} AS q, {NORM.format(t='title')} AS c FROM asked JOIN film ON title = t AND coalesce(abs(year - y) <= 2, year = 1975)"
+CHOOSE = f"WITH {v.FILM}, {choose_sql(ASKED, NEAR)}"
 CHOSEN = """SELECT query_id, CASE WHEN rule = 2 THEN x[1][2] WHEN rule IN (5, 6) THEN ey[1][2] WHEN rule IN (8, 9) THEN e[1][2] WHEN rule IN (12, 13) THEN f[1][2] END AS film_id,
   CASE WHEN rule IN (2, 5) THEN 'exact' WHEN rule IN (6, 9, 13) THEN 'dominant' WHEN rule IN (8, 12) THEN 'trigram' ELSE 'unresolved' END AS match_method,
   round(CASE WHEN rule IN (2, 5) THEN 1.0 WHEN rule = 6 THEN ey[1][3] WHEN rule IN (8, 9) THEN 0.9 WHEN rule IN (12, 13) THEN f[1][3] END::DOUBLE, 6) AS confidence, rule IN (1, 3, 4, 11) AS no_film_candidate,
@@ -125,13 +131,24 @@ def _(d):
     return rounded(resolve.choose(asked, resolve.candidates(near, ascii_only=True)))
 
 
-@query("resolve_waterfall")
+#: the local catalog's candidates: titles of the asked year by shared grams, the best 20
+LOCAL = f"""SELECT a.query_id, a.y, f.film_id, f.vote_count, abs(f.year - a.y) AS gap, f.year, a.q, a.c FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, film_id) AS p FROM (
+  SELECT o.query_id, o.y, f.film_id, o.q, f.c, len(list_intersect(o.g, f.g)) / len(list_distinct(list_concat(o.g, f.g))) AS sim
+  FROM (SELECT *, {GRAMS.format(t='q')} AS g FROM (SELECT *, {NORM.format(t='w')} AS q FROM asked)) o JOIN (SELECT *, {GRAMS.format(t='c')} AS g FROM (SELECT *, {NORM.format(t='title')} AS c FROM film)) f ON f.year = o.y) WHERE sim >= 0.3) a JOIN film f USING (film_id) WHERE p <= 20"""
+WATERFALL = f"""WITH {v.FILM}, all_asked AS ({ASKED}), known AS (SELECT * FROM all_asked WHERE query_id % 9 = 0), open AS (SELECT * FROM all_asked WHERE query_id % 9 <> 0),
+local AS (SELECT * FROM (WITH {choose_sql('SELECT * FROM open', LOCAL)} {CHOSEN})), search AS (SELECT * FROM (WITH {choose_sql('SELECT o.* FROM open o JOIN local l USING (query_id) WHERE l.film_id IS NULL', NEAR)} {CHOSEN}))
+SELECT query_id, query_id AS film_id, 'exact' AS match_method, 1.0::DOUBLE AS confidence, false AS no_film_candidate, '' AS reason, 'cache' AS stage FROM known
+UNION ALL SELECT *, 'local' FROM local WHERE film_id IS NOT NULL
+UNION ALL SELECT * REPLACE (CASE WHEN film_id IS NULL AND no_film_candidate AND query_id % 4 = 0 THEN 'television' ELSE match_method END AS match_method), 'search' FROM search"""
+
+
+@query("resolve_waterfall", WATERFALL)
 def _(d):
     asked, near = _search(d)
     known = asked.filter("query_id % 9 = 0").select("query_id", F.col("query_id").alias("film_id"), F.lit("exact").alias("match_method"), F.lit(1.0).alias("confidence"), F.lit(False).alias("no_film_candidate"), F.lit("").alias("reason"))
     films = d.films().select("film_id", "title", F.lit(None).cast("string").alias("original_title"), "year", "vote_count")
     shows = asked.select("query_id", F.col("query_title").alias("show_name"), F.lit(None).cast("string").alias("show_original_name"), F.col("query_year").alias("show_year")).filter("query_id % 4 = 0")
-    return resolve.waterfall(asked, known, films, near, shows)
+    return rounded(resolve.waterfall(asked, known, films, near, shows))
 
 
 @query("upsert_coalesce", f"""WITH {v.FILM}, old AS (SELECT film_id, title, year, vote_average FROM film WHERE film_id % 3 <> 0), new AS (SELECT film_id, upper(title) AS title, CASE WHEN film_id % 2 = 0 THEN year + 1 END AS year, CASE WHEN film_id % 5 = 0 THEN 1.0 END AS vote_average FROM film WHERE film_id % 4 <> 0)
@@ -214,6 +231,56 @@ def _(d):
     return rounded(_filmography(d)[0].select("film_id", "title", "year", "vote_average", "vote_count"))
 
 
+@query("stored_credits", "WITH c AS (SELECT DISTINCT l_partkey AS film_id, l_suppkey AS person_id, 'Editing' AS department, CASE WHEN l_linenumber < 4 THEN 'Editor' ELSE 'Assistant' END AS job FROM lineitem WHERE l_orderkey % 11 <> 0), r AS (SELECT l_partkey AS film_id, l_suppkey AS person_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS p FROM lineitem), a AS (SELECT * FROM c UNION ALL SELECT DISTINCT film_id, person_id, 'Acting', 'Actor' FROM r WHERE p <= 10) SELECT department, job, count(*)::BIGINT AS credits, count(DISTINCT film_id)::BIGINT AS films, (SELECT count(DISTINCT person_id) FROM a)::BIGINT AS people FROM a GROUP BY 1, 2")
+def _(d):
+    payloads = _payloads(d)
+    held = merge.crew_credits(payloads).filter("person_id % 2 = 0")
+    credits, people = merge.store_payload_credits(held.select("film_id", "person_id", "department", "job"), held.select("person_id", "name").distinct(), payloads)
+    return credits.groupBy("department", "job").agg(F.count("*").alias("credits"), F.count_distinct("film_id").alias("films")).crossJoin(people.agg(F.count("*").alias("people")))
+
+
+@query("release_facts", "SELECT l_returnflag AS kind, CASE WHEN l_linenumber < 5 THEN year(l_shipdate)::INT END AS year, CASE WHEN l_linenumber IN (1, 2) THEN l_returnflag || l_linestatus END AS country, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL")
+def _(d):
+    day, n = F.date_format("l_shipdate", "yyyy-MM-dd"), F.col("l_linenumber")
+    date = F.when(n < 4, day).when(n == 4, F.substring(day, 1, 4)).when(n == 5, F.concat(F.lit("c."), day)).when(n == 6, F.lit(""))
+    code = F.concat("l_returnflag", "l_linestatus")
+    countries = F.when(n == 1, F.array(code, F.lit("XX"))).when(n == 2, F.array(code)).when(n == 3, F.array(F.lit("USA"))).when(n == 4, F.array().cast("array<string>"))
+    return d.table("lineitem").groupBy(F.col("l_returnflag").alias("kind"), scalar.release_year(date).alias("year"), scalar.country_of(countries).alias("country")).agg(F.count("*").alias("n"))
+
+
+@query("parse_years", "SELECT CASE WHEN l_linenumber IN (1, 2) THEN year(l_shipdate)::INT WHEN l_linenumber = 3 THEN 7 END AS year, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")
+def _(d):
+    day, n = F.date_format("l_shipdate", "yyyy"), F.col("l_linenumber")
+    written = F.when(n == 1, day).when(n == 2, F.concat(F.lit("  "), day, F.lit(" "))).when(n == 3, F.lit("007")).when(n == 4, F.concat(day, F.lit("?"))).when(n == 5, F.lit("-5")).when(n == 6, F.lit("99999999999999"))
+    return d.table("lineitem").groupBy(scalar.parse_year(written).alias("year")).agg(F.count("*").alias("n"))
+
+
+@query("films_needed", f"WITH {v.FILM} SELECT film_id FROM film WHERE film_id % 3 <> 0 AND NOT (year < 1975 AND film_id % 4 <> 0)")
+def _(d):
+    from tasteplane.sources.catalog import needed
+
+    films = d.films()
+    resolved = films.select(F.when(F.col("film_id") % 3 != 0, F.col("film_id")).alias("film_id"))
+    raw = F.when(F.col("film_id") % 4 != 0, '{"id":1,"credits":null}').otherwise('{"id":1,"other":"credits"}')
+    return needed(resolved.union(resolved), films.filter("year < 1975").select("film_id", raw.alias("raw")))
+
+
+@query("person_names", f"WITH {v.RATING}, {v.CREDIT} SELECT DISTINCT s_suppkey AS person_id, s_name AS name FROM supplier JOIN credit ON person_id = s_suppkey JOIN rating USING (film_id) WHERE role = 'editor'")
+def _(d):
+    from tasteplane.operators import library
+
+    people = d.table("supplier").select(F.col("s_suppkey").alias("person_id"), F.col("s_name").alias("name"))
+    return library.person_names(d.film_credits().filter("role = 'editor'"), people)
+
+
+@query("unmodelled_credits", f"WITH {v.CREDIT} SELECT CASE WHEN person_id % 5 = 0 THEN NULL ELSE role END AS role, count(*)::BIGINT AS n FROM credit GROUP BY 1")
+def _(d):
+    from tasteplane.operators.roles import with_roles
+
+    odd = d.credits().withColumn("job", F.when(F.col("person_id") % 5 == 0, F.concat(F.lit("Assistant "), F.col("job"))).otherwise(F.col("job")))
+    return with_roles(odd, keep_unmodelled=True).groupBy("role").agg(F.count("*").alias("n"))
+
+
 @query("delete_upload", f"WITH {v.RATING} SELECT upload_id, count(*)::BIGINT AS n FROM rating WHERE upload_id NOT LIKE 'B%' GROUP BY 1")
 def _(d):
     r = d.ratings()

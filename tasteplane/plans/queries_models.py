@@ -46,11 +46,32 @@ def _(d):
     return rounded(expectation.ridge_fit(d.library(), context=()))
 
 
-@query("ridge_expectation")
+#: ridge on all of the context: Gram sums, then Gauss-Jordan steps over a matrix of lists
+RIDGE = """cells AS (SELECT upload_id, film_id, rating, unnest([{'f': '1', 'v': 1.0::DOUBLE}, {'f': 'average', 'v': vote_average::DOUBLE}, {'f': 'votes', 'v': ln(1 + vote_count)}, {'f': 'country:' || country, 'v': 1.0}, {'f': 'decade:' || (year // 10 * 10), 'v': 1.0}]
+    || list_transform(list_distinct(genres), lambda g: {'f': 'genre:' || g, 'v': 1.0::DOUBLE})) AS c FROM library),
+feats AS (SELECT upload_id, film_id, rating, c.f AS f, c.v AS v FROM cells WHERE c.v <> 0),
+names AS (SELECT upload_id, f, row_number() OVER (PARTITION BY upload_id ORDER BY f) AS i, count(*) OVER (PARTITION BY upload_id) AS p FROM (SELECT DISTINCT upload_id, f FROM feats)),
+gram AS (SELECT a.upload_id, a.f AS fa, b.f AS fb, sum(a.v * b.v) AS s FROM feats a JOIN feats b USING (upload_id, film_id) GROUP BY 1, 2, 3),
+moment AS (SELECT upload_id, f, sum(v * rating) AS m FROM feats GROUP BY 1, 2),
+line AS (SELECT a.upload_id, a.i, a.p, list(coalesce(s, 0) + CASE WHEN a.i = b.i AND a.f <> '1' THEN 10 ELSE 0 END ORDER BY b.i) || [any_value(m)] AS r
+  FROM names a JOIN names b USING (upload_id) LEFT JOIN gram g ON g.upload_id = a.upload_id AND g.fa = a.f AND g.fb = b.f JOIN moment m ON m.upload_id = a.upload_id AND m.f = a.f GROUP BY 1, 2, 3),
+steps AS (SELECT 1 AS k, upload_id, i, p, r FROM line UNION ALL
+  SELECT k + 1, s.upload_id, s.i, s.p, CASE WHEN s.i = k THEN list_transform(s.r, lambda x: x / s.r[k]) ELSE list_transform(list_zip(s.r, piv), lambda z: z[1] - s.r[k] * z[2] / piv[k]) END
+  FROM (SELECT *, first_value(r) OVER (PARTITION BY upload_id ORDER BY (i = k) DESC) AS piv FROM steps) s WHERE k <= p),
+ridge AS (SELECT s.upload_id, n.f AS feature, s.r[s.p + 1] AS coefficient FROM steps s JOIN names n ON n.upload_id = s.upload_id AND n.i = s.i WHERE s.k = s.p + 1)"""
+
+
+@query("ridge_expectation", f"WITH RECURSIVE {v.LIBRARY}, {RIDGE} SELECT upload_id, feature, round(coefficient, 6) + 0.0::DOUBLE AS coefficient FROM ridge")
 def _(d):
     return rounded(expectation.ridge_fit(d.library()))
 
 
+@query("rich_residuals", f"WITH RECURSIVE {v.LIBRARY}, {RIDGE} SELECT upload_id, film_id, round(any_value(rating) - sum(f.v * coefficient), 5) + 0.0::DOUBLE AS residual FROM feats f JOIN ridge r USING (upload_id) WHERE r.feature = f.f GROUP BY 1, 2")
+def _(d):
+    lib = d.library()
+    return rounded(expectation.fit_predict(lib, lib).withColumn("residual", F.col("rating") - F.col("expected")).select("upload_id", "film_id", "residual"), 5)
+
+
 def _effect_columns(fitted, *keys):
     return rounded(fitted.select("upload_id", *keys, "n", "raw", F.when(F.col("k") != float("inf"), 1 / (1 + F.col("k"))).otherwise(0.0).alias("weight_of_one"), "effect", "stderr"), 5)
 
@@ -64,6 +85,12 @@ def _(d):
     return _effect_columns(crew.effects(_expected(d), d.film_credits()), "role", "person_id")
 
 
+@query("ranked_effects", f"WITH {v.BASE}, {v.simple()}, {v.effects()} SELECT upload_id, role, person_id, row_number() OVER (PARTITION BY upload_id, role ORDER BY round(abs(effect), 9) DESC, person_id)::INT AS rank, n >= 12 AS reportable FROM effect")
+def _(d):
+    fitted = crew.effects(_expected(d), d.film_credits()).withColumn("effect", F.round("effect", 9))
+    return crew.ranked(fitted).select("upload_id", "role", "person_id", "rank", "reportable")
+
+
 @query("director_effects", f"WITH {v.BASE}, {v.simple()}, chosen AS (SELECT * FROM lib_credit WHERE role = 'director'), {v.effects(source='chosen')} {_effect_sql('role, person_id')}")
 def _(d):
     return _effect_columns(crew.effects(_expected(d), d.film_credits().filter("role = 'director'")), "role", "person_id")
@@ -216,11 +243,36 @@ def _(d):
     return rounded(recommend.top(_recommended(d), 20).select("upload_id", "place", "film_id", "reason_person_id", "reason_role", "crew_adjustment"), 5)
 
 
-@query("non_obviousness")
+KNOWN = f"""{TOP}, nov AS (SELECT upload_id, vote_count AS v, count(*) AS c FROM train GROUP BY 1, 2), pct AS (SELECT t.upload_id, t.film_id, sum(CASE WHEN nov.v <= f.vote_count THEN c ELSE 0 END) / sum(c) AS p FROM t JOIN film f USING (film_id) JOIN nov USING (upload_id) WHERE place <= 20 GROUP BY 1, 2),
+dir AS (SELECT DISTINCT film_id, person_id FROM credit WHERE role = 'director'), fam AS (SELECT DISTINCT r.upload_id, person_id FROM train r JOIN dir USING (film_id)),
+fams AS (SELECT t.upload_id, t.film_id, bool_or(f.person_id IS NOT NULL) AS fam FROM t JOIN dir x USING (film_id) LEFT JOIN fam f ON f.upload_id = t.upload_id AND f.person_id = x.person_id GROUP BY 1, 2)"""
+
+
+@query("non_obviousness", f"{KNOWN} SELECT t.upload_id, round(avg(p), 6) AS novelty, round(avg((NOT fam)::INT), 6) AS non_obviousness FROM t JOIN pct USING (upload_id, film_id) LEFT JOIN fams USING (upload_id, film_id) WHERE place <= 20 GROUP BY 1")
 def _(d):
     return rounded(recommend.summary(recommend.top(_recommended(d), 20)))
 
 
+@query("catalog_counters", f"{UNRATED.replace('chosen AS (SELECT * FROM lib_credit WHERE', 'chosen AS (SELECT upload_id, credit.film_id, role, person_id FROM (SELECT DISTINCT upload_id FROM rating) CROSS JOIN credit WHERE')}, total AS (SELECT count(*)::BIGINT AS films FROM film), rated AS (SELECT upload_id, count(DISTINCT film_id)::BIGINT AS already_rated FROM train GROUP BY 1), scored AS (SELECT c.upload_id, count(*)::BIGINT AS scoreable FROM cand c JOIN adj USING (upload_id, film_id) GROUP BY 1) SELECT rated.upload_id, already_rated, coalesce(scoreable, 0)::BIGINT AS scoreable, films AS catalog_films, round(coalesce(scoreable, 0) / films, 6) AS coverage FROM rated LEFT JOIN scored USING (upload_id), total")
+def _(d):
+    return rounded(recommend.counters(d.films(), _train(d), _recommended(d)))
+
+
+BELOW, DIRECTORS = "role NOT IN ('director', 'actor')", "role = 'director'"
+
+
+def _simple_people(who: str) -> str:
+    """Predictions on the simple expectation of the people of ``who``, as a derived table."""
+    return f"({PREDICTED.replace(BELOW, who)} SELECT upload_id, film_id, predicted FROM pred)"
+
+
+@query("simple_gaps", f"SELECT upload_id, film_id, round(one, 5) AS one, round(two, 5) AS two, round(gap, 5) + 0.0::DOUBLE AS gap, place FROM (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY round(abs(gap), 9) DESC, film_id)::INT AS place FROM (SELECT a.upload_id, a.film_id, a.predicted AS one, b.predicted AS two, a.predicted - b.predicted AS gap FROM {_simple_people(BELOW)} a JOIN {_simple_people(DIRECTORS)} b USING (upload_id, film_id))) WHERE place <= 20")
+def _(d):
+    s, credits = _split(d), d.film_credits()
+    side = lambda who: ladder.people(s.filter("block = 'train'"), s.filter("block = 'test'"), credits.filter(who), "simple").withColumn("predicted", F.round("predicted", 7))
+    return rounded(recommend.gaps(side(F.col("role").isin(*BELOW_THE_LINE)), side("role = 'director'"), 20), 5)
+
+
 @query("disagreement_gaps")
 def _(d):
     s = _split(d)
@@ -231,7 +283,7 @@ def _(d):
 
 @query("evaluate_ladder")
 def _(d):
-    return rounded(ladder.evaluate(_split(d), d.film_credits()))
+    return rounded(ladder.evaluate(_split(d), d.film_credits(), ladder.FULL_LADDER))
 
 
 def _pairs(d):
@@ -243,7 +295,7 @@ def _drawn(name: str, seed: int, *names: str) -> str:
     p, items, last = inference.PRIME, [], str(seed % inference.PRIME)
     for i, n in enumerate(names):
         x, s, y = f"{name}_x{i}", f"{name}_s{i}", name if i + 1 == len(names) else f"{name}_y{i}"
-        items += [f"({last} + {n}) % {p} AS {x}", f"{x} * {x} % {p} AS {s}", f"{s} * {s} % {p} * {x} % {p} AS {y}"]
+        items += [f"({last}::BIGINT + {n}) % {p} AS {x}", f"{x} * {x} % {p} AS {s}", f"{s} * {s} % {p} * {x} % {p} AS {y}"]
         last = y
     return ", ".join(items)
 
@@ -297,12 +349,39 @@ def _(d):
     return rounded(inference.significance(d.library(), d.film_credits()))
 
 
-@query("shuffle_test")
+def _fitted(rows: str, prefix: str) -> str:
+    """Largest effect, reportable people and those at 0.05 or more, of the library ``rows``, as a derived table."""
+    return f"""(WITH {v.BASE}, {rows}, {v.simple(train='mine', rows='mine')}, chosen AS (SELECT * FROM lib_credit WHERE role NOT IN ('director', 'actor')), {v.effects(source='chosen')}
+SELECT upload_id, role, max(abs(effect)) AS {prefix}_max, count(*)::BIGINT AS {prefix}_reportable, count_if(abs(effect) >= 0.05)::BIGINT AS {prefix}_above FROM effect WHERE n >= 12 GROUP BY 1, 2)"""
+
+
+DEALT = "own AS (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY film_id) AS place FROM library), moved AS (SELECT upload_id, rating AS r, row_number() OVER (PARTITION BY upload_id ORDER BY md5('20260726|' || film_id), film_id) AS place FROM library), mine AS (SELECT own.* REPLACE (r AS rating) FROM own JOIN moved USING (upload_id, place))"
+SHUFFLED = f"""SELECT upload_id, role, round(real_max, 6) AS real_max, real_reportable, real_above, round(shuffled_max, 6) AS shuffled_max, shuffled_reportable, shuffled_above,
+round(CASE WHEN real_max > 0 THEN shuffled_max / real_max ELSE 1 END, 6) AS max_ratio, round(CASE WHEN real_above > 0 THEN shuffled_above / real_above ELSE 1 END, 6) AS count_ratio, CASE WHEN real_above > 0 THEN shuffled_above / real_above ELSE 1 END <= 0.1 AS collapsed
+FROM {_fitted('mine AS (SELECT * FROM library)', 'real')} JOIN {_fitted(DEALT, 'shuffled')} USING (upload_id, role)"""
+
+
+@query("shuffle_test", SHUFFLED)
 def _(d):
     return rounded(inference.shuffle_test(d.library(), d.film_credits().filter(F.col("role").isin(*BELOW_THE_LINE)), threshold=0.05))
 
 
-@query("synthetic_sweep")
+#: every cell (size, n_films, trial) of every upload: its planted person, its ratings, the effects fitted to them
+SWEEP = f"""WITH {v.BASE}, {v.simple()}, ed AS (SELECT DISTINCT upload_id, film_id, person_id FROM lib_credit WHERE role = 'editor'), noise AS (SELECT upload_id, stddev_samp(rating - expected) AS sd FROM expected GROUP BY 1),
+able AS (SELECT upload_id, person_id, count(*)::INT AS n_films FROM ed GROUP BY 1, 2), drawn AS (SELECT *, {_drawn('u', inference.SEED, 't', 'person_id')} FROM able, range(0, 12) x(t)),
+planted AS (SELECT upload_id, n_films, t, arg_min(person_id, (u, person_id)) AS planted FROM drawn GROUP BY 1, 2, 3), cell AS (SELECT * FROM planted, (VALUES (0, 0.25), (1, 0.5), (2, 0.75), (3, 1.0), (4, 1.5)) s(s, size)),
+draws AS (SELECT e.upload_id || '#' || n_films || '#' || s || '#' || t AS cell, e.upload_id, e.film_id, vote_average, expected, n_films, s, t, size, planted, {_drawn('u1', inference.SEED + 1, 's', 't', 'n_films', 'e.film_id')}, {_drawn('u2', inference.SEED + 2, 's', 't', 'n_films', 'e.film_id')} FROM expected e JOIN cell USING (upload_id)),
+made AS (SELECT d.cell AS upload_id, d.film_id, vote_average, d.planted, d.n_films, d.size, greatest(0.5, least(5.0, round_even((expected + CASE WHEN ed.film_id IS NULL THEN 0 ELSE size END + sqrt(-2 * ln(1 - u1 / {inference.PRIME})) * cos(2 * pi() * (u2 / {inference.PRIME})) * sd) * 2, 0) / 2))::DOUBLE AS rating
+  FROM draws d JOIN noise USING (upload_id) LEFT JOIN ed ON ed.upload_id = d.upload_id AND ed.film_id = d.film_id AND ed.person_id = d.planted)"""
+SWEPT = f"""WITH made AS ({SWEEP} SELECT * FROM made), people AS (WITH {v.BASE} SELECT DISTINCT upload_id, film_id, person_id FROM lib_credit WHERE role = 'editor'), {v.simple(train='made', rows='made')},
+lib_of AS (SELECT m.upload_id, m.film_id, 'editor' AS role, p.person_id FROM made m JOIN people p ON p.upload_id = split_part(m.upload_id, '#', 1) AND p.film_id = m.film_id), {v.effects(source='lib_of')},
+cells AS (SELECT DISTINCT upload_id, planted, n_films, size FROM made), own AS (SELECT c.*, abs(effect) AS own FROM cells c JOIN effect e ON e.upload_id = c.upload_id AND e.person_id = c.planted),
+placed AS (SELECT o.upload_id, any_value(o.n_films) AS n_films, any_value(o.size) AS size, count_if(abs(e.effect) > own OR (abs(e.effect) = own AND e.person_id < planted)) < 3 AS hit FROM own o JOIN effect e USING (upload_id) GROUP BY 1),
+summed AS (SELECT size::DOUBLE AS size, n_films::INT AS n_films, count(*)::BIGINT AS trials, count_if(hit)::BIGINT AS recovered FROM placed GROUP BY 1, 2)
+SELECT *, recovered / trials AS rate, recovered / trials >= 0.8 AS detected FROM summed"""
+
+
+@query("synthetic_sweep", SWEPT)
 def _(d):
     # people of these tables have other numbers of films than the default's
     return inference.synthetic_sweep(d.library(), d.film_credits(), "editor", counts=None)
@@ -310,14 +389,14 @@ def _(d):
 
 @query("ridge_gcv")
 def _(d):
-    return rounded(ridge_crew.fit(_expected(d), d.film_credits().filter("role in ('editor', 'composer')")))
+    return rounded(ridge_crew.fit(_expected(d), d.film_credits().filter(F.col("role").isin(*BELOW_THE_LINE))))
 
 
 @query("ridge_attribution")
 def _(d):
-    residuals, credits = _expected(d), d.film_credits().filter("role in ('editor', 'director')")
-    editors = credits.filter("role = 'editor'")
-    return rounded(ridge_crew.attribution(crew.effects(residuals, editors), ridge_crew.fit(residuals, editors), ridge_crew.fit(residuals, credits)))
+    residuals, credits = _expected(d), d.film_credits().filter(F.col("role").isin("director", *BELOW_THE_LINE))
+    below = credits.filter("role <> 'director'")
+    return rounded(ridge_crew.attribution(crew.effects(residuals, below), ridge_crew.fit(residuals, below), ridge_crew.fit(residuals, credits)))
 
 
 @query("crew_variants")

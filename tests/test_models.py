@@ -115,7 +115,8 @@ def test_joint_ridge_equals_leave_one_out(spark):
     rng = np.random.default_rng(2)
     x = (rng.random((40, 6)) < 0.4).astype(float)
     y = x @ np.array([1, -1, 0.5, 0, 0, 2.0]) + rng.normal(0, 0.5, 40)
-    alpha, b = ridge_crew.dense_ridge(x, y)
+    sparse = lambda xs, ys: ridge_crew.sparse_ridge(*np.nonzero(xs), xs[np.nonzero(xs)], ys, xs.shape[1])
+    alpha, b = sparse(x, y)
 
     def solve(a, xs, ys):
         xc = xs - xs.mean(0)
@@ -131,8 +132,15 @@ def test_joint_ridge_equals_leave_one_out(spark):
             e.append((y[i] - x[i] @ w - c) ** 2)
         errors[a] = np.mean(e)
     assert alpha == min(errors, key=errors.get) and b == pytest.approx(solve(alpha, x, y)[0])
-    wide = rng.random((10, 30))
-    assert len(ridge_crew.dense_ridge(wide, rng.random(10))[1]) == 30
+    wide = np.where(rng.random((10, 30)) < 0.5, rng.random((10, 30)), 0)
+    few = rng.random(10)
+    alpha, b = sparse(wide, few)
+    xc = wide - wide.mean(0)
+    assert b == pytest.approx(np.linalg.solve(xc.T @ xc + alpha * np.eye(30), xc.T @ (few - few.mean())))
+    tall = np.vstack([wide] * 4)  # both sides of the system agree
+    alpha, b = sparse(tall, np.tile(few, 4))
+    xc = tall - tall.mean(0)
+    assert b == pytest.approx(np.linalg.solve(xc.T @ xc + alpha * np.eye(30), xc.T @ (np.tile(few, 4) - few.mean())))
 
 
 def test_metrics_equal_numpy(spark):
