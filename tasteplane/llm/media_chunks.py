@@ -15,14 +15,17 @@ byte moves the cuts near it only.
    others the lent chunks are joined in by digest. Every chunk is checked against its digest
    and every media against its own, and features are computed from the samples.
 
-Packs are compressed with a dictionary that is trained on a bounded sample of texts and kept
-with the job; no result depends on it.
+Packs are compressed with a dictionary that is trained on a bounded sample of texts and written
+beside them, so a later job opens the store by its path alone (``write_store``, ``open_store``,
+``media_of``); no result depends on it. The joins on digests need no rows of one digest together, so AQE splits
+the partition of a chunk that very many media hold.
 
 A rolling hash over the last 32 bytes is a sum of shifted table values, which five doubling
 steps compute for all positions at once. Chunks have LEAST to MOST bytes.
 
 Edge cases: null text is empty (one block of 576 bytes 255); equal texts have equal rows;
-repeated rows stay; documents with null ids are kept; an empty table gives no rows; other columns are ignored.
+repeated rows stay; documents with null ids are kept; an empty table gives no rows; very long texts are one
+media each, whole in one task; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,10 +35,10 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasteplane.llm._shared import discard, release, stored, text_or_empty
+from tasteplane.llm._shared import discard, release, remove, scratch, stored, text_or_empty
 
 BLOCK, PAD, RATE = 576, b"\xff", 8_000
 LEAST, MASK_BITS, MOST, WINDOW = 512, 11, 8_192, 32
@@ -174,15 +177,22 @@ def _packed(docs: DataFrame, trained: bytes) -> DataFrame:
     return docs.select(text_or_empty().alias("text")).mapInArrow(run, "media_id binary, z binary")
 
 
-def shared_chunks(recipe: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of chunks that several places hold: (digest, media_id, seq) of the owner, and of the references."""
+REFERENCES = "digest binary, media_id binary, seq int"
+
+
+def shared_chunks(recipe: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of chunks that several places hold: (digest, media_id, seq) of the owner, and of the references, which are written to ``path`` if it is given."""
     media = recipe.groupBy("media_id").agg(F.first("digests").alias("digests"))
     places = media.select("media_id", F.posexplode("digests").alias("seq", "digest"))
     owner = places.groupBy("digest").agg(F.min(F.struct("media_id", "seq")).alias("owner"), F.count("*").alias("n")).filter("n > 1")
     owners = stored(owner.select("digest", F.col("owner.media_id").alias("media_id"), F.col("owner.seq").alias("seq")), "chunk-owners")
     of = owners.select(F.col("digest").alias("_d"), F.col("media_id").alias("_m"), F.col("seq").alias("_s"))
     refs = places.join(of, F.col("digest") == F.col("_d")).filter(~((F.col("media_id") == F.col("_m")) & (F.col("seq") == F.col("_s"))))
-    return owners, stored(refs.select("digest", "media_id", "seq"), "chunk-references")
+    refs = refs.select("digest", "media_id", "seq")
+    if not path:
+        return owners, stored(refs, "chunk-references")
+    refs.write.parquet(path)
+    return owners, recipe.sparkSession.read.schema(REFERENCES).parquet(path)
 
 
 STORE = "media_id binary, n_bytes long, digests array<binary>, sizes array<int>, borrowed array<int>, lent array<int>, pack binary"
@@ -257,12 +267,12 @@ def read_back(kept: DataFrame, references: DataFrame, trained: bytes = b"") -> D
     parts = parts.groupBy(F.col("media_id").alias("_m")).agg(F.collect_list(F.struct("seq", "chunk")).alias("parts"))
     whole = kept.filter(F.size("borrowed") == 0).withColumn("parts", F.array().cast("array<struct<seq:int,chunk:binary>>"))
     mended = kept.filter(F.size("borrowed") > 0).join(parts, F.col("media_id") == F.col("_m")).select(*kept.columns, "parts")
-    schema = "media_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "media_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int, n_borrowed int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, open_ = _codec(trained)
-        names = ["media_id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        types = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = ["media_id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks", "n_borrowed"]
+        types = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
@@ -271,23 +281,44 @@ def read_back(kept: DataFrame, references: DataFrame, trained: bytes = b"") -> D
                 if media_id(media) != r["media_id"]:
                     raise ValueError(f"media {r['media_id'].hex()} was not reconstructed")
                 back = samples_of(media)
-                rows.append((r["media_id"], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(back)))
+                rows.append((r["media_id"], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(back), len(r["sizes"]), len(r["borrowed"])))
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     return whole.unionByName(mended).mapInArrow(run, schema)
 
 
-def media_columns(docs: DataFrame) -> DataFrame:
-    """One row per document row: n_bytes and the columns of ``read_back``."""
-    spark = docs.sparkSession
-    recipe = stored(recipes(docs), "media-recipes")
-    trained = dictionary(docs)
-    owners, references = shared_chunks(recipe)
+def write_store(docs: DataFrame, recipe: DataFrame, path: str) -> None:
+    """The packs of all media of ``docs`` (whose ``recipes`` are ``recipe``) and the dictionary that opens them, in ``path``."""
+    spark, trained = docs.sparkSession, dictionary(docs)
+    owners, references = shared_chunks(recipe, f"{path}/references")
     release(spark)
-    kept = stored(store(docs, owners, references, trained), "media-store")
+    spark.createDataFrame([(trained,)], "dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
+    store(docs, owners, references, trained).write.parquet(f"{path}/packs")
+    discard(owners)
     release(spark)
-    found = stored(read_back(kept, references, trained), "media-read-back")
-    discard(kept, references, owners)
+
+
+def open_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, bytes]:
+    """(packs, references, dictionary) of a store that any job has written."""
+    packs = spark.read.schema(STORE).parquet(f"{path}/packs")
+    references = spark.read.schema(REFERENCES).parquet(f"{path}/references")
+    return packs, references, bytes(spark.read.parquet(f"{path}/dictionary").first()[0])
+
+
+def media_of(spark: SparkSession, path: str) -> DataFrame:
+    """media_id, what is computed from each stored media, reassembled and verified, and its numbers of chunks and of borrowed ones."""
+    return read_back(*open_store(spark, path))
+
+
+def media_columns(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """One row per document row: n_bytes and the columns of ``media_of``. The store stays in ``path``; without one it goes once it is read back."""
+    spark = docs.sparkSession
+    recipe = stored(recipes(docs), "media-recipes")
+    at = path or scratch(spark, "media-store")
+    write_store(docs, recipe, at)
+    found = stored(media_of(spark, at), "media-read-back")
+    if not path:
+        remove(spark, at)
     named = recipe.select("doc_id", "n_bytes", F.col("media_id").alias("_id"))
     return named.join(found, F.col("_id") == F.col("media_id")).drop("_id", "media_id")

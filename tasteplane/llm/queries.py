@@ -156,4 +156,69 @@ SELECT d.doc_id,
 FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-ORACLES = {"op6_line_dedup": _OP6, "op1_token_counts": _OP1, "op2_decontamination": _OP2}
+_OP5 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), least AS (
+  SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id, d.doc_id <= coalesce(l.b, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least l USING (doc_id)
+"""
+
+# the template's marks by role; the automaton's legal beginnings are s?(ua)*u?, complete ones s?(ua)+
+_OP8 = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), u AS (
+  SELECT *, CASE role WHEN 'system' THEN length(e'<<SYS>>\n\n<</SYS>>\n') WHEN 'user' THEN length('<s>[INST]  [/INST]') WHEN 'assistant' THEN length('  </s>') ELSE length('<s>[TURN]  [/TURN]') END
+    + length(replace(text, '\', '\\')) + len(regexp_extract_all(replace(text, '\', '\\'), '[<\[](?:<SYS>>|</SYS>>|s>|/s>|INST\]|/INST\]|TURN\]|/TURN\])')) AS chars,
+    CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END AS letter FROM t
+), c AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(chars)::BIGINT AS formatted_chars, string_agg(letter, '' ORDER BY turn, role, text) AS letters FROM u GROUP BY conv_id
+)
+SELECT * EXCLUDE (letters), regexp_full_match(letters, 's?(ua)+') AS valid,
+  CASE WHEN length(regexp_extract(letters, '^s?(?:ua)*u?')) < length(letters) THEN length(regexp_extract(letters, '^s?(?:ua)*u?')) END::BIGINT AS broken_at FROM c
+"""
+
+
+def _spans_sql(no: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind: texts between matches and the matches give running offsets."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    sums = "coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0)"
+    each = f"list_transform(range(1, len(found) + 1), lambda i: {{'lo': {sums}, 'n': length(found[i]), 'v': vals[i]}})"
+    return f"SELECT doc_id, owner, {no} AS no, '{kind}' AS kind, x.lo AS lo, x.lo + x.n AS hi, x.v AS v FROM (SELECT doc_id, owner, unnest({each}) AS x FROM (SELECT doc_id, owner, regexp_extract_all(t, {p}) AS found, regexp_extract_all(t, {p}, {group}) AS vals, string_split_regex(t, {p}) AS gaps FROM d)) WHERE length(x.v) >= {least}"
+
+
+# private keys are left out: their pattern is not one of this engine's, and the tables hold none
+_OP9 = f"""
+WITH d AS (
+  SELECT doc_id, split_part(coalesce(source, ''), '/', 1) AS owner, coalesce(text, '') AS t FROM documents
+), spans AS (
+  {' UNION ALL '.join(_spans_sql(i, *k) for i, k in enumerate([*secret_scan.BASE, *secret_scan.ADDED]) if k[0] != 'pem')}
+), owners AS (
+  SELECT v, count(DISTINCT owner) >= {secret_scan.SHARED_OWNERS} AS example FROM spans GROUP BY v
+), s AS (
+  SELECT doc_id, no, kind || ':' || lo || ':' || hi AS digest, lo, example FROM spans JOIN owners USING (v) WHERE no < {len(secret_scan.BASE)} OR NOT example
+), a AS (
+  SELECT doc_id, count_if(no = 0) AS n_assign, count_if(no = 1) AS n_access, count_if(no = 2) AS n_hex, string_agg(digest, ',' ORDER BY lo, no) FILTER (no < {len(secret_scan.BASE)}) AS base, string_agg(digest, ',' ORDER BY lo, no) AS spans,
+    count_if(example) AS n_example, count_if(NOT example) AS n_live FROM s GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_example, 0)::BIGINT AS n_example, coalesce(n_live, 0)::BIGINT AS n_live FROM d LEFT JOIN a USING (doc_id)
+"""
+
+ORACLES = {"op1_token_counts": _OP1, "op2_decontamination": _OP2, "op5_near_dedup": _OP5, "op6_line_dedup": _OP6, "op8_chat": _OP8, "op9_secrets": _OP9}

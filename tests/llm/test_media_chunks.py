@@ -40,6 +40,23 @@ def test_shared_chunks_are_stored_once(spark):
     assert set(held) == {d for r in kept for d in r.digests}
 
 
+def test_a_store_opens_by_its_path(spark, tmp_path):
+    """With a trained dictionary, in a session's later job that knows the path alone."""
+    rng = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(800)]
+    rows = [(d, " ".join(rng.choices(vocabulary, k=300)), "en", "s", 0, None, None) for d in range(400)]
+    rows += [(1000 + d, rows[d][1] + " more " + rows[d + 1][1], "en", "s", 0, None, None) for d in range(40)]
+    path = f"{tmp_path}/store"
+    first = {r.doc_id: r.media_sha256 for r in m.media_columns(documents(spark, rows), path).collect()}
+    packs, references, trained = m.open_store(spark, path)
+    assert trained and packs.count() == len({r[1] for r in rows}) and references.count()
+    again = m.media_of(spark, path).collect()
+    assert {r.media_sha256 for r in again} == set(first.values())
+    texts = [m.container(m.payload(r[1])) for r in rows]
+    assert {hashlib.sha256(t).hexdigest(): len(m.chunked(t)) for t in texts} == {r.media_sha256: r.n_chunks for r in again}
+    assert sum(r.n_borrowed for r in again) == references.count()
+
+
 def test_cuts_follow_the_content():
     rng = random.Random(1)
     data = bytes(rng.randrange(256) for _ in range(100_000))
