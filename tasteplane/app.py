@@ -21,7 +21,7 @@ from tasteplane.functions import text
 from tasteplane.operators import crew, expectation, inference, library, merge, portrait, quality, recommend, resolve, ridge_crew, splits
 from tasteplane.operators.roles import BELOW_THE_LINE, PRODUCT_ROLES, with_roles
 from tasteplane.plans import ladder
-from tasteplane.sources import catalog, export, sinks
+from tasteplane.sources import catalog, export, golden, sinks
 
 TABLES = {"films": schema.FILMS, "people": schema.PEOPLE, "credits": schema.CREDITS, "resolutions": schema.RESOLUTIONS, "ratings": schema.RATINGS, "diary": schema.DIARY, "likes": schema.LIKES, "uploads": schema.UPLOADS}
 
@@ -136,6 +136,27 @@ class Workspace:
         merged = merge.upsert_films(self.table("films"), rows.withColumn("seq", F.lit(1)))
         self.save("films", merged.withColumn("normalized_title", text.normalize(F.coalesce("title", "original_title", F.lit("")))))
 
+    def film(self, film_id: int) -> DataFrame:
+        """Ask for one film with its credits and keep both; its row of the catalog."""
+        if not self.client:
+            raise catalog.CatalogError("a film needs a catalog to ask")
+        new = catalog.payload_rows(self._fetched("films", [film_id], lambda i: self.client.film(i, append="credits")).rows(self.spark))
+        self._store(new, new)
+        return self.table("films").filter(F.col("film_id") == film_id)
+
+    def record(self, folder: str) -> DataFrame:
+        """Record the golden searches and films from the catalog, for ``regression``."""
+        n = catalog.capture(self.client, folder, [(t, y) for t, y, *_ in golden.SEARCHES], list(golden.FILMS))
+        return self.spark.createDataFrame([(n,)], "recorded long")
+
+    def regression(self, searches: str) -> DataFrame:
+        """Golden searches, resolved from recordings, whose answer is not the known one; no rows is a pass."""
+        asked = self.spark.createDataFrame(golden.SEARCHES, "query_title string, query_year int, want_film_id long, want_method string")
+        asked = asked.withColumn("query_id", F.concat("query_title", F.lit("::"), F.col("query_year").cast("string")))
+        got = resolve.choose(asked, resolve.candidates(catalog.replay_searches(self.spark, searches)))
+        wrong = ~(F.col("film_id").eqNullSafe(F.col("want_film_id")) & (F.col("match_method") == F.col("want_method")))
+        return asked.join(got, "query_id").filter(wrong).select("query_title", "query_year", "want_film_id", "want_method", "film_id", "match_method", "reason")
+
     def filmographies(self, upload_id: str = "", least_films: int = 3) -> DataFrame:
         """What else the people worth traversing made: films and credits below the line. One row of counters."""
         if not self.client:
@@ -267,7 +288,7 @@ class Workspace:
             out = out.persist()
             for r in lib.groupBy("upload_id").agg(F.count("*").alias("films")).toLocalIterator():
                 config = self.spark.createDataFrame([(schema.SEED, cut, r.films)], "seed long, cut string, films long")
-                sinks.append_run(self.spark, f"{self.folder}/runs", r.upload_id, schema.MODEL_VERSION, config, out.filter(F.col("upload_id") == r.upload_id))
+                sinks.append_run(self.spark, f"{self.folder}/runs", r.upload_id, schema.MODEL_VERSION, config, sinks.payload(out.filter(F.col("upload_id") == r.upload_id)))
         return out
 
     def variants(self, cut: str = schema.TEMPORAL_CUT) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import secrets
-import tempfile
 import zipfile
 from pathlib import Path, PurePosixPath
 
@@ -117,13 +116,12 @@ def ingest_stats(tables: dict[str, DataFrame]) -> DataFrame:
     return one(tables["ratings"], "ratings").join(counts, how="cross").join(one(films.join(rated, "film_key", "left_semi"), "diary_films_rated"), how="cross").join(one(tables["likes"], "likes"), how="cross")
 
 
-def unpacked(path: str) -> str:
-    """A temporary folder with the readable files of an archive, for ``scan``."""
-    out = tempfile.mkdtemp(prefix="export-")
+def unpacked(spark: SparkSession, path: str, folder: str) -> str:
+    """The readable files of an archive in ``folder``, which executors share, for ``scan``."""
     with Export(path) as export:
-        for name in READABLE:
-            if export.has(name):
-                target = Path(out, name)
-                target.parent.mkdir(parents=True, exist_ok=True)
-                target.write_text(export.read_text(name), encoding="utf-8")
-    return out
+        for name in filter(export.has, READABLE):
+            target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+            out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+            out.write(bytearray(export.read_text(name).encode()))
+            out.close()
+    return folder

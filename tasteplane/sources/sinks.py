@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tasteplane.functions.scalar import finite
+
 # fixed values: the audit sheet's columns
 REVIEW_COLUMNS = ("match_method", "confidence", "name", "query_year", "title", "original_title", "year", "vote_count", "film_id", "source_uri", "reason", "link", "verdict", "notes")
 
@@ -25,6 +27,11 @@ def append_run(spark: SparkSession, path: str, upload_id: str, model_version: st
     return run_id
 
 
+def payload(metrics: DataFrame, digits: int = 4) -> DataFrame:
+    """Metrics as the run log keeps them: finite (else 0) and rounded."""
+    return metrics.select(*[F.round(finite(F.col(c)), digits).alias(c) if t == "double" else F.col(c) for c, t in metrics.dtypes])
+
+
 def append_effects(effects: DataFrame, inseparable: DataFrame, path: str, run_id: str) -> None:
     """All fitted effects of a run, with the director they cannot be told from."""
     keys = ["upload_id", "role", "person_id"]

@@ -142,3 +142,27 @@ def test_runs_are_logged(spark, tmp_path, monkeypatch):
     w.evaluate(save=True)
     log = {r.upload_id: r for r in spark.read.parquet(f"{w.folder}/runs").collect()}
     assert set(log) == {"a", "b"} and '"films\\":2' in log["a"].config.replace(" ", "") and "temporal" in log["b"].metrics
+
+
+def test_golden_searches(spark, tmp_path):
+    """Recordings made from the known answers pass; one with another film in the right one's place does not."""
+    from tasteplane.sources import catalog, golden
+
+    assert len(golden.SEARCHES) == 36 and [m for *_, m in golden.SEARCHES].count("dominant") == 3
+    for title, year, film_id, method in golden.SEARCHES:
+        named = title.replace("Dead Reckoning", "Dead Reckoning Part One").replace(" – ", " - ")
+        hit = {"id": film_id, "title": named, "original_title": named, "release_date": f"{year + (title[:4] == 'Salò')}-05-01", "vote_count": 900}
+        hits = [hit] if film_id else [hit | {"id": 1, "title": "Obi-Wan Kenobi: A Jedi's Return", "original_title": None}]
+        hits += [hit | {"id": 2, "vote_count": 3}] * (method == "dominant")
+        catalog.record(str(tmp_path / "good"), catalog.recording_name(title, year), {"query": title, "year": year, "results": hits})
+        if title == "WALL·E":
+            hits = [hit | {"id": 5}]
+        catalog.record(str(tmp_path / "bad"), catalog.recording_name(title, year), {"query": title, "year": year, "results": hits})
+    w = app.Workspace(spark, str(tmp_path / "ws"))
+    assert [tuple(r) for r in w.regression(str(tmp_path / "good")).collect()] == []
+    assert [(r.query_title, r.film_id) for r in w.regression(str(tmp_path / "bad")).collect()] == [("WALL·E", 5)]
+
+
+def test_one_film_is_asked_for(spark, tmp_path):
+    w = app.Workspace(spark, str(tmp_path / "ws"), Catalog())
+    assert w.film(101).first().title == "Night b" and w.table("credits").count() == 12 and w.film(104).count() == 0

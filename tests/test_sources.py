@@ -133,6 +133,22 @@ def test_sinks_are_idempotent(spark, tmp_path):
     assert back.columns == list(sinks.REVIEW_COLUMNS) and back.first().confidence == "1.00" and back.first().name == 'N, "q"'
 
 
+def test_archives_are_unpacked_where_executors_read(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "e.zip", "w") as z:
+        z.writestr("top/ratings.csv", "\ufeffDate,Name,Year,Letterboxd URI,Rating\n2023-01-01,Ünder,1999,u1,4.5\n")
+        z.writestr("top/profile.csv", "secret\n")
+    folder = export.unpacked(spark, str(tmp_path / "e.zip"), f"file://{tmp_path}/shared")
+    assert [tuple(r) for r in export.scan(spark, f"{folder}/ratings.csv", "ratings.csv").select("uri", "name", "rating").collect()] == [("u1", "Ünder", "4.5")]
+    assert sorted(p.name for p in (tmp_path / "shared").rglob("*.csv")) == ["ratings.csv"]
+
+
+def test_run_payloads_are_finite_and_rounded(spark):
+    rows = spark.createDataFrame([("u", 0.123456, float("nan"), 3)], "upload_id string, a double, b double, n int")
+    assert tuple(sinks.payload(rows).first()) == ("u", 0.1235, 0.0, 3)
+
+
 def test_stream_merges_batches(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = [{"upload_id": "a", "uri": "u1", "name": "N", "year": "1999", "rating": "4.5", "date": "2023-01-01", "arrived": "2023-01-01T00:00:00"}, {"upload_id": "a", "uri": "u2", "name": "N", "year": "", "rating": "x", "date": "", "arrived": "2023-01-01T00:00:00"}]
