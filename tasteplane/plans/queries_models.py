@@ -46,13 +46,20 @@ def _(d):
     return rounded(expectation.ridge_fit(d.library(), context=()))
 
 
-#: ridge on all of the context: Gram sums, then Gauss-Jordan steps over a matrix of lists
-RIDGE = """cells AS (SELECT upload_id, film_id, rating, unnest([{'f': '1', 'v': 1.0::DOUBLE}, {'f': 'average', 'v': vote_average::DOUBLE}, {'f': 'votes', 'v': ln(1 + vote_count)}, {'f': 'country:' || country, 'v': 1.0}, {'f': 'decade:' || (year // 10 * 10), 'v': 1.0}]
-    || list_transform(list_distinct(genres), lambda g: {'f': 'genre:' || g, 'v': 1.0::DOUBLE})) AS c FROM library),
-feats AS (SELECT upload_id, film_id, rating, c.f AS f, c.v AS v FROM cells WHERE c.v <> 0),
+def _cells(name: str, source: str, diary: bool = False) -> str:
+    """The non-zero features of the rows of ``source``: upload_id, film_id, f, v."""
+    more = "{'f': 'diary', 'v': in_diary::INT::DOUBLE}, " if diary else ""
+    return f"""{name}_all AS (SELECT upload_id, film_id, unnest([{more}{{'f': '1', 'v': 1.0::DOUBLE}}, {{'f': 'average', 'v': vote_average::DOUBLE}}, {{'f': 'votes', 'v': ln(1 + vote_count)}}, {{'f': 'country:' || country, 'v': 1.0}}, {{'f': 'decade:' || (year // 10 * 10), 'v': 1.0}}]
+    || list_transform(list_distinct(genres), lambda g: {{'f': 'genre:' || g, 'v': 1.0::DOUBLE}})) AS c FROM {source}),
+{name} AS (SELECT upload_id, film_id, c.f AS f, c.v AS v FROM {name}_all WHERE c.v <> 0)"""
+
+
+def _ridge(source: str = "library", target: str = "rating", diary: bool = False) -> str:
+    """CTEs that end in ridge: Gram sums over all of the context, then Gauss-Jordan steps over a matrix of lists."""
+    return _cells("feats", source, diary) + f""",
 names AS (SELECT upload_id, f, row_number() OVER (PARTITION BY upload_id ORDER BY f) AS i, count(*) OVER (PARTITION BY upload_id) AS p FROM (SELECT DISTINCT upload_id, f FROM feats)),
 gram AS (SELECT a.upload_id, a.f AS fa, b.f AS fb, sum(a.v * b.v) AS s FROM feats a JOIN feats b USING (upload_id, film_id) GROUP BY 1, 2, 3),
-moment AS (SELECT upload_id, f, sum(v * rating) AS m FROM feats GROUP BY 1, 2),
+moment AS (SELECT upload_id, f, sum(v * {target}) AS m FROM feats JOIN {source} USING (upload_id, film_id) GROUP BY 1, 2),
 line AS (SELECT a.upload_id, a.i, a.p, list(coalesce(s, 0) + CASE WHEN a.i = b.i AND a.f <> '1' THEN 10 ELSE 0 END ORDER BY b.i) || [any_value(m)] AS r
   FROM names a JOIN names b USING (upload_id) LEFT JOIN gram g ON g.upload_id = a.upload_id AND g.fa = a.f AND g.fb = b.f JOIN moment m ON m.upload_id = a.upload_id AND m.f = a.f GROUP BY 1, 2, 3),
 steps AS (SELECT 1 AS k, upload_id, i, p, r FROM line UNION ALL
@@ -61,12 +68,12 @@ steps AS (SELECT 1 AS k, upload_id, i, p, r FROM line UNION ALL
 ridge AS (SELECT s.upload_id, n.f AS feature, s.r[s.p + 1] AS coefficient FROM steps s JOIN names n ON n.upload_id = s.upload_id AND n.i = s.i WHERE s.k = s.p + 1)"""
 
 
-@query("ridge_expectation", f"WITH RECURSIVE {v.LIBRARY}, {RIDGE} SELECT upload_id, feature, round(coefficient, 6) + 0.0::DOUBLE AS coefficient FROM ridge")
+@query("ridge_expectation", f"WITH RECURSIVE {v.LIBRARY}, {_ridge()} SELECT upload_id, feature, round(coefficient, 6) + 0.0::DOUBLE AS coefficient FROM ridge")
 def _(d):
     return rounded(expectation.ridge_fit(d.library()))
 
 
-@query("rich_residuals", f"WITH RECURSIVE {v.LIBRARY}, {RIDGE} SELECT upload_id, film_id, round(any_value(rating) - sum(f.v * coefficient), 5) + 0.0::DOUBLE AS residual FROM feats f JOIN ridge r USING (upload_id) WHERE r.feature = f.f GROUP BY 1, 2")
+@query("rich_residuals", f"WITH RECURSIVE {v.LIBRARY}, {_ridge()}, e AS (SELECT upload_id, film_id, sum(f.v * coefficient) AS expected FROM feats f JOIN ridge r USING (upload_id) WHERE r.feature = f.f GROUP BY 1, 2) SELECT upload_id, film_id, round(rating - expected, 5) + 0.0::DOUBLE AS residual FROM library JOIN e USING (upload_id, film_id)")
 def _(d):
     lib = d.library()
     return rounded(expectation.fit_predict(lib, lib).withColumn("residual", F.col("rating") - F.col("expected")).select("upload_id", "film_id", "residual"), 5)
@@ -273,12 +280,61 @@ def _(d):
     return rounded(recommend.gaps(side(F.col("role").isin(*BELOW_THE_LINE)), side("role = 'director'"), 20), 5)
 
 
-@query("disagreement_gaps")
+def _expectations(kind: str, target: str = "rating") -> str:
+    """CTEs from the tables to expected: the rows of both blocks with what a fit on the train block expects."""
+    head = f"WITH RECURSIVE {v.BASE}, {SPLIT}, "
+    if kind == "simple":
+        return head + v.simple(target, train="train", rows="split")
+    diary = target == "preference"
+    return f"{head}{_ridge('train', target, diary)}, {_cells('own', 'split', diary)}, told AS (SELECT upload_id, film_id, sum(o.v * coefficient) AS expected FROM own o JOIN ridge r USING (upload_id) WHERE r.feature = o.f GROUP BY 1, 2), expected AS (SELECT split.*, told.expected FROM split JOIN told USING (upload_id, film_id))"
+
+
+def _rung(kind: str, who: str = "", how: str = "mean", target: str = "rating", source: str = "lib_credit") -> str:
+    """upload_id, film_id, predicted, actual of one predictor on the test block, as a derived table: an expectation, or the people of ``who`` on top of it."""
+    if not who:
+        return f"({_expectations(kind, target)} SELECT upload_id, film_id, round(expected, 7) AS predicted, rating::DOUBLE AS actual FROM expected WHERE block = 'test')"
+    agg = {"mean": "avg(effect)", "max": "arg_max(effect, (round(abs(effect), 12), -person_id))", "weighted": "sum(effect / power(greatest(stderr, 1e-6), 2)) / sum(1 / power(greatest(stderr, 1e-6), 2))"}[how]
+    return f"""({_expectations(kind, target)}, on_train AS (SELECT * REPLACE ({target} AS rating) FROM expected WHERE block = 'train'), chosen AS (SELECT * FROM {source} WHERE {who}),
+train_credit AS (SELECT s.* FROM chosen s JOIN train t ON s.upload_id = t.upload_id AND s.film_id = t.film_id), {v.effects(source='train_credit', expected='on_train')},
+per_role AS (SELECT s.upload_id, film_id, role, {agg} AS e FROM chosen s JOIN effect USING (upload_id, role, person_id) GROUP BY 1, 2, 3), adj AS (SELECT upload_id, film_id, avg(e) AS adjustment FROM per_role GROUP BY 1, 2)
+SELECT upload_id, film_id, round(expected + coalesce(adjustment, 0), 7) AS predicted, rating::DOUBLE AS actual FROM expected LEFT JOIN adj USING (upload_id, film_id) WHERE block = 'test')"""
+
+
+def _scored(rungs: dict[str, str]) -> str:
+    """The headline metrics of derived tables by predictor."""
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS predictor, * FROM {sql}" for name, sql in rungs.items())
+    return f"""WITH preds AS ({rows}), placed AS (SELECT *, row_number() OVER (PARTITION BY predictor, upload_id ORDER BY predicted DESC, film_id) AS place, avg(predicted - actual) OVER (PARTITION BY predictor, upload_id) AS shift,
+  rank() OVER (PARTITION BY predictor, upload_id ORDER BY predicted) + (count(*) OVER (PARTITION BY predictor, upload_id, predicted) - 1) / 2.0 AS rp, rank() OVER (PARTITION BY predictor, upload_id ORDER BY actual) + (count(*) OVER (PARTITION BY predictor, upload_id, actual) - 1) / 2.0 AS ra FROM preds),
+m AS (SELECT predictor, upload_id, count(*)::BIGINT AS n, coalesce(avg((actual >= 4)::INT) FILTER (place <= 20), 0) AS headline_precision, avg((actual >= 4)::INT) AS headline_base, coalesce(avg((actual >= 4.5)::INT) FILTER (place <= 100), 0) AS gate_precision, avg((actual >= 4.5)::INT) AS gate_base,
+  CASE WHEN min(predicted) = max(predicted) OR min(actual) = max(actual) THEN 0 ELSE corr(rp::DOUBLE, ra::DOUBLE) END AS spearman, avg(abs(predicted - actual)) AS mae, sqrt(avg(power(predicted - actual, 2))) AS rmse, avg(abs(predicted - actual - shift)) AS mae_centred FROM placed GROUP BY 1, 2)
+SELECT predictor, upload_id, n, round(headline_precision, 5) AS headline_precision, round(headline_base, 5) AS headline_base, round(gate_precision, 5) AS gate_precision, round(gate_base, 5) AS gate_base, round(CASE WHEN headline_base > 0 THEN headline_precision / headline_base ELSE 0 END, 5) AS headline_lift,
+  round(CASE WHEN gate_base > 0 THEN gate_precision / gate_base ELSE 0 END, 5) AS gate_lift, round(spearman, 5) + 0.0::DOUBLE AS spearman, round(mae, 5) AS mae, round(rmse, 5) AS rmse, round(mae_centred, 5) AS mae_centred FROM m"""
+
+
+def _scores(d, credits, rungs: dict):
+    rows = ladder.predictions(_split(d), credits, rungs).withColumn("predicted", F.round("predicted", 7))
+    return rounded(metrics.score(rows, ["predictor", "upload_id"]), 5)
+
+
+@query("disagreement_gaps", f"SELECT upload_id, film_id, round(one, 5) AS one, round(two, 5) AS two, round(gap, 5) + 0.0::DOUBLE AS gap, place FROM (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY round(abs(gap), 9) DESC, film_id)::INT AS place FROM (SELECT a.upload_id, a.film_id, a.predicted AS one, b.predicted AS two, a.predicted - b.predicted AS gap FROM {_rung('rich', BELOW)} a JOIN {_rung('rich', DIRECTORS)} b USING (upload_id, film_id))) WHERE place <= 20")
 def _(d):
     s = _split(d)
     train, test = s.filter("block = 'train'"), s.filter("block = 'test'")
     credits = d.film_credits()
-    return rounded(recommend.gaps(ladder.below_the_line(train, test, credits), ladder.of_role("director")(train, test, credits), 20))
+    side = lambda rung: rung(train, test, credits).withColumn("predicted", F.round("predicted", 7))
+    return rounded(recommend.gaps(side(ladder.below_the_line), side(ladder.of_role("director")), 20), 5)
+
+
+GENRES = "(SELECT DISTINCT upload_id, film_id, 'genre' AS role, unnest(genres) AS person_id FROM library)"
+RUNGS = {
+    "global_mean": f"(WITH {v.LIBRARY}, {SPLIT} SELECT test.upload_id, film_id, round(m, 7) AS predicted, rating::DOUBLE AS actual FROM test JOIN (SELECT upload_id, avg(rating) AS m FROM train GROUP BY 1) USING (upload_id))",
+    "popularity": _rung("simple"), "context": _rung("rich"), "genre": _rung("simple", "true", source=GENRES), "director": _rung("rich", DIRECTORS), "cast": _rung("rich", "role = 'actor'"), "crew": _rung("rich", BELOW),
+}
+
+
+@query("ladder_scores", _scored(RUNGS))
+def _(d):
+    return _scores(d, d.film_credits(), ladder.LADDER)
 
 
 @query("evaluate_ladder")
@@ -399,9 +455,8 @@ def _(d):
     return rounded(ridge_crew.attribution(crew.effects(residuals, below), ridge_crew.fit(residuals, below), ridge_crew.fit(residuals, credits)))
 
 
-@query("crew_variants")
+@query("crew_variants", _scored({"_".join(x): _rung(x[0], BELOW, x[1], x[2]) for x in ladder.VARIANTS}))
 def _(d):
-    s = _split(d)
     credits = d.film_credits().filter(F.col("role").isin(*BELOW_THE_LINE))
     rungs = {"_".join(x): (lambda train, test, c, x=x: ladder.people(train, test, c, x[0], x[1], "mean", x[2])) for x in ladder.VARIANTS}
-    return rounded(ladder.evaluate(s, credits, rungs))
+    return _scores(d, credits, rungs)
