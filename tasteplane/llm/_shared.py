@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -76,6 +77,38 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: rows of an Arrow batch: texts may be long, and both sides hold some batches at once
+ARROW_ROWS = 1_000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system: Python workers are used again, and idle ones should hold little."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # elsewhere than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` in small batches (the session's setting is lowered to ARROW_ROWS if it is higher)."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ARROW_ROWS)) <= ARROW_ROWS:
+        conf.set(_ARROW_ROWS, str(ARROW_ROWS))
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def unused(name: str, *tables: DataFrame) -> str:
     """``name``, lengthened until no column of ``tables`` has it (whatever its case)."""
     taken = {c.lower() for t in tables for c in t.columns}

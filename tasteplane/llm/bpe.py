@@ -32,6 +32,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tasteplane.llm._shared import arrow_map
+
 #: white space of the normaliser's \s: the Unicode property, without the separators U+001C to U+001F
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: words of a generation, pairs that are remembered, and the length up to which a word is (each entry stays under 1 KB)
@@ -285,4 +287,4 @@ def tokenized(docs: DataFrame, spec: str, with_ids: bool = False, keep: list[str
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], [*names, *keep])
         enc.forget()
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    return arrow_map(docs.select("doc_id", F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep]), run, schema)

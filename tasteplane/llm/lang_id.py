@@ -36,7 +36,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasteplane.llm._shared import unused
+from tasteplane.llm._shared import arrow_map, unused
 
 SAMPLE_DOCS, MOST_LANGUAGES, ROUNDS, LONGEST = 1_000, 1_000, 4, 32
 UNKNOWN, SMOOTHING = 1e-8, 0.01
@@ -314,4 +314,4 @@ def identified(docs: DataFrame, model: Model, keep: list[str] | None = None) ->
             columns = [batch.column(i) for i in places]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([g[0] for g in got], pa.string()), *[pa.array([g[k] for g in got], pa.float64()) for k in (1, 2)]], [*keep, *names])
 
-    return docs.mapInArrow(run, schema), *names
+    return arrow_map(docs, run, schema), *names

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasteplane.llm._shared import discard, may_be_in, release, stored, text_or_empty, unused
+from tasteplane.llm._shared import arrow_map, discard, may_be_in, release, stored, text_or_empty, unused
 
 MIN_DOCS, MIN_TOKENS, LONG_BYTES, LONG_TOKENS = 3, 3, 90, 50
 LEADING, GENERAL_FROM, THIRDS_FROM = 2, 5, 9
@@ -110,7 +110,7 @@ def document_templates(docs: DataFrame) -> DataFrame:
             yield full()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "key long, row long, place long")
+    return arrow_map(rows, run, "key long, row long, place long")
 
 
 def recurring_templates(named: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -174,7 +174,7 @@ def deduplicated_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataF
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, n_lines, n_dropped])
 
-    return joined.mapInArrow(run, schema), n_lines, n_dropped
+    return arrow_map(joined, run, schema), n_lines, n_dropped
 
 
 def report(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

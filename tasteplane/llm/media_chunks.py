@@ -38,7 +38,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasteplane.llm._shared import discard, release, remove, scratch, stored, text_or_empty
+from tasteplane.llm._shared import arrow_map, discard, release, remove, scratch, stored, text_or_empty
 
 BLOCK, PAD, RATE = 576, b"\xff", 8_000
 LEAST, MASK_BITS, MOST, WINDOW = 512, 11, 8_192, 32
@@ -156,7 +156,7 @@ def recipes(docs: DataFrame) -> DataFrame:
                 lists.append([digest(c) for c in chunked(media)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media_id", "digests"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media_id binary, digests array<binary>")
+    return arrow_map(docs.select("doc_id", text_or_empty().alias("text")), run, "doc_id long, n_bytes long, media_id binary, digests array<binary>")
 
 
 def _packed(docs: DataFrame, trained: bytes) -> DataFrame:
@@ -174,7 +174,7 @@ def _packed(docs: DataFrame, trained: bytes) -> DataFrame:
                     found[key] = press.compress(media)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["media_id", "z"])
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "media_id binary, z binary")
+    return arrow_map(docs.select(text_or_empty().alias("text")), run, "media_id binary, z binary")
 
 
 REFERENCES = "digest binary, media_id binary, seq int"
@@ -219,7 +219,7 @@ def store(docs: DataFrame, owners: DataFrame, references: DataFrame, trained: by
                 rows.append({"media_id": r["media_id"], "n_bytes": len(media), "digests": [digest(c) for c in chunks], "sizes": [len(c) for c in chunks], "borrowed": sorted(away), "lent": sorted(r["lent"]), "pack": own})
             yield pa.RecordBatch.from_pylist(rows, schema=_arrow_store())
 
-    return both.mapInArrow(run, STORE)
+    return arrow_map(both, run, STORE)
 
 
 def _arrow_store():
@@ -256,7 +256,7 @@ def lent_chunks(kept: DataFrame, trained: bytes = b"") -> DataFrame:
                 chunks += [press.compress(own[i]) for i in r["lent"]]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(chunks, pa.binary())], ["digest", "chunk"])
 
-    return kept.filter(F.size("lent") > 0).drop("n_bytes", "parts").mapInArrow(run, "digest binary, chunk binary")
+    return arrow_map(kept.filter(F.size("lent") > 0).drop("n_bytes", "parts"), run, "digest binary, chunk binary")
 
 
 def read_back(kept: DataFrame, references: DataFrame, trained: bytes = b"") -> DataFrame:
@@ -285,7 +285,7 @@ def read_back(kept: DataFrame, references: DataFrame, trained: bytes = b"") -> D
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return whole.unionByName(mended).mapInArrow(run, schema)
+    return arrow_map(whole.unionByName(mended), run, schema)
 
 
 def write_store(docs: DataFrame, recipe: DataFrame, path: str) -> None:

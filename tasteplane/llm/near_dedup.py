@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tasteplane.llm._shared import discard, may_be_in, release, stored, text_or_empty, unused
+from tasteplane.llm._shared import arrow_map, discard, may_be_in, release, stored, text_or_empty, unused
 
 THRESHOLD, ROWS, BANDS = 0.8, 5, 36
 #: classes and shingles (8 bytes each) of a block
@@ -149,7 +149,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "fp", "keys"])
 
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, fp binary, keys array<long>")
+    return arrow_map(rows, run, "doc_id long, text_key long, n_shingles long, fp binary, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -169,7 +169,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                     sets.append(shingler.set_of(words).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(sets, pa.binary())], ["fp", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "fp binary, shingles binary")
+    return arrow_map(docs.select("text"), run, "fp binary, shingles binary")
 
 
 def _groups(batches, columns: list[str]) -> Iterator:
@@ -265,7 +265,7 @@ def _verified(blocks: DataFrame, keys: list[str], threshold: float) -> DataFrame
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     dealt = blocks.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "fp")
-    return stored(dealt.mapInArrow(run, "a binary, b binary").distinct(), "links")
+    return stored(arrow_map(dealt, run, "a binary, b binary").distinct(), "links")
 
 
 def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tasteplane.llm._shared import stored, text_or_empty
+from tasteplane.llm._shared import arrow_map, stored, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "person")
 BASE_KINDS = KINDS[:4]
@@ -267,7 +267,7 @@ def candidates(docs: DataFrame, names: frozenset[str] = GIVEN_NAMES) -> DataFram
                     out.append([{"kind": k, "start": s, "end": e, "votes": votes(text, k, s, e, names), "features": features(text, k, s, e)} for k, s, e in spans])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(shas, pa.string()), pa.array(base, span), pa.array(added, span)], ["doc_id", "base_sha256", "base", "added"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id long, base_sha256 string, base {SPANS}, added {SPANS}")
+    return arrow_map(docs.select("doc_id", text_or_empty().alias("text")), run, f"doc_id long, base_sha256 string, base {SPANS}, added {SPANS}")
 
 
 #: candidates that a labeler's reliability over all kinds counts for in a kind's own
