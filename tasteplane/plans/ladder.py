@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,18 @@ VARIANTS = (("simple", "mean", "rating"), ("rich", "mean", "rating"), ("rich", "
 GATE_PAIRS = (("crew", "director"), ("crew", "context"), ("crew", "genre"), ("crew_ridge", "director"), ("crew", "crew_ridge"), ("genre", "director"))
 
 
+#: fits of a train block that is still in use, for the rungs share them
+_fits: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def context_fit(train: DataFrame, target: str = "rating") -> DataFrame:
+    """The ridge on context of a train block: a few coefficients an upload, computed once for all rungs."""
+    held = _fits.setdefault(train, {})
+    if target not in held:
+        held[target] = expectation.ridge_fit(train, target, diary=target == "preference").persist()
+    return held[target]
+
+
 def global_mean(train: DataFrame, test: DataFrame, credits: DataFrame) -> DataFrame:
     return test.join(train.groupBy("upload_id").agg(F.avg("rating").alias("predicted")), "upload_id")
 
@@ -22,7 +36,7 @@ def popularity(train: DataFrame, test: DataFrame, credits: DataFrame) -> DataFra
 
 
 def context(train: DataFrame, test: DataFrame, credits: DataFrame) -> DataFrame:
-    return expectation.fit_predict(train, test).withColumnRenamed("expected", "predicted")
+    return expectation.ridge_predict(test, context_fit(train)).withColumnRenamed("expected", "predicted")
 
 
 def people(train: DataFrame, test: DataFrame, credits: DataFrame, kind: str = "rich", combine: str = "mean", across: str = "mean", target: str = "rating") -> DataFrame:
@@ -32,7 +46,7 @@ def people(train: DataFrame, test: DataFrame, credits: DataFrame, kind: str = "r
         on_train, on_test = expectation.simple_predict(train, fit), expectation.simple_predict(test, fit)
     else:
         diary = target == "preference"
-        fit = expectation.ridge_fit(train, target, diary=diary)
+        fit = context_fit(train, target)
         on_train, on_test = expectation.ridge_predict(train, fit, diary=diary), expectation.ridge_predict(test, fit, diary=diary)
     fitted = crew.effects(on_train.withColumn("residual", F.col(target) - F.col("expected")), credits)
     return crew.predicted(on_test, crew.adjustments(test, credits, fitted, combine, across))
@@ -55,7 +69,7 @@ def below_the_line(train: DataFrame, test: DataFrame, credits: DataFrame) -> Dat
 
 def ridge(train: DataFrame, test: DataFrame, credits: DataFrame) -> DataFrame:
     some = credits.filter(F.col("role").isin(*BELOW_THE_LINE))
-    fit = expectation.ridge_fit(train)
+    fit = context_fit(train)
     on_train = expectation.ridge_predict(train, fit).withColumn("residual", F.col("rating") - F.col("expected"))
     return ridge_crew.predicted(expectation.ridge_predict(test, fit), some, ridge_crew.fit(on_train, some))
 
