@@ -109,6 +109,7 @@ def choose(queries: DataFrame, compared: DataFrame) -> DataFrame:
     near = F.col("near")
     far_more = F.coalesce(near["vote_count"] >= DOMINANCE * (-ey["lead"]["minus"]), F.lit(False))
     hint = F.when(far_more, F.format_string("; but %d (%d, %d votes) is far more popular and one year off", -near["minus_id"], near["year"], near["vote_count"])).otherwise(F.lit(""))
+    # fixed values: the reasons are stored with the answers
     rules: list[tuple[Column, Column | None, str, Column | None, bool, Column]] = [
         (F.coalesce(F.col("n_plausible"), F.lit(0)) == 0, None, "unresolved", None, True, F.lit("no candidate above threshold")),
         (F.col("query_year").isNull() & (F.col("any_exact")["n"] == 1), F.col("any_exact")["lead"]["film_id"], "exact", F.lit(1.0), False, F.lit("exact title, no year available")),
