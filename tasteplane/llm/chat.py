@@ -8,8 +8,8 @@ backslash is put after the first character of each control string. ``unescaped``
 Edge cases: null text is empty; a null or unknown role is formatted with the template's
 ``other`` marks, carries no loss and makes the conversation invalid; turns are ordered by
 (turn, role, text), so ties and repeated rows have one defined order and repeated rows stay;
-conversations with null ids form one conversation; an empty table gives no rows; other
-columns are ignored. A conversation's text is one value of its result row by contract, so
+conversations with null ids form one conversation; an empty table gives no rows; very long
+texts are formatted whole; other columns are ignored, whatever their names. A conversation's text is one value of its result row by contract, so
 its turns meet in one task; hot texts or turns that occur in many conversations do not.
 """
 

@@ -49,9 +49,9 @@ def test_memory_of_words_is_bounded(both, monkeypatch):
 def test_table(spark, both):
     _, library = both
     spec = bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
-    rows = [r for r in ROWS if r[0] is not None]
-    out = bpe.tokenized(documents(spark, rows), spec, with_ids=True).collect()
-    assert len(out) == len(rows)
+    rows = [*ROWS, (20, "漢字" * 50_000 + "x" * 200_000, "en", "s", 0, None, None)]  # a null doc_id and a long text without spaces among them
+    out = bpe.tokenized(documents(spark, rows), spec, with_ids=True, keep=["source"]).collect()
+    assert len(out) == len(rows) and {r.doc_id: r.source for r in out} == {r[0]: r[3] for r in rows}
     want = {r[0]: library.encode(r[1] or "", add_special_tokens=False).ids for r in rows}
     for r in out:
         assert r.ids == want[r.doc_id] and r.n_tokens == len(r.ids)

@@ -261,3 +261,10 @@ def test_many_spans_in_one_text_have_small_keys(spark):
     assert dict(secret_scan.candidates(docs).dtypes)["key"] == "bigint"
     out = secret_scan.digests(secret_scan.scan(docs)).collect()
     assert sorted((r.doc_id, r.n_hex) for r in out) == [(1, 3_000), (1, 3_000), (2, 3_000), (3, 0)]
+
+
+def test_very_long_turns(spark):
+    user, said = "x" * 1_000_000 + "<s>", "y" * 1_000_000
+    turns = spark.createDataFrame([(1, 0, "user", user), (1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    r = chat.read_back(chat.format_chats(turns)).first()
+    assert (r.loss_chars, r.loss_sha256, r.turns_sha256) == (1_000_000, sha(said), sha(f"user\n{user}\nassistant\n{said}\n")) and r.valid
