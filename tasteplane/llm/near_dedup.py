@@ -388,7 +388,8 @@ def _components(docs: DataFrame, width: int, threshold: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 4, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept."""
     rows = stored(_components(docs, width, threshold), "rows-labelled")
-    smallest = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # a table of its own: sums are then made before rows of one label meet, and AQE can split the join
+    smallest = stored(rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
     out = rows.join(smallest, "label", "left")
     component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
