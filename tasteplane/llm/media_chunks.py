@@ -43,7 +43,7 @@ from tasteplane.llm._shared import arrow_map, discard, release, remove, scratch,
 BLOCK, PAD, RATE = 576, b"\xff", 8_000
 LEAST, MASK_BITS, MOST, WINDOW = 512, 11, 8_192, 32
 #: packs are compressed with a dictionary from about SAMPLE_DOCS texts (of each at most SAMPLE_CHARS); it only saves space
-LEVEL, SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 12, 2_000, 16_384, 112_640
+LEVEL, SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 14, 2_000, 16_384, 112_640
 
 
 def payload(text: str) -> bytes:
