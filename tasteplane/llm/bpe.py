@@ -37,7 +37,7 @@ from tasteplane.llm._shared import arrow_map
 #: white space of the normaliser's \s: the Unicode property, without the separators U+001C to U+001F
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: words of a generation, pairs that are remembered, and the length up to which a word is (each entry stays under 1 KB)
-REMEMBERED_WORDS, REMEMBERED_PAIRS, REMEMBERED_LENGTH = 110_000, 200_000, 48
+REMEMBERED_WORDS, REMEMBERED_PAIRS, REMEMBERED_LENGTH = 150_000, 200_000, 48
 _END = 0x10000  # added to a character to mark it as the last of a word
 
 
