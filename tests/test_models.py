@@ -254,3 +254,24 @@ def test_roles(spark):
     assert with_roles(rows).count() == 2 and len(BELOW_THE_LINE) == 11 and len(ALL_ROLES) == 12 and PRODUCT_ROLES[0] == "actor"
     m = library.crew_map(spark.createDataFrame([(1, "editor", 3), (1, "editor", 2), (1, "editor", 3)], CREDITS)).first()
     assert m.crew == {"editor": [2, 3]}
+
+
+def test_ridge_by_components_equals_the_joint_design(spark, monkeypatch):
+    """Blocks without a common film, and columns solved in slices, give the coefficients and the penalty of the whole design."""
+    rng = np.random.default_rng(5)
+    credits = [(f, "editor" if p % 2 else "writer", p) for b, (n, k) in enumerate(((30, 8), (6, 20))) for f in range(100 * b, 100 * b + n) for p in range(50 * b, 50 * b + k) if rng.random() < 0.4]
+    films = {f: float(rng.normal()) for f in [*range(30), *range(100, 106), 900, 901]}
+    n = {}
+    for _, r, p in credits:
+        n[r, p] = n.get((r, p), 0) + 1
+    names, ids = sorted(k for k in n if n[k] >= 2), sorted(films)
+    x = np.array([[float((f, *k) in set(credits)) for k in names] for f in ids])
+    alpha, b = ridge_crew.sparse_ridge(*np.nonzero(x), x[np.nonzero(x)], np.array([films[f] for f in ids]), len(names))
+    rows = spark.createDataFrame([("u", f, r) for f, r in films.items()], "upload_id string, film_id long, residual double")
+    people = spark.createDataFrame(credits, "film_id long, role string, person_id long")
+    assert {r.component for r in ridge_crew.components(people).collect()} == {0, 100}
+    for dense in (8_000, 3):
+        monkeypatch.setattr(ridge_crew, "DENSE", dense)
+        got = {(r.role, r.person_id): r for r in ridge_crew.fit(rows, people).collect()}
+        assert sorted(got) == names and {r.alpha for r in got.values()} == {alpha} and [got[k].n_films for k in names] == [n[k] for k in names]
+        assert [got[k].coefficient for k in names] == pytest.approx(list(b), abs=1e-8)
