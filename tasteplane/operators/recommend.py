@@ -37,7 +37,7 @@ def scoreable(films: DataFrame, library: DataFrame, credits: DataFrame, fitted:
     They are reached from the effects through credits, so films and uploads are not multiplied. The
     reason is the person of largest effect (ties: role order, then id); ``n_known`` people are known.
     """
-    known = fitted.select("upload_id", "role", "person_id", "effect", "stderr").join(credits, ["role", "person_id"])
+    known = crew.of_films(fitted, credits, "effect", *(("stderr",) if combine == "weighted" else ()))
     below = F.col("role").isin(*BELOW_THE_LINE)
     order = F.coalesce(*[F.when(F.col("role") == r, F.lit(i)) for i, r in enumerate(BELOW_THE_LINE)], F.lit(99))
     best = F.min(F.when(below, F.struct((-F.abs("effect")).alias("size"), order.alias("ord"), "person_id", "role", "effect")))

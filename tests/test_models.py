@@ -275,3 +275,13 @@ def test_ridge_by_components_equals_the_joint_design(spark, monkeypatch):
         got = {(r.role, r.person_id): r for r in ridge_crew.fit(rows, people).collect()}
         assert sorted(got) == names and {r.alpha for r in got.values()} == {alpha} and [got[k].n_films for k in names] == [n[k] for k in names]
         assert [got[k].coefficient for k in names] == pytest.approx(list(b), abs=1e-8)
+
+
+def test_credits_travel_once_for_all_uploads(spark):
+    rows = spark.createDataFrame([("a", 1, 0.5), ("b", 1, -1.0), ("a", 2, 2.0)], "upload_id string, film_id long, residual double")
+    people = spark.createDataFrame([(1, "editor", 7), (2, "editor", 7), (1, "director", 9), (2, "director", 9), (3, "editor", 8)], "film_id long, role string, person_id long")
+    assert sorted(map(tuple, crew.of_people(rows, people, "residual").filter("role = 'editor'").collect())) == [("editor", 7, "a", 0.5), ("editor", 7, "a", 2.0), ("editor", 7, "b", -1.0)]
+    fitted = spark.createDataFrame([("a", "editor", 7, 0.1), ("b", "editor", 7, 0.2)], "upload_id string, role string, person_id long, effect double")
+    assert sorted(map(tuple, crew.of_films(fitted, people, "effect", uploads=rows).collect())) == [(1, "editor", 7, "a", 0.1), (1, "editor", 7, "b", 0.2), (2, "editor", 7, "a", 0.1)]
+    assert crew.of_films(fitted, people, "effect").count() == 4
+    assert sorted(map(tuple, crew.inseparability(rows, people).collect())) == [("a", "editor", 7, 9, 1.0), ("b", "editor", 7, None, 0.0)]
