@@ -285,3 +285,13 @@ def test_credits_travel_once_for_all_uploads(spark):
     assert sorted(map(tuple, crew.of_films(fitted, people, "effect", uploads=rows).collect())) == [(1, "editor", 7, "a", 0.1), (1, "editor", 7, "b", 0.2), (2, "editor", 7, "a", 0.1)]
     assert crew.of_films(fitted, people, "effect").count() == 4
     assert sorted(map(tuple, crew.inseparability(rows, people).collect())) == [("a", "editor", 7, 9, 1.0), ("b", "editor", 7, None, 0.0)]
+
+
+def test_groups_are_summed_by_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    films = [np.sort(rng.choice(30, int(k), replace=False)) + 100 for k in rng.integers(1, 9, 12)]
+    groups = inference._Groups(np.arange(100, 130), np.array(["editor", "writer"] * 6), np.arange(12), films)
+    residuals = rng.normal(size=(30, 4))
+    whole = groups.effects(residuals)
+    monkeypatch.setattr(inference, "_CELLS", 9)
+    assert np.allclose(groups.effects(residuals), whole) and inference._at_once(30) == 1 and whole.shape == (12, 4)
