@@ -63,9 +63,12 @@ def role_coverage(films: DataFrame, credits: DataFrame, *groups: str) -> DataFra
 
 def crew_sizes(films: DataFrame, credits: DataFrame) -> DataFrame:
     """Credit rows, exact median crew size (mean of the middle two), and films with several people in one role."""
-    n = films.select("film_id").distinct().join(credits, "film_id").groupBy("film_id").agg(F.count("*").alias("n"))
-    several = films.select("film_id").distinct().join(credits, "film_id").groupBy("film_id", "role").agg(F.count_distinct("person_id").alias("p")).filter("p > 1").select("film_id").distinct()
-    return n.agg(F.sum("n").alias("credits"), F.percentile("n", F.lit(0.5)).alias("median_crew"), F.count("*").alias("films")).join(several.agg(F.count("*").alias("multi_credit_films")), how="cross")
+    # smallest and largest person differ if there are several; crews are counted by size, so no task holds more than the sizes
+    roles = credits.groupBy("film_id", "role").agg(F.count("*").alias("n"), (F.min("person_id") < F.max("person_id")).alias("several"))
+    each = roles.groupBy("film_id").agg(F.sum("n").alias("n"), F.max(F.coalesce("several", F.lit(False)).cast("long")).alias("several"))
+    sizes = each.join(films.select("film_id"), "film_id", "left_semi").groupBy("n").agg(F.count("*").alias("films"), F.sum("several").alias("several"))
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return sizes.agg(F.sum(F.col("n") * F.col("films")).alias("credits"), F.percentile("n", F.lit(0.5), F.col("films")).alias("median_crew"), count("films").alias("films"), count("several").alias("multi_credit_films"))
 
 
 def pooled_regions(films: DataFrame, least: int = POOL_FROM) -> DataFrame:
