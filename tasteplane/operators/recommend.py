@@ -37,13 +37,14 @@ def scoreable(films: DataFrame, library: DataFrame, credits: DataFrame, fitted:
     They are reached from the effects through credits, so films and uploads are not multiplied. The
     reason is the person of largest effect (ties: role order, then id); ``n_known`` people are known.
     """
+    eligible = films.filter((F.coalesce("vote_count", F.lit(0)) >= least_votes) & F.col("vote_average").isNotNull())
+    credits = credits.join(eligible.select("film_id"), "film_id", "left_semi")
     known = crew.of_films(fitted, credits, "effect", *(("stderr",) if combine == "weighted" else ()))
     below = F.col("role").isin(*BELOW_THE_LINE)
     order = F.coalesce(*[F.when(F.col("role") == r, F.lit(i)) for i, r in enumerate(BELOW_THE_LINE)], F.lit(99))
     best = F.min(F.when(below, F.struct((-F.abs("effect")).alias("size"), order.alias("ord"), "person_id", "role", "effect")))
     per_role = known.groupBy("upload_id", "film_id", "role").agg(crew.combined(combine).alias("e"), best.alias("b"), F.count_if(below).alias("n"))
     per_film = per_role.groupBy("upload_id", "film_id").agg(crew.across_roles(across).alias("adjustment"), F.min("b").alias("b"), F.sum("n").alias("n_known")).filter("n_known > 0")
-    eligible = films.filter((F.coalesce("vote_count", F.lit(0)) >= least_votes) & F.col("vote_average").isNotNull())
     out = per_film.join(library.select("upload_id", "film_id"), ["upload_id", "film_id"], "left_anti").join(eligible, "film_id")
     return out.withColumns({"reason_person_id": F.col("b.person_id"), "reason_role": F.col("b.role"), "reason_effect": F.col("b.effect")}).drop("b")
 
@@ -57,10 +58,22 @@ def director_familiarity(candidates: DataFrame, credits: DataFrame, library: Dat
     return candidates.join(answers, ["upload_id", "film_id"], "left")
 
 
-def recommendations(films: DataFrame, library: DataFrame, credits: DataFrame, fitted: DataFrame, expect) -> DataFrame:
+def scored(films: DataFrame, library: DataFrame, credits: DataFrame, fitted: DataFrame, expect) -> DataFrame:
     """Scoreable candidates; ``expect`` maps rows with upload_id and film columns to rows with ``expected``."""
-    scored = expect(scoreable(films, library, credits, fitted)).withColumn("predicted", F.col("expected") + F.col("adjustment")).withColumnRenamed("adjustment", "crew_adjustment")
-    return director_familiarity(novelty(scored, library), credits, library)
+    return expect(scoreable(films, library, credits, fitted)).withColumn("predicted", F.col("expected") + F.col("adjustment")).withColumnRenamed("adjustment", "crew_adjustment")
+
+
+def recommendations(films: DataFrame, library: DataFrame, credits: DataFrame, fitted: DataFrame, expect) -> DataFrame:
+    """``scored`` candidates with their novelty and whether a director of them is familiar."""
+    return director_familiarity(novelty(scored(films, library, credits, fitted, expect), library), credits, library)
+
+
+def known_of(topped: DataFrame, library: DataFrame, credits: DataFrame) -> DataFrame:
+    """Novelty and familiarity of a short list of ``scored`` rows, for which no other candidate and no other director is looked at."""
+    topped = topped.persist()
+    directors = credits.filter("role = 'director'")
+    asked = topped.select("film_id").distinct().join(directors, "film_id").select("person_id").distinct()
+    return director_familiarity(novelty(topped, library), directors.join(asked, "person_id", "left_semi"), library)
 
 
 def top(recommended: DataFrame, n: int, by: str = "crew_adjustment", cap: int = CAP) -> DataFrame:
