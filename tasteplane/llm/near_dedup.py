@@ -23,8 +23,9 @@ linked when 100 * |intersection| >= 100 * threshold * |union|; components of lin
    classes outside the bucket's largest component (probes) are compared with all blocks, in the
    same way. What grows with the square of a bucket is the number of its probes alone: classes that no
    chain of links joins to the rest, although they agree in a whole band.
-6. Components of the verified links by minimum labels with pointer jumping, in tables in the
-   shared folder.
+6. Components of the verified links. A task joins the links of its blocks and writes each node with the
+   least of its group. Up to LINKS_AT_ONCE of these rows are joined on the driver, more by
+   minimum labels with pointer jumping, in tables in the shared folder.
 
 Edge cases: null, empty or blank text has an empty set, is linked with nothing and kept;
 repeated rows of one doc_id give a row each, with equal values; a null doc_id never names a
@@ -41,14 +42,17 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tasteplane.llm._shared import arrow_map, discard, may_be_in, release, stored, text_or_empty, unused
+from tasteplane.llm._shared import BROADCAST_ROWS, arrow_map, discard, may_be_in, release, stored, text_or_empty, unused
 
 THRESHOLD, ROWS, BANDS = 0.8, 5, 36
 #: classes and shingles (8 bytes each) of a block
 BLOCK, BLOCK_SHINGLES = 2_048, 1_000_000
 #: bands whose buckets are looked at first
 FIRST_BANDS = 4
+#: links (two digests of 16 bytes each) whose components the driver makes by itself
+LINKS_AT_ONCE = 200_000
 #: word hashes that a Python worker remembers, of words up to so many bytes
 _REMEMBERED_WORDS, _REMEMBERED_BYTES = 100_000, 40
 
@@ -244,12 +248,31 @@ def spanning_links(sets: list, component: list, probe: list[bool], percent: int)
     return out
 
 
+def least_joined(a: list, b: list) -> dict:
+    """The least node that links ``a`` - ``b`` reach from each node (itself, where a node is the least)."""
+    above: dict = {}
+
+    def top(x):
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = x = above[y]
+        return x
+
+    for x, y in zip(a, b, strict=True):
+        x, y = top(x), top(y)
+        above[max(x, y)] = min(x, y)
+    return {x: top(x) for x in above}
+
+
 def _verified(blocks: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """a, b: a spanning forest of the verified links of each group of ``keys``. ``blocks`` has fp, label, probe and shingles besides."""
+    """a, b: what the verified links of each group of ``keys`` join, as the least and any other node (a task may repeat another's rows). ``blocks`` has fp, label, probe and shingles besides."""
     import pyarrow as pa
 
     percent = round(100 * threshold)
 
+    def stars(a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
+        joined = [(least, node) for node, least in least_joined(a, b).items() if node != least]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in joined], pa.binary()) for k in (0, 1)], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
@@ -258,14 +281,14 @@ def _verified(blocks: DataFrame, keys: list[str], threshold: float) -> DataFrame
             fp = t.column("fp").to_pylist()
             sets = [np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()]
             for x, y in spanning_links(sets, t.column("label").to_pylist(), t.column("probe").to_pylist(), percent):
-                a.append(min(fp[x], fp[y])), b.append(max(fp[x], fp[y]))
+                a.append(fp[x]), b.append(fp[y])
             if len(a) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                yield stars(a, b)
                 a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        yield stars(a, b)
 
     dealt = blocks.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "fp")
-    return stored(arrow_map(dealt, run, "a binary, b binary").distinct(), "links")
+    return stored(arrow_map(dealt, run, "a binary, b binary"), "links")
 
 
 def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -296,11 +319,25 @@ def across_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, thresh
     return _verified(probes.union(others).join(sets, "fp"), ["key", "part", "block"], threshold)
 
 
+def _joined_at_once(pairs: DataFrame) -> DataFrame:
+    import pyarrow as pa
+
+    t, kind = pairs.toArrow(), pairs.schema["a"].dataType
+    least = least_joined(*(t.column(c).to_pylist() for c in ("a", "b")))
+    rows = pa.table([pa.array(x, t.schema.field("a").type) for x in (list(least), list(least.values()))], ["node", "label"])
+    labels = stored(pairs.sparkSession.createDataFrame(rows, StructType().add("node", kind).add("label", kind)), "labels")
+    return F.broadcast(labels) if len(least) <= BROADCAST_ROWS else labels
+
+
 def components(links: DataFrame, known: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
     """node, label: the least node of each node's component. With ``rounds``, stop early: equal labels then still mean one component.
 
     ``known`` labels (of an earlier call) contract the graph first, so only what joins components is walked again.
+    A graph of up to LINKS_AT_ONCE rows is joined on the driver.
     """
+    pairs = links.select("a", "b") if known is None else links.select("a", "b").union(known.select("node", "label"))
+    if pairs.count() <= LINKS_AT_ONCE:
+        return _joined_at_once(pairs)
     edges = links.select("a", "b").distinct()
     if known is not None:
         one, two = known.select(F.col("node").alias("a"), F.col("label").alias("la")), known.select(F.col("node").alias("b"), F.col("label").alias("lb"))

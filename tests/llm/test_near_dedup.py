@@ -163,3 +163,32 @@ def test_buckets_whose_members_hash_to_one_sum_stay_apart(spark):
     corpus = [texts[a[i[0]]], texts[b[i[0]]], others[c[j[0]]], others[d[j[0]]]]
     out = near_dedup.near_duplicates(documents(spark, [(k, x, "en", "s", 0, None, None) for k, x in enumerate(corpus)])).collect()
     assert {r.doc_id: r.component_id for r in out} == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    out = run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+@pytest.mark.parametrize("at_once", [near_dedup.BROADCAST_ROWS, 0])
+def test_components_of_chains(spark, monkeypatch, at_once):
+    """A small graph takes few jobs however long its paths; a large one is joined in tables, to the same components."""
+    monkeypatch.setattr(near_dedup, "LINKS_AT_ONCE", at_once)
+    name = [bytes([i // 200, (i * 77 + 13) % 200]) for i in range(400)]
+    links = [(name[i], name[i + 1]) for i in range(398) if i != 199]
+    table = lambda rows: spark.createDataFrame(rows, "a binary, b binary")
+    (first, n) = jobs_of(spark, f"chains-{at_once}", lambda: near_dedup.components(table(links[::2]), None))
+    assert at_once == 0 or n <= 4
+    labels = {bytes(r.node): bytes(r.label) for r in near_dedup.components(table([*links[1::2], links[1]]), first).collect()}
+    assert labels == {x: min(name[:200] if x in name[:200] else name[200:399]) for x in name[:399]}
+    assert near_dedup.components(table([]), None).count() == 0
+
+
+def test_links_of_large_graphs_are_joined_in_tables(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LINKS_AT_ONCE", 0)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rows = corpus()
+    out = near_dedup.near_duplicates(documents(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == brute(rows, 4)
