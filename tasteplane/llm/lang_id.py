@@ -79,49 +79,95 @@ def pieces_of(model_file: str) -> list[str]:
     return sorted({n for n in names if n == n.lower() and (n == _MARK or n.removeprefix(_MARK).isalpha())})
 
 
-def prefixes_of(number: dict[str, int]) -> dict[str, int]:
-    """Every beginning of a piece: the piece's number, or -2 if it is no piece itself."""
-    out = {p[:i]: -2 for p in number for i in range(1, len(p))}
-    return out | number
+#: cells of a trie's table (4 bytes each); a larger one is looked up in a sorted list of its steps
+_CELLS = 1 << 24
+
+
+class Trie:
+    """Every beginning of a piece as a state, stepped through for many places at once. State 0 is no beginning; up to ``inner`` pieces go on."""
+
+    def __init__(self, number: dict[str, int]) -> None:
+        import numpy as np
+
+        states = {p: s for s, p in enumerate(sorted({p[:i] for p in number for i in range(1, len(p))}), 1)}
+        self.inner = len(states)
+        for p in sorted(number):
+            states.setdefault(p, len(states) + 1)
+        self.piece = np.full(len(states) + 1, -1, np.int32)
+        self.piece[[states[p] for p in number]] = list(number.values())
+        # letters by number, those behind the first place before the others; 0 is none of them
+        behind = sorted({c for p in number for c in p[1:]})
+        letters = {c: k for k, c in enumerate(behind + sorted({p[0] for p in number} - set(behind)), 1)}
+        self.width = len(behind) + 1
+        self.letter = np.zeros(max(map(ord, letters), default=0) + 2, np.int32)
+        self.letter[[ord(c) for c in letters]] = list(letters.values())
+        self.first = np.zeros(len(letters) + 1, np.int32)
+        steps = []
+        for p, s in states.items():
+            if len(p) == 1:
+                self.first[letters[p]] = s
+            else:
+                steps.append((states[p[:-1]] * self.width + letters[p[-1]], s))
+        keys, values = np.array(sorted(steps), np.int64).reshape(-1, 2).T
+        if (self.inner + 1) * self.width <= _CELLS:
+            self.table = np.zeros((self.inner + 1) * self.width, np.int32)
+            self.table[keys] = values
+        else:
+            self.table, self.keys, self.values = None, np.append(keys, -1), np.append(values, 0).astype(np.int32)
+
+    def letters(self, codes):
+        import numpy as np
+
+        return self.letter[np.minimum(codes, len(self.letter) - 1)]
+
+    def step(self, state, letter):
+        import numpy as np
+
+        key = state.astype(np.int64) * self.width + np.where(letter < self.width, letter, 0)
+        if self.table is not None:
+            return self.table[key]
+        at = np.searchsorted(self.keys[:-1], key)
+        return np.where(self.keys[at] == key, self.values[at], 0)
 
 
 class Lattice:
     """All pieces at all places of a list of words."""
 
-    def __init__(self, words: list[str], number: dict[str, int], prefixes: dict[str, int] | None = None) -> None:
+    def __init__(self, words: list[str], number: dict[str, int], trie: Trie | None = None) -> None:
         import numpy as np
 
-        prefixes = prefixes_of(number) if prefixes is None else prefixes
-
-        # a place is one number: word, start, end (six bits each, words being short) and piece
-        unknown, bits = len(number), (len(number) + 1).bit_length()
-        places: list[int] = []
-        put, get, start_bit, end_bit = places.append, prefixes.get, bits + 6, bits
-        for w, text in enumerate(words):
-            text = _MARK + text
-            n = len(text)
-            for i in range(n):
-                at = (w << 6 | i) << start_bit
-                k = get(text[i], -1)
-                put(at | (i + 1) << end_bit | (k if k >= 0 else unknown))
-                if k == -1:
-                    continue
-                for j in range(i + 2, n + 1):
-                    k = get(text[i:j], -1)
-                    if k >= 0:
-                        put(at | j << end_bit | k)
-                    elif k == -1:  # no piece goes on like this
-                        break
-        code = np.array(places, np.int64)
-        end = (code >> end_bit) & 63
-        order = np.argsort(end, kind="stable")
-        code, end = code[order], end[order]
-        self.end = end.astype(np.int16)
-        self.piece = (code & ((1 << bits) - 1)).astype(np.int32)
-        self.start = ((code >> start_bit) & 63).astype(np.int16)
-        self.word = (code >> (start_bit + 6)).astype(np.int32)
+        trie = trie or Trie(number)
         self.n = len(words)
         self.length = np.array([len(w) + 1 for w in words], np.int64)
+        # the words one behind the other, with a place of no letter after each
+        letter = trie.letters(np.frombuffer("".join(f"{_MARK}{w}\n" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32))
+        word = np.repeat(np.arange(self.n), self.length + 1)
+        begins = np.cumsum(self.length + 1) - self.length - 1
+        inside = np.ones(len(letter), bool)
+        inside[begins + self.length] = False
+        letter[~inside] = 0
+        # a piece at a place is one number: end, word, start (six bits each, words being short) and piece
+        unknown, bits = len(number), (len(number) + 1).bit_length()
+        one_end = 1 << (self.n.bit_length() + 6 + bits)
+        start = np.arange(len(letter)) - begins[word]
+        place = start * one_end + ((word << 6 | start) << bits)
+        at = np.flatnonzero(inside)
+        state = trie.first[letter[at]]
+        piece = trie.piece[state]
+        found, n = [place[at] + one_end + np.where(piece < 0, unknown, piece)], 1
+        while len(at):
+            on = np.flatnonzero((state > 0) & (state <= trie.inner))
+            at = at[on]
+            state = trie.step(state[on], letter[at + n])
+            n += 1
+            piece = trie.piece[state]
+            hit = np.flatnonzero(piece >= 0)
+            found.append(place[at[hit]] + n * one_end + piece[hit])
+        code = np.sort(np.concatenate(found))
+        self.end = (code // one_end).astype(np.int16)
+        self.piece = (code & ((1 << bits) - 1)).astype(np.int32)
+        self.start = ((code >> bits) & 63).astype(np.int16)
+        self.word = ((code & (one_end - 1)) >> (bits + 6)).astype(np.int32)
         top = int(self.end[-1]) if len(self.end) else 0
         self.cuts = np.searchsorted(self.end, np.arange(1, top + 2))
 
@@ -172,14 +218,14 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUN
     import numpy as np
 
     number = {p: k for k, p in enumerate(pieces)}
-    prefixes = prefixes_of(number)
+    trie = Trie(number)
     rows, typical = [], []
     for lang in sorted(counts):
         words = sorted(counts[lang])
         n = np.array([counts[lang][w] for w in words], float)
         p = np.full(len(pieces) + 1, 1 / max(1, len(pieces)))
         p[-1] = UNKNOWN
-        lattice = Lattice(words, number, prefixes)
+        lattice = Lattice(words, number, trie)
         for _ in range(rounds):
             used = lattice.expected(p, n)[:-1] + SMOOTHING
             p[:-1] = used / used.sum()
@@ -213,7 +259,7 @@ class Scorer:
 
         self.model = model
         self.number = {p: k for k, p in enumerate(model.pieces)}
-        self.prefixes = prefixes_of(self.number)
+        self.trie = Trie(self.number)
         self.index: dict[str, int] = {}
         self.logs = np.zeros((0, len(model.languages)))
         self.filled = 0
@@ -233,7 +279,7 @@ class Scorer:
         new = sorted(w for w in missing if w not in index)
         for at in range(0, len(new), _LATTICE_WORDS):
             some = new[at : at + _LATTICE_WORDS]
-            lattice = Lattice(some, self.number, self.prefixes)
+            lattice = Lattice(some, self.number, self.trie)
             self._put(some, np.stack([np.log(np.maximum(lattice.totals(p), 1e-300)) for p in self.model.probability], axis=1))
 
     def _put(self, words: list[str], logs) -> None:
