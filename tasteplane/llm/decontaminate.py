@@ -13,7 +13,8 @@ no contained item is missed, and a long document costs one probe a shingle, what
 Candidates are then verified: the document's shingles, as strings, are intersected with the
 item's. Sketches are broadcast only when a count proves them small; otherwise the probe is
 an ordinary shuffled join whose document side is made distinct first, and of which AQE splits the
-partition of a shingle that very many documents hold.
+partition of a shingle that very many documents hold. Candidates and results are some rows for each
+leaking document: they are written as a file a core, not as one for each shuffle partition.
 
 Edge cases: null or empty texts have no shingles and match nothing; short items (under five
 words) match documents that consist of the same words, and documents under five words match
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tasteplane.llm._shared import small, stored, text_or_empty, unused
+from tasteplane.llm._shared import few_files, small, stored, text_or_empty, unused
 
 WIDTH, CONTAINMENT, HITS = 5, 0.8, 2
 
@@ -75,7 +76,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, containm
     if probe is sketches:  # too many items to broadcast
         hashes = hashes.distinct()
     hits = hashes.join(probe, "h").groupBy("doc_id", "item_id", "need").agg(F.count_distinct("h").alias("hits"))
-    pairs = stored(hits.filter(F.col("hits") >= F.col("need")).select("doc_id", "item_id"), "benchmark-candidates")
+    pairs = stored(few_files(hits.filter(F.col("hits") >= F.col("need")).select("doc_id", "item_id")), "benchmark-candidates")
 
     item_words = items.select("item_id", words(text_or_empty()).alias("w"))
     item_sets = item_words.select("item_id", F.array_distinct(shingle_strings(F.col("w"), width)).alias("item_set"))
@@ -89,7 +90,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, containm
     checked = checked.select("doc_id", "item_id", F.size("item_set").cast("long").alias("n_item"), shared.cast("long").alias("n_shared"))
     # the threshold is asked of the aggregate, for a filter on n_shared itself would be pushed below the words
     best = checked.groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
-    best = best.filter(F.col("n_shared") >= F.lit(containment) * F.col("n_item") - 1e-9)
+    best = few_files(best.filter(F.col("n_shared") >= F.lit(containment) * F.col("n_item") - 1e-9))
     return best.withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6))
 
 
@@ -99,4 +100,4 @@ def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     row = F.xxhash64("doc_id", text_or_empty())
     leaking = unused("_leaking", docs)
     leaks = contaminated(docs.select(row.alias("doc_id"), "text"), items, **how).select(F.col("doc_id").alias(leaking)).distinct()
-    return docs.join(stored(leaks, "leaking-rows"), row == F.col(leaking), "left_anti")
+    return docs.join(stored(few_files(leaks), "leaking-rows"), row == F.col(leaking), "left_anti")

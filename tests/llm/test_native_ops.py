@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from tasteplane.llm import chat, decontaminate, secret_scan, token_counts
+from tasteplane.llm._shared import FEW_FILES
 from tests.llm.fixtures import ROWS, documents, sha
 
 
@@ -156,6 +157,33 @@ def test_searches_by_broadcast_and_by_shuffle_agree(spark, monkeypatch):
     assert rows() == few and len(few) >= 20
 
 
+def test_candidates_and_results_are_few_files(spark, monkeypatch):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = documents(spark, [(i, f"w{i} {item}", "en", "s", 0, None, None) for i in range(400)])
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    files, stored = {}, decontaminate.stored
+
+    def counted(df, name):
+        table = stored(df, name)
+        files[name] = len(table.inputFiles())
+        return table
+
+    monkeypatch.setattr(decontaminate, "stored", counted)
+    most = max(FEW_FILES, spark.sparkContext.defaultParallelism)
+    held = {"spark.sql.shuffle.partitions": str(8 * most), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = decontaminate.contaminated(docs, items)
+        assert out.rdd.getNumPartitions() <= most and out.count() == 400
+        assert decontaminate.clean(docs, items).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert files["benchmark-candidates"] <= most and files["leaking-rows"] <= most
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", r"back\slash <\s> \\", "<</s>", "[[INST]]", "<s", "<<SYS>>x<</SYS>>", None, "", "ü😀\n", r"\<s>"]
     rng = random.Random(1)
